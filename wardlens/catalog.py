@@ -12,8 +12,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlens.plans import marts
-from wardlens.sources.tables import load_fact
+from wardlens.operators import profile as P
+from wardlens.plans import marts, warehouse as W
+from wardlens.session import ensure_checkpoint_dir
+from wardlens.sources import files
+from wardlens.sources.tables import load_fact, load_master, pollution_readings, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -43,6 +46,61 @@ def mart_queries() -> dict[str, Query]:
     return dict(sorted(q.items()))
 
 
+def _readings(spark, sf):
+    return pollution_readings(table(spark, sf, "lineitem"))
+
+
+def _enriched(spark, sf):
+    return W.enrich_master(*W.raw_inputs(load_master(spark, sf), _readings(spark, sf)))
+
+
+def _scratch(spark, name: str) -> str:
+    """A per-run folder under the shared checkpoint directory."""
+    import uuid
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def _csv_roundtrip(spark, sf):
+    """Sink the staging table as header CSV, read it back with the typed
+    57-column schema (A1/A3/A5)."""
+    path = _scratch(spark, "staging-csv")
+    files.write_csv(load_master(spark, sf), path)
+    back = files.read_csv_text(spark, path, null_value=files.NULL_TOKEN)
+    return files.coerce_numeric(files.coerce_dates(back, ["doa", "dod"]),
+                                ["sno", "age", "duration_of_stay"]).select(
+        F.col("sno").cast("bigint").alias("sno"), "mrd_no", "doa", "dod", F.col("age").cast("int").alias("age"),
+        F.col("duration_of_stay").cast("int").alias("duration_of_stay"), "outcome", "hb", "bnp")
+
+
+def warehouse_queries() -> dict[str, Query]:
+    def dimpol(spark, sf):
+        return W.dim_pollution(load_master(spark, sf), _readings(spark, sf))
+
+    def fact2(spark, sf):
+        return W.fact_from_staging(load_master(spark, sf), dimpol(spark, sf))
+
+    def fkv(spark, sf):
+        stg = load_master(spark, sf)
+        return W.fk_violations(load_fact(spark, sf), W.dim_patient(stg), W.dim_department(stg))
+
+    return {
+        "a1_csv_roundtrip": _csv_roundtrip,
+        "k0a_dim_patient": lambda s, sf: W.dim_patient(load_master(s, sf)),
+        "k0b_dim_department": lambda s, sf: W.dim_department(load_master(s, sf)),
+        "k0c_dim_pollution": dimpol,
+        "k0d_fact_admissions": fact2,
+        "k0e_enrich_master": _enriched,
+        "k0f_profile_nulls": lambda s, sf: round_cols(P.null_summary(_enriched(s, sf)), ["null_percent"]),
+        "k0f_profile_numeric": lambda s, sf: round_cols(P.numeric_describe(_enriched(s, sf)), ["mean", "std"]),
+        "k0f_profile_categorical": lambda s, sf: P.categorical_describe(_enriched(s, sf)),
+        "k0f_profile_unique": lambda s, sf: P.unique_counts(_enriched(s, sf)),
+        "k0f_profile_overview": lambda s, sf: round_cols(W.profile_overview(_enriched(s, sf)),
+                                                         ["mortality_rate_percent"]),
+        "k0g_fk_violations": fkv,
+    }
+
+
 def all_queries() -> dict[str, Query]:
     q = mart_queries()
+    q.update(warehouse_queries())
     return q
