@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardlens.operators import profile as P
-from wardlens.plans import marts, warehouse as W
+from wardlens.plans import eda, marts, warehouse as W
 from wardlens.session import ensure_checkpoint_dir
 from wardlens.sources import files
 from wardlens.sources.tables import load_fact, load_master, pollution_readings, table
@@ -100,7 +100,33 @@ def warehouse_queries() -> dict[str, Query]:
     }
 
 
+def _on_master(fn) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return fn(load_master(spark, sf_dir))
+    return run
+
+
+def eda_queries() -> dict[str, Query]:
+    def kde(value, by=None):
+        return _on_master(lambda m: eda.kde(m, value, by).withColumns(
+            {"x": F.round("x", 9), "density": F.round("density", 10)}))
+    return {
+        "eda_nulls_top10": _on_master(eda.nulls_top),
+        "eda_duplicates": _on_master(eda.duplicates),
+        "eda_hist": _on_master(lambda m: eda.histogram(m, ["age", "duration_of_stay"])),
+        "eda_kde_age": kde("age"),
+        "eda_kde_los": kde("duration_of_stay"),
+        "eda_kde_los_by_outcome": kde("duration_of_stay", "outcome"),
+        "eda_box_los_by_age": _on_master(lambda m: eda.box_stats(m, "duration_of_stay", "age_bucket")),
+        "eda_corr": _on_master(lambda m: round_cols(eda.correlation_matrix(m), ["corr"])),
+        "eda_counts": _on_master(lambda m: eda.category_counts(
+            m, ["gender", "type_of_admissionemergencyopd", "outcome"])),
+        "eda_readmits": _on_master(eda.repeat_patients),
+    }
+
+
 def all_queries() -> dict[str, Query]:
     q = mart_queries()
     q.update(warehouse_queries())
+    q.update(eda_queries())
     return q
