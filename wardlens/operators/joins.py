@@ -9,10 +9,11 @@ join, where AQE's skew-join handling splits hot partitions.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wardlens.session import cut_lineage
+
 BROADCAST_MAX_ROWS = 2_000_000
 
 
@@ -22,12 +23,13 @@ def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
 
     ``bound``: a statement of why ``small`` cannot grow with the data (e.g.
     ``"<= 53 ISO weeks"``).  When given, broadcast directly.  Otherwise the
-    small side is persisted (recomputable from lineage, not a local
-    checkpoint), counted, and broadcast only under ``max_rows`` rows.
+    small side is checkpointed to the shared checkpoint folder (reliable,
+    survives executor loss, computed once), counted, and broadcast only
+    under ``max_rows`` rows.
     """
     if bound:
         return big.join(F.broadcast(small), on, how)
-    small = small.persist(StorageLevel.MEMORY_AND_DISK)
+    small = cut_lineage(small)
     if small.count() <= max_rows:
         return big.join(F.broadcast(small), on, how)
     return big.join(small, on, how)
