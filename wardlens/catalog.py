@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardlens.operators import profile as P
-from wardlens.plans import eda, hypothesis as H, marts, warehouse as W
-from wardlens.session import ensure_checkpoint_dir, ship_package
+from wardlens.plans import eda, forecast as P, hypothesis as H, marts, modelling as M, similarity as R, warehouse as W
+from wardlens.streaming import los_alert as J
+from wardlens.session import cut_lineage, ensure_checkpoint_dir, ship_package, tune_session
 from wardlens.sources import files
 from wardlens.sources.tables import load_fact, load_master, pollution_readings, table
 
@@ -151,9 +152,99 @@ def stats_queries() -> dict[str, Query]:
     return q
 
 
+def ml_queries() -> dict[str, Query]:
+    def feats_of(spark, sf):
+        # iterative training reads its input many times: materialise once
+        return cut_lineage(M.ml_features(load_master(spark, sf)))
+
+    def mortality(spark, sf):
+        feats = feats_of(spark, sf)
+        model, split = M.train_mortality(feats)
+        return M.score_mortality(model, split).select("sno", "mrd_no", "mortality_flag", "is_test",
+                                                      "mortality_risk_score", "mortality_risk_flag")
+
+    def los(spark, sf):
+        feats = feats_of(spark, sf)
+        model, split = M.train_los(feats)
+        return M.score_los(model, split).select("sno", "mrd_no", "duration_of_stay", "is_test",
+                                                "predicted_los", "los_risk_flag")
+
+    def eval_cls(spark, sf):
+        feats = feats_of(spark, sf)
+        model, split = M.train_mortality(feats)
+        return M.eval_classifier(M.score_mortality(model, split.where("is_test")))
+
+    def eval_reg(spark, sf):
+        feats = feats_of(spark, sf)
+        model, split = M.train_los(feats)
+        return M.eval_regressor(M.score_los(model, split.where("is_test")))
+
+    def export(spark, sf):
+        return M.export_predictions(M.predictions(load_master(spark, sf))[0])
+
+    def flags(spark, sf):
+        return M.risk_flags(load_master(spark, sf)).select(*M.RISK_OUTPUT)
+
+    def dept(spark, sf):
+        return M.department_flags(M.risk_flags(load_master(spark, sf)))
+
+    return {"m1_ml_features": lambda s, sf: M.ml_features(load_master(s, sf)),
+            "m2_ml_mortality": mortality, "m3_ml_los": los, "m4_ml_eval_cls": eval_cls,
+            "m5_ml_eval_reg": eval_reg, "m6_ml_export": export,
+            "o1_risk_features": lambda s, sf: M.risk_features(load_master(s, sf)),
+            "o3_risk_flags": flags, "o4_dept_flags": dept}
+
+
+def similarity_queries() -> dict[str, Query]:
+    def feats(spark, sf):
+        return R.sim_features(load_fact(spark, sf))
+
+    def topk(spark, sf):
+        d = feats(spark, sf)
+        return round_cols(R.top_similar(d, R.first_admission_of(d)), ["score"])
+
+    def rec(spark, sf):
+        d = feats(spark, sf)
+        return round_cols(R.recommend(d, R.first_admission_of(d)), ["score"])
+
+    return {"r1_sim_features": feats, "r3_sim_topk": topk,
+            "r5_interventions": lambda s, sf: R.suggestions(feats(s, sf)), "r6_recommend": rec}
+
+
+def forecast_queries() -> dict[str, Query]:
+    def series(spark, sf):
+        return P.monthly_series(load_fact(spark, sf))
+
+    def long(spark, sf):
+        return P.trend_data(series(spark, sf))
+
+    def fc(model):
+        return lambda spark, sf: P.forecast(long(spark, sf), model)
+
+    return {"p1_monthly_series": lambda s, sf: round_cols(series(s, sf), ["avg_los"]),
+            "p2_trend_data": lambda s, sf: round_cols(long(s, sf), ["value"]),
+            "p3_forecast_sarima": fc("sarima"), "p4_forecast_additive": fc("additive"),
+            "p5_forecast_eval": lambda s, sf: P.forecast_eval(P.fitted_values(long(s, sf))),
+            "p6_forecast_all": lambda s, sf: P.forecast(long(s, sf), "sarima").unionByName(
+                P.forecast(long(s, sf), "additive"))}
+
+
+def streaming_queries() -> dict[str, Query]:
+    def stream(spark, sf):
+        """Write the fact as files, stream them through the alert job, read
+        the alerts table back (must equal the batch alerts)."""
+        root = _scratch(spark, "los-alert")
+        files.write_parquet(load_fact(spark, sf).repartition(4), f"{root}/incoming")
+        J.run_stream(spark, f"{root}/incoming", f"{root}/fact", f"{root}/alerts", f"{root}/_checkpoint")
+        return spark.read.parquet(f"{root}/alerts").drop("batch_id")
+
+    return {"j1_los_alerts": lambda s, sf: J.alerts(load_fact(s, sf)), "j1_los_alerts_stream": stream}
+
+
 def _shipped(fn: Query) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship_package(spark)
+        tune_session(spark)
         return fn(spark, sf_dir)
     run.__name__ = getattr(fn, "__name__", "query")
     run.__doc__ = fn.__doc__
@@ -165,4 +256,8 @@ def all_queries() -> dict[str, Query]:
     q.update(warehouse_queries())
     q.update(eda_queries())
     q.update(stats_queries())
+    q.update(ml_queries())
+    q.update(similarity_queries())
+    q.update(forecast_queries())
+    q.update(streaming_queries())
     return {k: _shipped(v) for k, v in q.items()}

@@ -24,8 +24,20 @@ _DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # The derived tables carry many CASE-built columns; constraint inference
+    # over them grows combinatorially at planning time (minutes, no gain).
+    "spark.sql.constraintPropagation.enabled": "false",
 }
 
+# Runtime SQL settings applied to any session the library is handed.
+RUNTIME_CONF = {"spark.sql.constraintPropagation.enabled": "false"}
+
+
+def tune_session(spark: SparkSession) -> None:
+    for k, v in RUNTIME_CONF.items():
+        if spark.conf.get(k, None) != v:
+            spark.conf.set(k, v)
+
 
 def get_session(master: str | None = None, app: str = "wardlens",
                 shuffle_partitions: int | None = None,
