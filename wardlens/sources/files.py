@@ -89,7 +89,7 @@ def coerce_dates(df: DataFrame, cols, fmt: str | None = None) -> DataFrame:
         if dict(df.dtypes)[c] in ("date",):
             continue
         x = F.trim(F.col(c).cast("string"))
-        conv[c] = F.try_to_date(x, F.lit(fmt)) if fmt else F.try_to_date(x)
+        conv[c] = F.try_to_date(x, fmt) if fmt else F.try_to_date(x)
     return df.withColumns(conv) if conv else df
 
 
@@ -110,7 +110,7 @@ def read_brought_dead(spark: SparkSession, path: str) -> DataFrame:
         F.trim("age").try_cast("int").alias("age"),
         F.trim("gender").alias("gender"),
         F.trim("ruralurban").alias("ruralurban"),
-        F.try_to_date(F.trim("date_of_brought_dead"), F.lit("M/d/yyyy")).alias("date_of_brought_dead"))
+        F.try_to_date(F.trim("date_of_brought_dead"), "M/d/yyyy").alias("date_of_brought_dead"))
 
 
 def write_parquet(df: DataFrame, path: str, partition_by=None, mode: str = "overwrite") -> None:
