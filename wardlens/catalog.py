@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardlens.operators import profile as P
-from wardlens.plans import eda, forecast as P, hypothesis as H, marts, modelling as M, similarity as R, warehouse as W
+from wardlens.plans import eda, explain as N, forecast as FC, hypothesis as H, kpi as X, marts, modelling as M, similarity as R, warehouse as W
 from wardlens.streaming import los_alert as J
 from wardlens.session import cut_lineage, ensure_checkpoint_dir, ship_package, tune_session
 from wardlens.sources import files
@@ -213,20 +213,20 @@ def similarity_queries() -> dict[str, Query]:
 
 def forecast_queries() -> dict[str, Query]:
     def series(spark, sf):
-        return P.monthly_series(load_fact(spark, sf))
+        return FC.monthly_series(load_fact(spark, sf))
 
     def long(spark, sf):
-        return P.trend_data(series(spark, sf))
+        return FC.trend_data(series(spark, sf))
 
     def fc(model):
-        return lambda spark, sf: P.forecast(long(spark, sf), model)
+        return lambda spark, sf: FC.forecast(long(spark, sf), model)
 
     return {"p1_monthly_series": lambda s, sf: round_cols(series(s, sf), ["avg_los"]),
             "p2_trend_data": lambda s, sf: round_cols(long(s, sf), ["value"]),
             "p3_forecast_sarima": fc("sarima"), "p4_forecast_additive": fc("additive"),
-            "p5_forecast_eval": lambda s, sf: P.forecast_eval(P.fitted_values(long(s, sf))),
-            "p6_forecast_all": lambda s, sf: P.forecast(long(s, sf), "sarima").unionByName(
-                P.forecast(long(s, sf), "additive"))}
+            "p5_forecast_eval": lambda s, sf: FC.forecast_eval(FC.fitted_values(long(s, sf))),
+            "p6_forecast_all": lambda s, sf: FC.forecast(long(s, sf), "sarima").unionByName(
+                FC.forecast(long(s, sf), "additive"))}
 
 
 def streaming_queries() -> dict[str, Query]:
@@ -241,6 +241,26 @@ def streaming_queries() -> dict[str, Query]:
     return {"j1_los_alerts": lambda s, sf: J.alerts(load_fact(s, sf)), "j1_los_alerts_stream": stream}
 
 
+def explain_queries() -> dict[str, Query]:
+    def phi(spark, sf):
+        feats = cut_lineage(M.ml_features(load_master(spark, sf)))
+        model, _ = M.train_mortality(feats)
+        gbt = model.stages[-1]  # the classifier; the vector is built by the explainer
+        return N.shapley_values(gbt, feats, M.FEATURES, "sno", permutations=8)
+
+    return {"n1_shap_values": phi,
+            "n2_shap_summary": lambda s, sf: N.shap_summary(phi(s, sf)),
+            "n3_shap_dependence": lambda s, sf: N.shap_dependence(phi(s, sf), "urea")}
+
+
+def kpi_queries() -> dict[str, Query]:
+    return {"x1_kpi_cube": _on_fact(X.kpi_cube),
+            "x2_seasonal_index": _on_fact(X.seasonal_index,
+                                          lambda d: round_cols(d, ["avg_admissions", "seasonal_index"])),
+            "x3_pollution_corr": _on_fact(X.pollution_correlation,
+                                          lambda d: round_cols(d, ["corr_pm25_admissions"]))}
+
+
 def _shipped(fn: Query) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship_package(spark)
@@ -260,4 +280,6 @@ def all_queries() -> dict[str, Query]:
     q.update(similarity_queries())
     q.update(forecast_queries())
     q.update(streaming_queries())
+    q.update(kpi_queries())
+    q.update(explain_queries())
     return {k: _shipped(v) for k, v in q.items()}
