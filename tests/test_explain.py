@@ -20,3 +20,18 @@ def test_shapley_exact_for_linear_model(spark):
     summary = {r.feature: r.mean_abs_phi for r in shap_summary(
         shapley_values(lr, df, ["a", "b"], "id", permutations=2, output="prediction")).collect()}
     assert set(summary) == {"a", "b"}
+
+
+def test_local_surrogate_recovers_linear_slopes(spark):
+    import statistics
+
+    from wardlens.plans.explain import local_surrogate
+    rows = [(i, float(i % 11), float((i * 7) % 5), 3.0 * (i % 11) - 2.0 * ((i * 7) % 5) + 1.0) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, y double")
+    lr = LinearRegression(featuresCol="features", labelCol="y", regParam=0.0).fit(
+        VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(df))
+    out = {r.feature: r.weight for r in local_surrogate(lr, df, df.where("id = 5"), ["a", "b"], "id",
+                                                         samples=2000, output="prediction").collect()}
+    sd = {"a": statistics.pstdev(r[1] for r in rows), "b": statistics.pstdev(r[2] for r in rows)}
+    assert out["a"] == pytest.approx(3.0 * sd["a"], rel=0.02)
+    assert out["b"] == pytest.approx(-2.0 * sd["b"], rel=0.02)

@@ -248,7 +248,22 @@ def explain_queries() -> dict[str, Query]:
         gbt = model.stages[-1]  # the classifier; the vector is built by the explainer
         return N.shapley_values(gbt, feats, M.FEATURES, "sno", permutations=8)
 
-    return {"n1_shap_values": phi,
+    def lime(which):
+        def run(spark, sf):
+            feats = cut_lineage(M.ml_features(load_master(spark, sf)))
+            if which == "mortality":
+                model, _ = M.train_mortality(feats)
+                row, out = 5, "probability"
+            else:
+                model, _ = M.train_los(feats)
+                row, out = 10, "prediction"
+            # the explained admission: position ``row`` (0-based) in admission order
+            target = feats.orderBy("sno").limit(row + 1).agg(F.max("sno")).scalar()
+            inst = feats.where(F.col("sno") == target)
+            return N.local_surrogate(model.stages[-1], feats, inst, M.FEATURES, "sno", output=out)
+        return run
+
+    return {"n1_shap_values": phi, "n4_lime_mortality": lime("mortality"), "n4_lime_los": lime("los"),
             "n2_shap_summary": lambda s, sf: N.shap_summary(phi(s, sf)),
             "n3_shap_dependence": lambda s, sf: N.shap_dependence(phi(s, sf), "urea")}
 

@@ -67,3 +67,92 @@ def shap_dependence(phi: DataFrame, feature: str = "urea", bins: int = 20) -> Da
                 F.lit(bins - 1)).cast("int")
     return p.groupBy(b.alias("bin")).agg(F.min("value").alias("value_min"), F.max("value").alias("value_max"),
                                          F.avg("phi").alias("mean_phi"), F.count(F.lit(1)).alias("rows"))
+
+
+# --- N4 local surrogate ------------------------------------------------------------------
+
+def _hash_normal(*cols, seed: int):
+    """Standard normal from two hash-derived uniforms (Box-Muller):
+    deterministic per (cols, seed) on any partitioning."""
+    two64 = 18446744073709551616.0
+
+    def u(salt):
+        h = F.xxhash64(*cols, F.lit(seed), F.lit(salt)).cast("double")
+        return (h + 9223372036854775808.0 + 0.5) / two64
+    return F.sqrt(-2.0 * F.log(u(1))) * F.cos(2.0 * 3.141592653589793 * u(2))
+
+
+def local_surrogate(model, train: DataFrame, instances: DataFrame, features: list[str], id_col: str,
+                    samples: int = 5000, num_features: int = 10, ridge: float = 1.0, seed: int = 42,
+                    output: str = "probability") -> DataFrame:
+    """LIME-style explanation of each row of ``instances``: ``samples``
+    Gaussian perturbations around the training means (scaled by training
+    population sd; the first sample is the instance itself), exponential
+    kernel of width 0.75*sqrt(F) on scaled distance, weighted ridge on the
+    scaled samples; the ``num_features`` largest |coef * scaled instance|
+    are kept and the ridge is refitted on them.  Returns
+    (id, feature, weight, intercept).  The regression uses sufficient
+    statistics aggregated per instance; only a F x F solve runs in Python."""
+    import numpy as np
+    import pandas as pd
+    from pyspark.sql import types as T
+
+    nf = len(features)
+    st = train.agg(F.struct(*[F.struct(F.avg(f).alias("m"), F.stddev_pop(f).alias("s")).alias(f)
+                              for f in features])).scalar()
+    inst = instances.select(F.col(id_col).alias("__id"), *[F.col(f).cast("double").alias(f) for f in features])
+    e = inst.withColumn("__k", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
+    xs, zs = [], []
+    for f in features:
+        m, s = st.getField(f).getField("m"), st.getField(f).getField("s")
+        sd = F.when(s > 0, s).otherwise(F.lit(1.0))
+        draw = _hash_normal(F.col("__id"), F.col("__k"), F.lit(f), seed=seed) * sd + m
+        x = F.when(F.col("__k") == 0, F.col(f)).otherwise(draw)
+        xs.append(x.alias(f"__x_{f}"))
+        zs.append(((F.col(f"__x_{f}") - m) / sd).alias(f"__z_{f}"))
+        zs.append(((F.col(f) - m) / sd).alias(f"__zi_{f}"))
+    e = e.select("__id", "__k", *features, *xs).select("__id", "__k", *[F.col(f"__x_{f}") for f in features], *zs)
+    e = e.withColumn("features", array_to_vector(F.array(*[F.col(f"__x_{f}") for f in features])))
+    sc = model.transform(e)
+    y = vector_to_array("probability")[1] if output == "probability" else F.col("prediction")
+    width = 0.75 * (nf ** 0.5)
+    d2 = sum(((F.col(f"__z_{f}") - F.col(f"__zi_{f}")) ** 2 for f in features), F.lit(0.0))
+    w = F.sqrt(F.exp(-d2 / (width * width)))
+    sc = sc.select("__id", y.alias("__y"), w.alias("__w"), *[F.col(f"__z_{f}").alias(f"z{i}")
+                                                              for i, f in enumerate(features)],
+                   *[F.col(f"__zi_{f}").alias(f"zi{i}") for i, f in enumerate(features)])
+    aggs = [F.sum("__w").alias("sw"), F.sum(F.col("__w") * F.col("__y")).alias("swy")]
+    aggs += [F.first(f"zi{i}").alias(f"zi{i}") for i in range(nf)]
+    aggs += [F.sum(F.col("__w") * F.col(f"z{i}")).alias(f"sx{i}") for i in range(nf)]
+    aggs += [F.sum(F.col("__w") * F.col(f"z{i}") * F.col("__y")).alias(f"sxy{i}") for i in range(nf)]
+    aggs += [F.sum(F.col("__w") * F.col(f"z{i}") * F.col(f"z{j}")).alias(f"sxx{i}_{j}")
+             for i in range(nf) for j in range(i, nf)]
+    stats = sc.groupBy("__id").agg(*aggs)
+    schema = T.StructType([T.StructField(id_col, instances.schema[id_col].dataType),
+                           T.StructField("feature", T.StringType()), T.StructField("weight", T.DoubleType()),
+                           T.StructField("intercept", T.DoubleType())])
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        r = pdf.iloc[0]
+        sw, swy = r["sw"], r["swy"]
+        sx = np.array([r[f"sx{i}"] for i in range(nf)])
+        sxy = np.array([r[f"sxy{i}"] for i in range(nf)])
+        sxx = np.zeros((nf, nf))
+        for i in range(nf):
+            for j in range(i, nf):
+                sxx[i, j] = sxx[j, i] = r[f"sxx{i}_{j}"]
+        zi = np.array([r[f"zi{i}"] for i in range(nf)])
+        cxx = sxx - np.outer(sx, sx) / sw   # weighted, centred (intercept not penalised)
+        cxy = sxy - sx * swy / sw
+
+        def fit(idx):
+            a = cxx[np.ix_(idx, idx)] + ridge * np.eye(len(idx))
+            coef = np.linalg.solve(a, cxy[idx])
+            icpt = (swy - sx[idx] @ coef) / sw
+            return coef, icpt
+        coef, _ = fit(list(range(nf)))
+        keep = sorted(np.argsort(-np.abs(coef * zi))[:num_features].tolist())
+        coef, icpt = fit(keep)
+        return pd.DataFrame({id_col: r["__id"], "feature": [features[i] for i in keep], "weight": coef,
+                             "intercept": icpt})
+    return stats.groupBy("__id").applyInPandas(solve, schema)
