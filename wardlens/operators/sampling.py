@@ -64,10 +64,9 @@ def stratified_split(df: DataFrame, label: str, id_cols, test_fraction: float =
     d = df.withColumn("__u", _unit_hash(id_cols, seed))
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
     d = join_small(d, sizes, label)
-    need = F.ceil(F.lit(test_fraction) * F.col("__n"))
     cand = d.where(F.col("__u") < F.least(F.lit(1.0), F.lit(2.0 * test_fraction) + F.lit(64.0) / F.col("__n")))
     ranks = value_ranks(cand.groupBy(label, "__u").agg(F.count(F.lit(1)).alias("cnt")), "__u", keys=[label])
-    cut = ranks.join(F.broadcast(sizes), label).where(F.col("rank") <= F.ceil(F.lit(test_fraction) * F.col("__n")))
+    cut = join_small(ranks, sizes, label).where(F.col("rank") <= F.ceil(F.lit(test_fraction) * F.col("__n")))
     thr = cut.groupBy(label).agg(F.max("__u").alias("__thr"))
     out = join_small(d, thr, label, "left")
     return out.withColumn(col, F.coalesce(F.col("__u") <= F.col("__thr"), F.lit(False))) \
