@@ -21,7 +21,7 @@ correction, pooled two-proportion z.  NULLs are dropped pairwise.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -77,7 +77,10 @@ def chi2_independence(df: DataFrame, a: str, b: str, yates: bool = True) -> Data
     cells = d.groupBy("a", "b").agg(F.count(F.lit(1)).alias("o"))
     rm = cells.groupBy("a").agg(F.sum("o").alias("r"))
     cm = cells.groupBy("b").agg(F.sum("o").alias("c"))
-    j = join_small(join_small(cells, rm, "a"), cm, "b")
+    # Margins onto the (already aggregated) cells: a window group holds one
+    # row per category of the other column, never raw rows.
+    j = cells.withColumn("r", F.sum("o").over(Window.partitionBy("a"))) \
+             .withColumn("c", F.sum("o").over(Window.partitionBy("b")))
     tot = cells.agg(F.sum("o")).scalar()
     e = F.col("r") * F.col("c") / tot
     o = F.col("o").cast("double")
