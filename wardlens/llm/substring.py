@@ -17,14 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardlens.llm.keys import row_key
-from wardlens.llm.storage import discard, small_enough, stored
+from wardlens.llm.storage import BROADCAST_BYTES, discard, stored
 from wardlens.llm.text_hash import U64, gram_hashes, slices
 
 LENGTH = 35
 #: Words in one step of the search for smallest runs; places within it take 20 bits.
 STEP = 1 << 19
-#: Bytes that a document's list of places takes in a join, for the check before a broadcast.
-LIST_BYTES = 400
 
 
 def window_anchors(words: np.ndarray, length: int) -> np.ndarray:
@@ -103,9 +101,27 @@ def _repeated(rows: DataFrame, by: str) -> DataFrame:
     return rows.join(twice, by)
 
 
-def _with_lists(docs: DataFrame, lists: DataFrame, how: str) -> DataFrame:
+def _with_lists(docs: DataFrame, lists: DataFrame, of: str, how: str) -> DataFrame:
+    """``docs`` joined to ``lists(key, ...)``, which is broadcast only if all its lists, by their size, are within the bound."""
     lists = stored(lists, "places")
-    return docs.join(F.broadcast(lists) if small_enough(lists, LIST_BYTES) else lists, "key", how)
+    size = lists.agg(F.sum(F.size(of) * 8 + 64)).first()[0] or 0
+    return docs.join(F.broadcast(lists) if size <= BROADCAST_BYTES else lists, "key", how)
+
+
+def _runs(found: DataFrame) -> DataFrame:
+    """``(key, firsts, lasts)``: the places of each row as runs of consecutive ones."""
+    def run(batches):
+        for batch in batches:
+            firsts, lasts = [], []
+            for places in batch.column("places"):
+                at = np.sort(places.values.to_numpy())
+                new = np.flatnonzero(np.diff(at) > 1)
+                firsts.append(at[np.concatenate(([0], new + 1))])
+                lasts.append(at[np.concatenate((new, [len(at) - 1]))])
+            kind = pa.list_(pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(firsts, kind), pa.array(lasts, kind)], names=["key", "firsts", "lasts"])
+    return found.groupBy("key").agg(F.collect_set(F.col("place").cast("int")).alias("places")).mapInArrow(
+        run, "key long, firsts array<int>, lasts array<int>")
 
 
 def repeated_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -116,7 +132,7 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     docs = docs.select("key", "text")
     runs = stored(_anchors(docs, length), "anchors")
     lists = _repeated(runs, "run").groupBy("key").agg(F.collect_set(F.col("place").cast("int")).alias("places"))
-    around = stored(_windows(_with_lists(docs, lists, "inner"), length), "windows")
+    around = stored(_windows(_with_lists(docs, lists, "places", "inner"), length), "windows")
     discard(runs)
     found = stored(_repeated(around, "window").select("window", "key", "place"), "found")
     discard(around)
@@ -151,19 +167,18 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     docs = docs.select("doc_id", "text", row_key(docs).alias("key"))
-    lists = repeated_windows(docs, length).groupBy("key").agg(F.collect_set(F.col("place").cast("int")).alias("places"))
+    runs = _runs(repeated_windows(docs, length))
 
     def run(batches):
         for batch in batches:
             n, gone, kept = [], [], []
-            for text, places in zip(batch.column("text"), batch.column("places"), strict=True):
+            for text, firsts, lasts in zip(batch.column("text"), batch.column("firsts"), batch.column("lasts"), strict=True):
                 words = (text.as_py() or "").encode().split()
                 n.append(len(words))
-                if places.is_valid and len(places):
+                if firsts.is_valid:
                     edge = np.zeros(len(words) + 1, np.int64)
-                    starts = places.values.to_numpy()
-                    np.add.at(edge, starts, 1)
-                    np.add.at(edge, starts + length, -1)
+                    np.add.at(edge, firsts.values.to_numpy(), 1)
+                    np.add.at(edge, lasts.values.to_numpy() + length, -1)
                     stay = np.flatnonzero(np.cumsum(edge)[:-1] == 0)
                     words = [words[i] for i in stay]
                 gone.append(n[-1] - len(words))
@@ -171,7 +186,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())],
                 names=["doc_id", "n_words", "n_removed", "kept_text"])
-    return _with_lists(docs, lists, "left").select("doc_id", "text", "places").mapInArrow(
+    return _with_lists(docs, runs, "firsts", "left").select("doc_id", "text", "firsts", "lasts").mapInArrow(
         run, "doc_id long, n_words long, n_removed long, kept_text string")
 
 
