@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wardlens.llm.bitmap import Bitmap, bitmap
 from wardlens.llm.keys import row_key
 from wardlens.llm.storage import stored
 from wardlens.llm.text_hash import U64, mix, slices
@@ -30,8 +31,6 @@ SHARE = 0.8
 SUBSTITUTION = 2
 #: Words of a document that are kept around hits.
 AROUND = 64
-BITS = 24
-
 _SHORT = min(map(len, MASKS))
 
 
@@ -77,37 +76,21 @@ def _seeds(words: DataFrame) -> DataFrame:
     return words.mapInArrow(run, "seed long, item_id long, item_place long")
 
 
-def _probes(seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    low = U64((1 << BITS) - 1)
-    return (seeds >> U64(64 - BITS)).astype(np.int64), ((seeds >> U64(8)) & low).astype(np.int64)
-
-
-def _bitmap(seeds: DataFrame) -> np.ndarray:
-    """One bit for each of two probes of every seed; at most 2^24 / 64 rows reach the driver, whatever the items."""
-    probe = F.explode(F.array(F.shiftrightunsigned("seed", 64 - BITS), F.shiftrightunsigned("seed", 8).bitwiseAND(F.lit((1 << BITS) - 1))))
-    words = seeds.select(probe.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits")).collect()
-    out = np.zeros((1 << BITS) // 64, np.int64)
-    out[[r["w"] for r in words]] = [r["bits"] for r in words]
-    return np.unpackbits(out.view(np.uint8), bitorder="little")
-
-
-def _regions(docs: DataFrame, bitmap: np.ndarray, masks: list[tuple[int, str]]) -> DataFrame:
+def _regions(docs: DataFrame, found: Bitmap, masks: list[tuple[int, str]]) -> DataFrame:
     """Stretches of documents around seeds that the bitmap lets through: ``(key, doc_id, start, words, seeds, places)``."""
-    packed = docs.sparkSession.sparkContext.broadcast(np.packbits(bitmap).tobytes())
+    sent = docs.sparkSession.sparkContext.broadcast((found.bits, found.words))
     names = ["key", "doc_id", "start", "words", "seeds", "places"]
     kinds = [pa.int64()] * 3 + [pa.list_(pa.int64())] * 3
 
     def run(batches):
-        bits = np.unpackbits(np.frombuffer(packed.value, np.uint8)).view(bool)
+        known = Bitmap(*sent.value)
         for batch in batches:
             for part in slices(batch.column("text"), lower=True):
                 doc = np.repeat(np.arange(len(part)), np.diff(part.bounds))
                 at, what = [], []
                 for number, mask in masks:
                     seeds = seed_hashes(part.words, number, mask)
-                    first = np.flatnonzero(bits[(seeds >> U64(64 - BITS)).astype(np.int64)])
-                    first = first[bits[_probes(seeds[first])[1]]]
+                    first = known.may_have(seeds)
                     first = first[doc[first] == doc[first + len(mask) - 1]]
                     at.append(first)
                     what.append(seeds[first])
@@ -175,7 +158,7 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     seeds = stored(_seeds(words), "seeds")
     lengths = [r[0] for r in words.select(F.size("words").alias("n")).where(F.col("n") < _SHORT).distinct().collect()]
     masks = list(enumerate(MASKS)) + [m for n in sorted(lengths) for m in _masks(n)]
-    regions = stored(_regions(docs, _bitmap(seeds), masks), "regions")
+    regions = stored(_regions(docs, bitmap(seeds, "seed"), masks), "regions")
 
     hits = regions.select("key", "start", F.explode(F.arrays_zip("seeds", "places")).alias("h")).select(
         "key", "start", F.col("h.seeds").alias("seed"), F.col("h.places").alias("place"))

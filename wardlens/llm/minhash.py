@@ -9,8 +9,9 @@ that share a band are candidates, and links are confirmed on the full sets.
 Within a bucket no pairs are formed: first every member is held against one
 pivot, the member that shares the most buckets.  Where that leaves a bucket
 in more than one component, the pairs across components follow, without those
-that the triangle inequality of the Jaccard distance rules out.  Copies (equal
-sets) are one class from the start.
+that cannot be linked by their sizes, by the triangle inequality of the
+Jaccard distance to the pivot or by two bits of each signature value.  Copies
+(equal sets) are one class from the start.
 """
 
 from __future__ import annotations
@@ -26,13 +27,17 @@ from wardlens.llm.text_hash import U64, mix, slices, string_buffers
 
 SHINGLE = 5
 PERCENT = 85
-PERMUTATIONS = 84
-ROWS = 6
+#: 504 signature values in 56 bands of 9: at the similarity threshold a pair shares no band with probability 4e-7.
+PERMUTATIONS = 252
+ROWS = 9
+#: Pairs across components are compared on the full sets if no more of the values' lowest two bits differ than this many standard
+#: deviations above the mean at the threshold; a linked pair fails that with probability 3e-7.
+DEVIATIONS = 5.0
 SEED = 20240229
 #: Rows of 8 bytes; the ids of candidates go by broadcast up to storage.BROADCAST_BYTES.
 ID_BYTES = 8
 
-_SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"
+_SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, sketch array<long>"
 _SETS = "doc_id long, shingles array<long>"
 
 
@@ -75,21 +80,42 @@ def _bands(signature: np.ndarray) -> np.ndarray:
     return mix(np.bitwise_xor.reduce(mix(rows + place + which), axis=1)).view(np.int64)
 
 
+def _sketch(signature: np.ndarray) -> np.ndarray:
+    """Two bits of each value (mixed, as minima are small), 32 values to a long."""
+    two = np.zeros(-(-len(signature) // 32) * 32, U64)
+    two[:len(signature)] = mix(signature) & U64(3)
+    return np.bitwise_or.reduce(two.reshape(-1, 32) << (U64(2) * np.arange(32, dtype=U64)), axis=1).view(np.int64)
+
+
+def _alike(x: str, y: str, percent: int):
+    """Whether few enough values differ in their two bits; three quarters of unequal values do."""
+    values = 2 * PERMUTATIONS
+    apart = 0.75 * (1 - percent / 100)
+    most = int(values * apart + DEVIATIONS * (values * apart * (1 - apart)) ** 0.5)
+    differ = F.lit(0)
+    for i in range(-(-values // 32)):
+        d = F.col(f"{x}.sketch")[i].bitwiseXOR(F.col(f"{y}.sketch")[i])
+        differ = differ + F.bit_count(d.bitwiseOR(F.shiftrightunsigned(d, 1)).bitwiseAND(F.lit(0x5555555555555555)))
+    return differ <= most
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """``(doc_id, n_shingles, set_a, set_b, bands)`` of each row; ``set_a, set_b`` are a 128-bit digest of the set."""
+    """``(doc_id, n_shingles, set_a, set_b, bands, sketch)`` of each row; ``set_a, set_b`` are a 128-bit digest of the set."""
     def run(batches):
         mult, add = _multipliers(PERMUTATIONS)
         for batch in batches:
-            n, a, b, bands = [], [], [], []
+            n, a, b, bands, sketches = [], [], [], [], []
             for _, own in _sets(batch.column("text"), SHINGLE):
                 n.append(len(own))
                 a.append(int(mix(own).sum().view(np.int64)) if len(own) else 0)
                 b.append(int(mix(own ^ U64(0xA0761D6478BD642F)).sum().view(np.int64)) if len(own) else 0)
-                bands.append(_bands(_signature(own, mult, add)) if len(own) else None)
+                signature = _signature(own, mult, add) if len(own) else None
+                bands.append(None if signature is None else _bands(signature))
+                sketches.append(None if signature is None else _sketch(signature))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()),
-                 pa.array(bands, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "set_a", "set_b", "bands"])
+                 pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))],
+                names=["doc_id", "n_shingles", "set_a", "set_b", "bands", "sketch"])
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")) \
         .mapInArrow(run, _SIGNED)
 
@@ -150,7 +176,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     signed = stored(signatures(docs), "signatures")
     classes = stored(
         signed.where("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b", "n_shingles")
-        .agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands")), "classes")
+        .agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch")),
+        "classes")
     rows = classes.select("rep", "n_shingles", F.explode("bands").alias("bucket"))
     full = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     rows = stored(rows.join(full, "bucket"), "buckets")
@@ -187,12 +214,16 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     rest = stored(labelled.join(mixed, "bucket", "left_semi").join(to_pivot, ["pivot", "rep"], "left").select(
         "bucket", "rep", "n_shingles", "component", F.when(F.col("rep") == F.col("pivot"), 0.0).otherwise(F.col("away")).alias("away"),
         (F.col("rep") == F.col("pivot")).alias("is_pivot")), "mixed")
-    x, y = rest.where("not is_pivot").alias("x"), rest.where("not is_pivot").alias("y")
+    able = stored(rest.where("not is_pivot").join(classes.select("rep", "bands", "sketch"), "rep"), "able")
+    x, y = able.alias("x"), able.alias("y")
     reach = 1 - percent / 100 + 1e-9
+    # A pair comes up once, in the least of the buckets that it shares.
     across = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.rep") < F.col("y.rep"))
                     & (F.col("x.component") != F.col("y.component"))
                     & (F.least("x.n_shingles", "y.n_shingles") * 100 >= F.greatest("x.n_shingles", "y.n_shingles") * percent)
-                    & (F.coalesce(F.abs(F.col("x.away") - F.col("y.away")), F.lit(0.0)) <= reach)) \
+                    & (F.coalesce(F.abs(F.col("x.away") - F.col("y.away")), F.lit(0.0)) <= reach)
+                    & _alike("x", "y", percent)
+                    & (F.array_min(F.array_intersect("x.bands", "y.bands")) == F.col("x.bucket"))) \
         .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
     more = stored(_confirmed(across, of_rep).where(_linked(percent)).select("a", "b"), "links")
     if not more.isEmpty():

@@ -16,8 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wardlens.llm.bitmap import Bitmap, bitmap
 from wardlens.llm.keys import row_key
-from wardlens.llm.storage import BROADCAST_BYTES, discard, stored
+from wardlens.llm.storage import discard, stored
 from wardlens.llm.text_hash import U64, gram_hashes, slices
 
 LENGTH = 35
@@ -96,32 +97,35 @@ def _windows(docs: DataFrame, length: int) -> DataFrame:
 
 
 def _repeated(rows: DataFrame, by: str) -> DataFrame:
-    """The rows whose ``by`` occurs more than once.  Counts are pre-aggregated; the join may split a hot value."""
+    """The rows whose ``by`` occurs more than once.
+
+    Counts are pre-aggregated; rows that a bitmap of the repeated values
+    rules out are not shuffled; the join may split a hot value.
+    """
     twice = stored(rows.groupBy(by).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(by), "repeated")
-    return rows.join(twice, by)
+    known = bitmap(twice, by)
+    sent = rows.sparkSession.sparkContext.broadcast((known.bits, known.words))
 
+    def run(batches):
+        filled = Bitmap(*sent.value)
+        for batch in batches:
+            yield batch.take(pa.array(filled.may_have(batch.column(by).to_numpy().view(U64))))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInArrow(run, kinds).join(twice, by)
 
-def _with_lists(docs: DataFrame, lists: DataFrame, of: str, how: str) -> DataFrame:
-    """``docs`` joined to ``lists(key, ...)``, which is broadcast only if all its lists, by their size, are within the bound."""
-    lists = stored(lists, "places")
-    size = lists.agg(F.sum(F.size(of) * 8 + 64)).first()[0] or 0
-    return docs.join(F.broadcast(lists) if size <= BROADCAST_BYTES else lists, "key", how)
 
+def _alone(rows: DataFrame, by: str) -> DataFrame:
+    """``(key, alone)``: the places of each row whose ``by`` occurs nowhere else, by one aggregation and no join."""
+    return rows.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "place")).alias("at")).where("n = 1") \
+        .groupBy("at.key").agg(F.collect_list(F.col("at.place").cast("int")).alias("alone"))
 
-def _runs(found: DataFrame) -> DataFrame:
-    """``(key, firsts, lasts)``: the places of each row as runs of consecutive ones."""
-    def run(batches):
-        for batch in batches:
-            firsts, lasts = [], []
-            for places in batch.column("places"):
-                at = np.sort(places.values.to_numpy())
-                new = np.flatnonzero(np.diff(at) > 1)
-                firsts.append(at[np.concatenate(([0], new + 1))])
-                lasts.append(at[np.concatenate((new, [len(at) - 1]))])
-            kind = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(firsts, kind), pa.array(lasts, kind)], names=["key", "firsts", "lasts"])
-    return found.groupBy("key").agg(F.collect_set(F.col("place").cast("int")).alias("places")).mapInArrow(
-        run, "key long, firsts array<int>, lasts array<int>")
+
+def _anchored(docs: DataFrame, length: int) -> DataFrame:
+    """``docs(key, text)`` with ``places``, the starts of the smallest runs that repeat; rows without any have no row."""
+    runs = stored(_anchors(docs, length), "anchors")
+    lists = stored(_repeated(runs, "run").groupBy("key").agg(F.collect_set(F.col("place").cast("int")).alias("places")), "places")
+    discard(runs)
+    return lists
 
 
 def repeated_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -130,10 +134,7 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     ``docs(key, text)``; ``key`` names a row, as ``keys.row_key`` does.
     """
     docs = docs.select("key", "text")
-    runs = stored(_anchors(docs, length), "anchors")
-    lists = _repeated(runs, "run").groupBy("key").agg(F.collect_set(F.col("place").cast("int")).alias("places"))
-    around = stored(_windows(_with_lists(docs, lists, "places", "inner"), length), "windows")
-    discard(runs)
+    around = stored(_windows(docs.join(_anchored(docs, length), "key"), length), "windows")
     found = stored(_repeated(around, "window").select("window", "key", "place"), "found")
     discard(around)
     return found
@@ -167,26 +168,38 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     docs = docs.select("doc_id", "text", row_key(docs).alias("key"))
-    runs = _runs(repeated_windows(docs, length))
+    lists = _anchored(docs, length)
+    around = _windows(docs.join(lists, "key"), length)
+    alone = stored(_alone(around, "window"), "alone")
+    rows = docs.join(lists, "key", "left").join(alone, "key", "left")
 
     def run(batches):
         for batch in batches:
             n, gone, kept = [], [], []
-            for text, firsts, lasts in zip(batch.column("text"), batch.column("firsts"), batch.column("lasts"), strict=True):
-                words = (text.as_py() or "").encode().split()
-                n.append(len(words))
-                if firsts.is_valid:
-                    edge = np.zeros(len(words) + 1, np.int64)
-                    np.add.at(edge, firsts.values.to_numpy(), 1)
-                    np.add.at(edge, lasts.values.to_numpy() + length, -1)
-                    stay = np.flatnonzero(np.cumsum(edge)[:-1] == 0)
-                    words = [words[i] for i in stay]
-                gone.append(n[-1] - len(words))
-                kept.append(b" ".join(words).decode())
+            lists = batch.column("places"), batch.column("alone")
+            for part in slices(batch.column("text"), lower=False):
+                for i in range(len(part)):
+                    places, singles = (x[part.first + i] for x in lists)
+                    a, b = part.bounds[i], part.bounds[i + 1]
+                    stay = np.arange(a, b)
+                    if places.is_valid:
+                        known = np.zeros(b - a, bool)
+                        known[places.values.to_numpy()] = True
+                        repeats = known[window_anchors(part.words[a:b], length)]
+                        if singles.is_valid:
+                            repeats[singles.values.to_numpy()] = False
+                        edge = np.zeros(b - a + 1, np.int64)
+                        at = np.flatnonzero(repeats)
+                        edge[at] += 1
+                        edge[at + length] -= 1
+                        stay = a + np.flatnonzero(np.cumsum(edge)[:-1] == 0)
+                    raw = part.raw
+                    kept.append(b" ".join([raw[s:e].tobytes() for s, e in zip(part.starts[stay].tolist(), part.ends[stay].tolist(), strict=True)])
+                                if len(stay) < b - a else b" ".join(raw[part.offsets[i]:part.offsets[i + 1]].tobytes().split()))
+                    n.append(int(b - a))
+                    gone.append(int(b - a) - len(stay))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())],
+                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array([k.decode() for k in kept], pa.string())],
                 names=["doc_id", "n_words", "n_removed", "kept_text"])
-    return _with_lists(docs, runs, "firsts", "left").select("doc_id", "text", "firsts", "lasts").mapInArrow(
+    return rows.select("doc_id", "text", "places", "alone").mapInArrow(
         run, "doc_id long, n_words long, n_removed long, kept_text string")
-
-
