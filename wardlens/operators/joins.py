@@ -1,10 +1,11 @@
-"""Join helpers that keep broadcast decisions honest.
-
-``join_small`` broadcasts the small side only when its size is bounded:
-either by construction (the caller names the bound, e.g. "one row per ISO
-week" — at most 53 rows whatever the data size) or by a runtime row count
-checked against ``max_rows``.  Above the limit it falls back to a shuffle
-join, where AQE's skew-join handling splits hot partitions.
+"""Join with a per-group table.
+
+``join_small`` broadcasts the small side only when its size is bounded by
+construction (the caller names the bound, e.g. "one row per ISO week", at most
+53 rows whatever the data size).  Otherwise the join is left to adaptive
+execution, which broadcasts by measured bytes under
+``spark.sql.autoBroadcastJoinThreshold`` and splits hot partitions of a
+shuffle join.
 """
 
 from __future__ import annotations
@@ -12,24 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardlens.session import cut_lineage
-
-BROADCAST_MAX_ROWS = 2_000_000
-
-
-def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
-               bound: str | None = None, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Join ``big`` with a small per-group table.
 
-    ``bound``: a statement of why ``small`` cannot grow with the data (e.g.
-    ``"<= 53 ISO weeks"``).  When given, broadcast directly.  Otherwise the
-    small side is checkpointed to the shared checkpoint folder (reliable,
-    survives executor loss, computed once), counted, and broadcast only
-    under ``max_rows`` rows.
-    """
-    if bound:
-        return big.join(F.broadcast(small), on, how)
-    small = cut_lineage(small)
-    if small.count() <= max_rows:
-        return big.join(F.broadcast(small), on, how)
-    return big.join(small, on, how)
+def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner", bound: str | None = None) -> DataFrame:
+    """Join ``big`` with a per-group table; ``bound`` says why ``small`` cannot grow with the data."""
+    return big.join(F.broadcast(small) if bound else small, on, how)

@@ -2,10 +2,8 @@
 repartitioning, unlike row-position based sampling).
 
 ``sample_per_group``: the ``k`` rows with the smallest ``xxhash64(id, seed)``
-per group.  A per-group Bernoulli pre-filter on the same hash keeps about
-``oversample * k`` candidates (the k smallest hashes always pass it, since
-it is a threshold on the hash itself), so the final ``row_number`` window
-sees a bounded number of rows even for a group holding most of the data.
+per group, taken first within hash shards of the group, so that no task sees
+more than a shard of a large group or ``k`` rows of each shard.
 
 ``hash_split`` / ``stratified_split``: fixed-seed train/test splits.
 """
@@ -26,22 +24,15 @@ def _unit_hash(cols, seed: int):
     return (h + 9223372036854775808.0) / _TWO64
 
 
-def sample_per_group(df: DataFrame, groups, id_cols, k: int, seed: int = 42,
-                     oversample: float = 8.0) -> DataFrame:
-    """Exactly min(k, group size) rows per group: those with the smallest hash.
-
-    Candidates: rows whose unit hash is below ``min(1, oversample*k/n_g)``.
-    The k smallest hashes pass whenever at least k rows pass, which holds
-    except with probability far below 1e-12 for oversample = 8; a group
-    with fewer candidates than k would return all its candidates."""
+def sample_per_group(df: DataFrame, groups, id_cols, k: int, seed: int = 42, shards: int = 64) -> DataFrame:
+    """Exactly min(k, group size) rows per group: those with the smallest hash."""
     groups = [groups] if isinstance(groups, str) else list(groups)
     id_cols = [id_cols] if isinstance(id_cols, str) else list(id_cols)
-    d = df.withColumn("__u", _unit_hash(id_cols, seed))
-    sizes = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("__n"))
-    d = join_small(d, sizes, groups)
-    d = d.where(F.col("__u") < F.least(F.lit(1.0), F.lit(oversample * k) / F.col("__n")))
-    w = Window.partitionBy(*groups).orderBy("__u", *id_cols)
-    return d.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= k).drop("__u", "__n", "__rn")
+    d = df.withColumn("__u", _unit_hash(id_cols, seed)).withColumn("__shard", F.pmod(F.xxhash64(*id_cols), F.lit(shards)))
+    for keys in ([*groups, "__shard"], groups):
+        w = Window.partitionBy(*keys).orderBy("__u", *id_cols)
+        d = d.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= k)
+    return d.drop("__u", "__shard", "__rn")
 
 
 def hash_split(df: DataFrame, id_cols, test_fraction: float = 0.2, seed: int = 42,
@@ -55,19 +46,15 @@ def stratified_split(df: DataFrame, label: str, id_cols, test_fraction: float =
                      col: str = "is_test") -> DataFrame:
     """Exact per-label split: within each label the ceil(f * n_label) rows
     with the smallest hash form the test set, so every stratum keeps its
-    proportion to within one row.  The per-label hash rank comes from the
-    range-partitioned rank operator (balanced even when one label holds
-    most rows), restricted to a candidate band that always contains the
-    test rows (hash below 2f + 64/n_label, checked below)."""
+    proportion to within one row.  The hash ranks come from the
+    range-partitioned rank operator over all rows, balanced even when one
+    label holds most of them."""
     from wardlens.operators.ranks import value_ranks
     id_cols = [id_cols] if isinstance(id_cols, str) else list(id_cols)
     d = df.withColumn("__u", _unit_hash(id_cols, seed))
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
-    d = join_small(d, sizes, label)
-    cand = d.where(F.col("__u") < F.least(F.lit(1.0), F.lit(2.0 * test_fraction) + F.lit(64.0) / F.col("__n")))
-    ranks = value_ranks(cand.groupBy(label, "__u").agg(F.count(F.lit(1)).alias("cnt")), "__u", keys=[label])
+    ranks = value_ranks(d.groupBy(label, "__u").agg(F.count(F.lit(1)).alias("cnt")), "__u", keys=[label])
     cut = join_small(ranks, sizes, label).where(F.col("rank") <= F.ceil(F.lit(test_fraction) * F.col("__n")))
     thr = cut.groupBy(label).agg(F.max("__u").alias("__thr"))
     out = join_small(d, thr, label, "left")
-    return out.withColumn(col, F.coalesce(F.col("__u") <= F.col("__thr"), F.lit(False))) \
-              .drop("__u", "__n", "__thr")
+    return out.withColumn(col, F.coalesce(F.col("__u") <= F.col("__thr"), F.lit(False))).drop("__u", "__thr")

@@ -108,7 +108,7 @@ def q05_age_gender_matrix(fact: DataFrame) -> DataFrame:
 
 def q06_los_outliers(fact: DataFrame, k: float = 2.0) -> DataFrame:
     thr = fact.agg(F.avg(LOS()) + k * F.stddev_samp(LOS())).scalar()
-    return fact.where(LOS() > thr).orderBy(LOS().desc_nulls_first())
+    return fact.where(LOS() > thr).orderBy(LOS().desc_nulls_first(), "admission_id")
 
 
 def q07_department_year(fact: DataFrame) -> DataFrame:
@@ -153,14 +153,14 @@ def q11_weekly_z_outliers(fact: DataFrame, z: float = 2.0) -> DataFrame:
     j = join_small(fact, stats, "admission_week", bound=WEEKS_BOUND)
     j = j.withColumn("z_score", (LOS() - F.col("mean_los")) / F.nullif(F.col("stddev_los"), F.lit(0.0)))
     return j.where(F.col("z_score") > z).orderBy(F.col("admission_week").asc_nulls_last(),
-                                                 F.col("z_score").desc_nulls_first())
+                                                 F.col("z_score").desc_nulls_first(), "admission_id")
 
 
 def q12_bottom_decile_los(fact: DataFrame, p: float = 0.1) -> DataFrame:
     pc = group_percentiles(fact, "department", "length_of_stay", {"p10": p})
     j = join_small(fact, pc.where(F.col("department").isNotNull()), "department")
     return (j.where(LOS() <= F.col("p10")).drop("p10")
-             .orderBy(F.col("department").asc_nulls_last(), LOS().asc_nulls_last()))
+             .orderBy(F.col("department").asc_nulls_last(), LOS().asc_nulls_last(), "admission_id"))
 
 
 def q13_patient_risk_index(fact: DataFrame, top: int = 50) -> DataFrame:
@@ -177,7 +177,7 @@ def q14_deaths_per_1000_days(fact: DataFrame) -> DataFrame:
 
 
 def q15_recovery_efficiency(fact: DataFrame) -> DataFrame:
-    """efficiency = 100 * survivors / mean survivor LOS(), evaluated as the
+    """efficiency = 100 * survivors / mean survivor stay, evaluated as the
     single ratio 100 * survivors * m / s (m, s = count and sum of survivor
     stays) so that only the final value is rounded."""
     alive_los = F.when(DEATH(), F.lit(None)).otherwise(LOS())
@@ -224,13 +224,13 @@ def q20_high_risk_elderly(fact: DataFrame, min_age: int = 70, min_los: int = 10,
                           category: str = "Severe") -> DataFrame:
     return (fact.where((F.col("age") >= min_age) & (DEATH() == F.lit(True)) & (LOS() >= min_los)
                        & (F.col("pollution_category") == category))
-            .orderBy(LOS().desc_nulls_first()))
+            .orderBy(LOS().desc_nulls_first(), "admission_id"))
 
 
 def q21_department_risk_clusters(fact: DataFrame) -> DataFrame:
     b = fact.groupBy("department").agg(_avg2().alias("avg_los"), pct(DEATHS_SUM(), N()).alias("mortality_rate"))
     a, r = F.col("avg_los"), F.col("mortality_rate")
-    cl = (F.when((a > 10) & (r > 10), "Critical").when(a > 10, "High LOS()")
+    cl = (F.when((a > 10) & (r > 10), "Critical").when(a > 10, "High LOS")
           .when(r > 10, "High Mortality").otherwise("Normal"))
     return b.withColumn("risk_cluster", cl).orderBy("risk_cluster")
 
@@ -285,7 +285,7 @@ def q27_patient_summary(fact: DataFrame) -> DataFrame:
         F.sum(LOS()).alias("total_stay"), F.max(DEATH().cast("int")).alias("ever_died"))
     return (g.withColumn("visit_type", F.when(F.col("admission_count") > 1, "Repeat Visitor")
                          .otherwise("Single Admission"))
-             .orderBy(F.col("total_stay").desc_nulls_first()))
+             .orderBy(F.col("total_stay").desc_nulls_first(), "mrd_no"))
 
 
 def q28_pm25_bands(fact: DataFrame) -> DataFrame:
@@ -353,7 +353,7 @@ def i4_department_summary(fact: DataFrame) -> DataFrame:
 
 
 def i5_department_efficiency(fact: DataFrame, dept: str | None = None) -> DataFrame:
-    """Efficiency = 100 * survivors / mean LOS() of all stays, one row per
+    """Efficiency = 100 * survivors / mean stay of all stays, one row per
     department (all departments when ``dept`` is None).  Computed as the
     single ratio 100 * survivors * m / s (m, s = count and sum of stays)."""
     f = fact if dept is None else fact.where(F.col("department") == dept)

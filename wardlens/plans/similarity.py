@@ -55,7 +55,7 @@ def _norm(cols):
 def top_similar(d: DataFrame, query_admission, k: int = 5, features=SIM_FEATURES) -> DataFrame:
     """Top-k admissions by cosine similarity to the admission
     ``query_admission`` (a literal or a scalar-subquery Column); the query
-    row itself is excluded, ties go to the smaller admission id.  Zero
+    row itself is excluded, an id that is not in the table has no neighbours, ties go to the smaller admission id.  Zero
     vectors have similarity 0, as in the reference's library."""
     zc = [c + "_z" for c in features]
     z = zscore(d, features).withColumn("__norm", _norm(zc))
@@ -66,7 +66,7 @@ def top_similar(d: DataFrame, query_admission, k: int = 5, features=SIM_FEATURES
     dot = sum((F.col(c) * q.getField(c) for c in zc), F.lit(0.0))
     den = F.col("__norm") * q.getField("norm")
     score = F.when(den > 0, dot / den).otherwise(F.lit(0.0))
-    cand = z.where(F.col("admission_id") != qid).withColumn("score", score)
+    cand = z.where((F.col("admission_id") != qid) & q.isNotNull()).withColumn("score", score)
     top = cand.orderBy(F.desc("score"), "admission_id").limit(k)
     # k rows: the rank window below runs on the k-row result only.
     w = Window.orderBy(F.desc("score"), "admission_id")

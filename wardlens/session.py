@@ -91,10 +91,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
     On a cluster the platform names a shared folder (HDFS/object store) and we
     use it as is.  Only when it is unset (local tests) do we create a private
-    scratch folder so that ``DataFrame.checkpoint()`` works.
+    scratch folder so that ``DataFrame.checkpoint()`` works; executors of a
+    cluster could not see it, so there an unset folder is an error.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="wardlens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)

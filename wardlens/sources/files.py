@@ -14,29 +14,68 @@ from pyspark.sql import types as T
 
 from wardlens.functions.columns import normalize_name
 
-# Staging table: 57 typed columns (dirty lab values stay text).
-_INT_COLS = ("sno age duration_of_stay duration_of_intensive_unit_stay smoking alcohol dm htn cad prior_cmp ckd "
-             "raised_cardiac_enzymes severe_anaemia anaemia stable_angina acs stemi atypical_chest_pain "
-             "heart_failure hfref hfnef valvular chb sss aki cva_infract cva_bleed af vt psvt congenital uti "
-             "neuro_cardiogenic_syncope orthostatic infective_endocarditis dvt cardiogenic_shock shock "
-             "pulmonary_embolism").split()
-_STAGING_ORDER = ("sno mrd_no doa dod age gender rural type_of_admissionemergencyopd month_year duration_of_stay "
-                  "duration_of_intensive_unit_stay outcome smoking alcohol dm htn cad prior_cmp ckd hb tlc platelets "
-                  "glucose urea creatinine bnp raised_cardiac_enzymes ef severe_anaemia anaemia stable_angina acs "
-                  "stemi atypical_chest_pain heart_failure hfref hfnef valvular chb sss aki cva_infract cva_bleed af "
-                  "vt psvt congenital uti neuro_cardiogenic_syncope orthostatic infective_endocarditis dvt "
-                  "cardiogenic_shock shock pulmonary_embolism chest_infection age_bucket").split()
-
-
-def _staging_type(name: str) -> T.DataType:
-    if name in _INT_COLS:
-        return T.IntegerType()
-    if name in ("doa", "dod"):
-        return T.DateType()
-    return T.StringType()
-
-
-STAGING_SCHEMA = T.StructType([T.StructField(c, _staging_type(c)) for c in _STAGING_ORDER])
+# The 57 columns of the staging table, in order (dirty lab values stay text).
+STAGING_COLUMNS = [
+    ("sno", "long"),
+    ("mrd_no", "string"),
+    ("doa", "date"),
+    ("dod", "date"),
+    ("age", "int"),
+    ("gender", "string"),
+    ("rural", "string"),
+    ("type_of_admissionemergencyopd", "string"),
+    ("month_year", "string"),
+    ("duration_of_stay", "int"),
+    ("duration_of_intensive_unit_stay", "int"),
+    ("outcome", "string"),
+    ("smoking", "int"),
+    ("alcohol", "int"),
+    ("dm", "int"),
+    ("htn", "int"),
+    ("cad", "int"),
+    ("prior_cmp", "int"),
+    ("ckd", "int"),
+    ("hb", "string"),
+    ("tlc", "string"),
+    ("platelets", "string"),
+    ("glucose", "string"),
+    ("urea", "string"),
+    ("creatinine", "string"),
+    ("bnp", "string"),
+    ("raised_cardiac_enzymes", "int"),
+    ("ef", "string"),
+    ("severe_anaemia", "int"),
+    ("anaemia", "int"),
+    ("stable_angina", "int"),
+    ("acs", "int"),
+    ("stemi", "int"),
+    ("atypical_chest_pain", "int"),
+    ("heart_failure", "int"),
+    ("hfref", "int"),
+    ("hfnef", "int"),
+    ("valvular", "int"),
+    ("chb", "int"),
+    ("sss", "int"),
+    ("aki", "int"),
+    ("cva_infract", "int"),
+    ("cva_bleed", "int"),
+    ("af", "int"),
+    ("vt", "int"),
+    ("psvt", "int"),
+    ("congenital", "int"),
+    ("uti", "int"),
+    ("neuro_cardiogenic_syncope", "int"),
+    ("orthostatic", "int"),
+    ("infective_endocarditis", "int"),
+    ("dvt", "int"),
+    ("cardiogenic_shock", "int"),
+    ("shock", "int"),
+    ("pulmonary_embolism", "int"),
+    ("chest_infection", "string"),
+    ("age_bucket", "string"),
+]
+_STAGING_TYPES = {"int": T.IntegerType(), "long": T.LongType(), "date": T.DateType(), "string": T.StringType()}
+STAGING_SCHEMA = T.StructType([T.StructField(n, _STAGING_TYPES[t]) for n, t in STAGING_COLUMNS])
 
 BROUGHT_DEAD_SCHEMA = T.StructType([
     T.StructField("sno", T.IntegerType()), T.StructField("mrd", T.StringType()),

@@ -36,13 +36,17 @@ def order_lines(lineitem: DataFrame) -> DataFrame:
 
 
 def pollution_readings(lineitem: DataFrame) -> DataFrame:
-    """Raw pollution readings: one per 7th line item, keyed by ship day.
+    """Raw pollution readings: one per line item, keyed by ship day.
 
+    The level follows the day, so that all bands occur; readings of every
+    13th day are entered on the day before, so that some days have none.
     Integer-valued inputs keep the daily means exact in any summation order.
     """
-    return (lineitem.where(F.col("l_linenumber") == 7)
-            .select(F.col("l_shipdate").cast("date").alias("recorded_date"),
-                    (F.col("l_quantity").cast("bigint") * 4).alias("pm25"),
+    ship = F.col("l_shipdate").cast("date")
+    day = F.datediff(ship, F.lit("1995-01-01").cast("date"))
+    return (lineitem
+            .select(F.date_sub(ship, F.when(day % 13 == 0, 1).otherwise(0)).alias("recorded_date"),
+                    (F.col("l_quantity").cast("bigint") * 2 + (day * 37) % 150).cast("bigint").alias("pm25"),
                     (F.col("l_quantity").cast("bigint") * 6).alias("pm10"),
                     (F.round(F.col("l_discount") * 100).cast("bigint") * 10).alias("no2"),
                     (F.round(F.col("l_tax") * 100).cast("bigint") * 5).alias("so2")))

@@ -24,7 +24,7 @@ def alerts(df: DataFrame, threshold: int = LOS_ALERT_DAYS) -> DataFrame:
     return df.where(F.col("length_of_stay") > threshold).select(
         "admission_id", "mrd_no", "length_of_stay",
         F.concat(F.lit("Outlier Detected: LOS = "), F.col("length_of_stay").cast("string"),
-                 F.lit(" for patient "), F.col("mrd_no")).alias("message"))
+                 F.lit(" for patient "), F.coalesce("mrd_no", F.lit("unknown"))).alias("message"))
 
 
 def run_stream(spark: SparkSession, source_dir: str, fact_dir: str, alerts_dir: str, checkpoint: str,
@@ -35,8 +35,10 @@ def run_stream(spark: SparkSession, source_dir: str, fact_dir: str, alerts_dir:
     src = spark.readStream.schema(schema).parquet(source_dir)
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
         batch.write.mode("overwrite").parquet(f"{fact_dir}/batch_id={batch_id}")
         alerts(batch, threshold).write.mode("overwrite").parquet(f"{alerts_dir}/batch_id={batch_id}")
+        batch.unpersist()
 
     q = (src.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
