@@ -1,0 +1,8 @@
+import pytest
+
+from wardlens.llm.storage import ready
+
+
+@pytest.fixture(scope="session", autouse=True)
+def _ready(spark):
+    ready(spark)

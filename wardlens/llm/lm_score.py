@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from wardlens.llm.text_hash import U64, gram_hashes, slices
 
 BACKOFF = 0.4
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 24 << 20
 #: N-grams that a shard holds, about.
 SHARD_GRAMS = 3_000_000
 
@@ -120,15 +120,19 @@ def scores(docs: DataFrame) -> DataFrame:
         totals[order] = np.add.reduceat(n[order], np.flatnonzero(first))[np.cumsum(first) - 1]
         more = totals > n
         keep = [a + np.flatnonzero(more[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-        return pa.table([pa.array(blocks_of, pa.int64()), _lists([flat[k].view(np.int64) for k in keep], pa.int64()),
-                         _lists([totals[k] for k in keep], pa.int64())], names=["block", "grams", "totals"])
+        # An n-gram is named by its place in the list that its block sent, as the step from the one before.
+        steps = [np.diff(k, prepend=a - 1).astype(np.int32) for k, a in zip(keep, ends[:-1], strict=True)]
+        return pa.table([pa.array(blocks_of, pa.int64()), table.column("shard"), _lists(steps, pa.int32()), _lists([totals[k] for k in keep], pa.int64())],
+                        names=["block", "shard", "steps", "totals"])
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         keys, counts = _counted(left.column("text"))
         right = right.combine_chunks()
-        for chunk in range(right.column("grams").num_chunks):
-            grams, totals = right.column("grams").chunk(chunk), right.column("totals").chunk(chunk)
-            counts[np.searchsorted(keys, grams.flatten().to_numpy().view(U64))] = totals.flatten().to_numpy()
+        if len(right):
+            order = np.argsort((keys % U64(shards)).astype(np.int64), kind="stable")
+            first = np.concatenate(([0], np.cumsum(np.bincount((keys % U64(shards)).astype(np.int64), minlength=shards))))
+            for shard, steps, totals in zip(right.column("shard").to_pylist(), right.column("steps"), right.column("totals"), strict=True):
+                counts[order[first[shard] - 1 + np.cumsum(steps.values.to_numpy())]] = totals.values.to_numpy()
         out: list[tuple[int, int, float]] = []
         for part in slices(left.column("text"), lower=False):
             for i in range(len(part)):
@@ -137,7 +141,7 @@ def scores(docs: DataFrame) -> DataFrame:
                         names=["doc_id", "n_words", "n_backed_off", "log_score"])
 
     answers = dealt.groupBy("block").applyInArrow(ask, _ASKED).groupBy("shard").applyInArrow(
-        answer, "block long, grams array<long>, totals array<long>")
+        answer, "block long, shard long, steps array<int>, totals array<long>")
     found = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, _SCORED)
     return found.withColumn("mean_log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")))
 

@@ -168,9 +168,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)`` for each row of ``docs(doc_id, text, ...)``.
 
     A null, empty or white-space text has the empty set and is linked with
-    nothing.  Rows of one doc_id are one node: each is returned, with the
-    component of the node.  A null doc_id is returned with null component
-    and ``kept`` true.  Other columns are ignored.  An empty table gives an
+    nothing.  Repeated rows are returned each; different texts of one doc_id
+    are one node for the links.  A null doc_id is returned with null
+    component and ``kept`` true.  Other columns are ignored.  An empty table gives an
     empty result.
     """
     signed = stored(signatures(docs), "signatures")
@@ -232,5 +232,5 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     member = signed.select("doc_id", "n_shingles", "set_a", "set_b").join(
         classes.select("set_a", "set_b", "n_shingles", "rep"), ["set_a", "set_b", "n_shingles"], "left")
     out = member.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
+        "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -206,6 +206,8 @@ def pack(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", window: int = W
     ranked = sharded.withColumn("own", F.row_number().over(own) - 1).join(before, ["length", "shard"]) \
         .withColumn("rank", F.col("own") + F.col("before")).drop("own", "before", "shard")
 
+    names = cut.columns
+
     def place(batches):
         for batch in batches:
             sequence, offset = [], []
@@ -214,9 +216,8 @@ def pack(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", window: int = W
                 i = bisect_right(ranks, rank) - 1
                 sequence.append(sequences[i] + rank - ranks[i])
                 offset.append(offsets[i])
-            keep = [c for c in batch.schema.names if c != "rank"]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in keep), pa.array(sequence, pa.int64()), pa.array(offset, pa.int64())],
-                names=[*keep, "sequence_id", "offset"])
+                [*(batch.column(c) for c in names), pa.array(sequence, pa.int64()), pa.array(offset, pa.int64())],
+                names=[*names, "sequence_id", "offset"])
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema)
-    return ranked.mapInArrow(place, f"{kinds}, sequence_id long, offset long")
+    return ranked.select(*names, "rank").mapInArrow(place, f"{kinds}, sequence_id long, offset long")

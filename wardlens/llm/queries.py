@@ -6,12 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardlens.llm import decontam, html_extract, kneser_ney, line_dedup, lm_score, minhash, packing, pii, substring, winnowing
-from wardlens.session import ensure_checkpoint_dir, ship_package
+from wardlens.llm.storage import ready
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    ensure_checkpoint_dir(spark)
-    ship_package(spark)
+    ready(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

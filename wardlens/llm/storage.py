@@ -17,6 +17,18 @@ from wardlens.session import ensure_checkpoint_dir, ship_package
 BROADCAST_BYTES = 32 << 20
 
 
+#: Rows and bytes of one Arrow batch, lest a batch of long texts fill an executor.
+BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+
+
+def ready(spark: SparkSession) -> None:
+    """What the operators need of a session: the shared folder, this package on the executors, bounded Arrow batches."""
+    ensure_checkpoint_dir(spark)
+    ship_package(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
