@@ -11,8 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardlens.llm import decontam, kneser_ney, line_dedup, minhash, packing
-from wardlens.llm.storage import small_enough, stored
-from wardlens.session import ensure_checkpoint_dir, ship_package
+from wardlens.llm.storage import ready, small_enough, stored
 
 
 def _by_id(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
@@ -22,21 +21,16 @@ def _by_id(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     return docs.join(right, F.col("doc_id").cast("long") == F.col("__id"), how)
 
 
-def _ready(spark: SparkSession) -> None:
-    ensure_checkpoint_dir(spark)
-    ship_package(spark)
-
-
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose perplexity is above their language's threshold go."""
-    _ready(spark)
+    ready(spark)
     scored = kneser_ney.perplexities(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return _by_id(docs, scored.where("not kept"), "left_anti")
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Boilerplate lines go from the texts; every document stays, with ``n_chars`` counted anew."""
-    _ready(spark)
+    ready(spark)
     cut = line_dedup.without_boilerplate(docs)
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
@@ -45,20 +39,20 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays, that of the smallest doc_id."""
-    _ready(spark)
+    ready(spark)
     found = minhash.near_duplicates(docs)
     return _by_id(docs, found.where("not kept"), "left_anti")
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that overlap a benchmark item go."""
-    _ready(spark)
+    ready(spark)
     return decontam.without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every piece of every remaining document with its place in a sequence."""
-    _ready(spark)
+    ready(spark)
     return packing.pack(docs)
 
 
@@ -75,7 +69,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _ready(spark)
+    ready(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
