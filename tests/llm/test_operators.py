@@ -246,7 +246,7 @@ def test_classifier(spark, docs, odd):
 def test_classifier_shares_sum_to_one(spark):
     rows = [(i, "en", t, False) for i, t in enumerate(("a b c a b", "b c a", "c c a b d", "a"))]
     chosen = spark.createDataFrame(rows, "doc_id long, lang string, text string, held_out boolean")
-    model = kneser_ney.train(chosen)
+    model = kneser_ney._sent(kneser_ney.train(chosen))
     vocabulary = ["a", "b", "c", "d"]
     base = spark.createDataFrame([(0, "en", "a b")], "doc_id long, lang string, text string")
     ends = spark.createDataFrame([(i, "en", f"a b {w}") for i, w in enumerate(vocabulary)], "doc_id long, lang string, text string")
