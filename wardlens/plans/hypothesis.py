@@ -34,7 +34,7 @@ from wardlens.session import cut_lineage
 
 RESULT_COLS = ["test_id", "test", "kind", "statistic", "df1", "df2", "n"]
 
-# Shared pre-step of the test battery: coerce, then drop rows with NULLs.
+# The columns that the shared pre-step of the test battery coerces, then those in which it drops NULLs.
 COERCE = ["duration_of_stay", "age", "urea", "creatinine", "bnp", "tlc", "glucose", "platelets"]
 REQUIRED = ["duration_of_stay", "gender", "age", "htn", "ckd", "dm", "outcome", "age_bucket",
             "type_of_admissionemergencyopd"]

@@ -323,8 +323,8 @@ def i2_classify_admissions(fact: DataFrame) -> DataFrame:
 
 
 def register_sql_functions(spark) -> None:
-    """SQL surface: ``classify_risk(los, died)`` scalar function and the
-    ``department_efficiency(dept)`` table function over ``fact_admissions``."""
+    """SQL surface: the scalar function ``classify_risk(los, died)``.  Department
+    efficiency has no SQL function; ``i5_department_efficiency`` is its DataFrame form."""
     spark.sql("""
         CREATE OR REPLACE TEMPORARY FUNCTION classify_risk(length_of_stay INT, is_mortality BOOLEAN)
         RETURNS STRING

@@ -96,6 +96,7 @@ def enrich_master(admissions: DataFrame, mortality: DataFrame, pollution: DataFr
     the join cannot multiply admissions; every admission of a patient with a
     death record is flagged, as in the reference.
     """
+    # The date columns of the three files.
     dates = ["admission_date", "discharge_date", "death_date", "recorded_date"]
     a = coerce_dates(normalize_columns(admissions), dates).dropDuplicates()
     m = coerce_dates(normalize_columns(mortality), dates).dropDuplicates()

@@ -21,6 +21,7 @@ def tag(df: DataFrame, threshold: int = LOS_ALERT_DAYS) -> DataFrame:
 
 
 def alerts(df: DataFrame, threshold: int = LOS_ALERT_DAYS) -> DataFrame:
+    # The wording of the message.
     return df.where(F.col("length_of_stay") > threshold).select(
         "admission_id", "mrd_no", "length_of_stay",
         F.concat(F.lit("Outlier Detected: LOS = "), F.col("length_of_stay").cast("string"),
