@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, and on nulls, empty and long texts, ties, repeated rows, empty tables and extra columns."""
 
 import hashlib
+import itertools
 import random
 import re
 from collections import Counter
@@ -282,3 +283,44 @@ def test_pipeline_stages(spark, docs):
     packed = corpus_pipeline.STAGES[-1][1](spark, done, SF)
     assert packed.select("doc_id").distinct().count() == done.count()
     assert set(queries.SQL) <= set(queries.QUERIES)
+
+
+def _accepted(n_items):
+    """Substitution patterns of an item of ``n_items`` words that ``best_overlap`` accepts, the smallest overlap of each kind."""
+    least = min(decontam.OVERLAP, int(np.ceil(decontam.SHARE * n_items)))
+    for size in range(least, min(n_items, 19) + 1):
+        for free in itertools.combinations(range(1, size - 1), size - least):
+            equal = np.ones(size, bool)
+            equal[list(free)] = False
+            if decontam.best_overlap(equal)[2] >= least:
+                yield equal
+
+
+def test_decontamination_masks_fit_every_accepted_overlap():
+    for n in range(decontam.LEAST_WORDS, 21):
+        masks = [np.array([c == "1" for c in m]) for _, m in decontam._masks(n)]
+        for equal in _accepted(n):
+            assert any(equal[i:i + len(m)][m].all() for m in masks for i in range(len(equal) - len(m) + 1)), (n, equal)
+
+
+def test_decontamination_finds_spread_substitutions(spark):
+    rng = random.Random(8)
+    sizes = [59, 40, 30, 20, 15, 15, 10, 10, 9, 8, 7, 6, 5]
+    items = [[f"i{k}w{j}" for j in range(n)] for k, n in enumerate(sizes)]
+    rows = []
+    for k, item in enumerate(items):
+        n = len(item)
+        spared = [[j for j in range(n) if j % 5 == 4]] if n > 14 else [[j] for j in range(n)]
+        spared += [[j for j in range(n) if j % 3 == 2]] if n > 19 else []
+        for off in spared:
+            own = [f"x{rng.random()}" if j in off else w for j, w in enumerate(item)]
+            rows.append((len(rows), k, ["n1"] * 20 + own + ["n2"] * 20, [j not in off for j in range(n)]))
+    frame = spark.createDataFrame([(i, " ".join(w)) for i, _, w, _ in rows], "doc_id long, text string")
+    table = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    want = {}
+    for i, k, _, equal in rows:
+        first, end, same = decontam.best_overlap(np.array(equal))
+        if same >= min(decontam.OVERLAP, int(np.ceil(decontam.SHARE * len(equal)))):
+            want[i, k] = (20 + first, end - first, same)
+    got = {(r.doc_id, r.item_id): (r.place, r.span, r.n_equal) for r in decontam.contaminated(frame, table).collect()}
+    assert len(want) > 40 and got == want

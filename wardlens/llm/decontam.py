@@ -6,10 +6,21 @@ are hashed.  Documents are searched through a bitmap of the items' hashes,
 whose size is fixed; what passes is joined to the table of the items' hashes.
 Each hit fixes how item and document lie against each other, and the overlap
 around it is verified word by word, substitutions being allowed.
+
+The masks are all that have five words that count and at most two free ones
+between.  Every overlap that ``best_overlap`` accepts fits one of them: its
+shortest head with 13 equal words holds at most 6 substitutions, which part
+these words into at most 7 runs.  Were no three runs in a row to hold 5 of
+them, runs 1 to 3 and 4 to 6 held 8 at most, so the last 5 by itself.  A
+shorter item has at most 3 substitutions beside its 0.8, and its runs hold 5
+in the same way from six words on.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,9 +31,17 @@ from wardlens.llm.keys import row_key
 from wardlens.llm.storage import stored
 from wardlens.llm.text_hash import U64, mix, slices
 
-#: Fixed masks: 1 is a word that counts.
-MASKS = ("11011011011", "1110010111", "10111011011")
-#: Items with fewer words than the shortest mask are matched whole, but for those of fewer words than this, which are not searched.
+
+def _spaced(weight: int, longest: int) -> list[str]:
+    """All masks that begin and end with a word that counts, have ``weight`` of them and are no longer than ``longest``."""
+    return ["1" + "".join("0" if i in free else "1" for i in range(n - 2)) + "1"
+            for n in range(weight, longest + 1) for free in combinations(range(n - 2), n - weight)]
+
+
+#: Masks for items of six words and more, then those for items of five: 1 is a word that counts.
+MASKS = tuple(_spaced(5, 7))
+MASKS_OF_FIVE = tuple(_spaced(4, 5))
+#: Items of fewer words than this are not searched: a word or two are found anywhere.
 LEAST_WORDS = 5
 #: A document is contaminated by an overlap of so many equal words, or of this share of a shorter item.
 OVERLAP = 13
@@ -31,26 +50,27 @@ SHARE = 0.8
 SUBSTITUTION = 2
 #: Words of a document that are kept around hits.
 AROUND = 64
-_SHORT = min(map(len, MASKS))
+#: Items of fewer words have masks of their own.
+_SHORT = 6
 
 
 def _masks(n_words: int) -> list[tuple[int, str]]:
-    """The masks to search an item by, numbered: the fixed ones, or its whole length."""
+    """The masks to search an item by, numbered."""
     if n_words >= _SHORT:
         return list(enumerate(MASKS))
-    return [(100 + n_words, "1" * n_words)] if n_words >= LEAST_WORDS else []
+    return list(enumerate(MASKS_OF_FIVE, 100)) if n_words >= LEAST_WORDS else []
 
 
-def seed_hashes(words: np.ndarray, number: int, mask: str) -> np.ndarray:
-    """The hash of the words under the mask at every place where it fits."""
-    n = len(words) - len(mask) + 1
-    if n <= 0:
-        return np.zeros(0, U64)
-    total = np.zeros(n, U64)
-    for at, c in enumerate(mask):
-        if c == "1":
-            total += words[at:at + n] * U64((2 * at + 1) * 0x9E3779B97F4A7C15 % (1 << 64) | 1)
-    return mix(total + U64(number * 0xD1342543DE82EF95 % (1 << 64)))
+def seed_hashes(words: np.ndarray, masks: list[tuple[int, str]]) -> Iterator[tuple[str, np.ndarray]]:
+    """Each mask with the hash of the words under it at every place where it fits."""
+    terms = [words * U64((2 * at + 1) * 0x9E3779B97F4A7C15 % (1 << 64) | 1) for at in range(max((len(m) for _, m in masks), default=0))]
+    for number, mask in masks:
+        n = max(0, len(words) - len(mask) + 1)
+        total = np.full(n, number * 0xD1342543DE82EF95 % (1 << 64), U64)
+        for at, c in enumerate(mask):
+            if c == "1":
+                total += terms[at][at:at + n]
+        yield mask, mix(total)
 
 
 def _words(items: DataFrame) -> DataFrame:
@@ -70,8 +90,8 @@ def _seeds(words: DataFrame) -> DataFrame:
             rows = []
             for item, own in zip(batch.column("item_id").to_pylist(), batch.column("words"), strict=True):
                 own = own.values.to_numpy().view(U64)
-                for number, mask in _masks(len(own)):
-                    rows += [(int(h), item, at) for at, h in enumerate(seed_hashes(own, number, mask).view(np.int64))]
+                for _, hashes in seed_hashes(own, _masks(len(own))):
+                    rows += [(int(h), item, at) for at, h in enumerate(hashes.view(np.int64))]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], names=["seed", "item_id", "item_place"])
     return words.mapInArrow(run, "seed long, item_id long, item_place long")
 
@@ -88,8 +108,7 @@ def _regions(docs: DataFrame, found: Bitmap, masks: list[tuple[int, str]]) -> Da
             for part in slices(batch.column("text"), lower=True):
                 doc = np.repeat(np.arange(len(part)), np.diff(part.bounds))
                 at, what = [], []
-                for number, mask in masks:
-                    seeds = seed_hashes(part.words, number, mask)
+                for mask, seeds in seed_hashes(part.words, masks):
                     first = known.may_have(seeds)
                     first = first[doc[first] == doc[first + len(mask) - 1]]
                     at.append(first)
@@ -97,15 +116,13 @@ def _regions(docs: DataFrame, found: Bitmap, masks: list[tuple[int, str]]) -> Da
                 at, what = np.concatenate(at), np.concatenate(what).view(np.int64)
                 order = np.argsort(at, kind="stable")
                 at, what = at[order], what[order]
-                rows, i = [], 0
-                while i < len(at):
-                    row, j = doc[at[i]], i + 1
-                    while j < len(at) and doc[at[j]] == row and at[j] - at[j - 1] <= AROUND:
-                        j += 1
+                apart = np.flatnonzero((np.diff(at) > AROUND) | (np.diff(doc[at]) != 0)) + 1
+                edges, rows = [0, *apart.tolist(), len(at)] if len(at) else [], []
+                for i, j in zip(edges, edges[1:], strict=False):
+                    row = doc[at[i]]
                     head, tail = part.bounds[row], part.bounds[row + 1]
                     a, b = max(head, at[i] - AROUND), min(tail, at[j - 1] + AROUND)
                     rows.append((part.first + row, a - head, part.words[a:b].view(np.int64), what[i:j], at[i:j] - head))
-                    i = j
                 if rows:
                     of = pa.array([r[0] for r in rows])
                     yield pa.RecordBatch.from_arrays(
@@ -125,19 +142,26 @@ def best_overlap(equal: np.ndarray) -> tuple[int, int, int]:
 
 
 def _verified(near: DataFrame) -> DataFrame:
+    """``near(key, doc_id, item_id, place, item_words, words, own)``, equally long stretches of document and item -> the overlaps that are large enough."""
+    names = ["key", "doc_id", "item_id", "place", "span", "n_equal", "item_words"]
+
     def run(batches):
         for batch in batches:
+            size = batch.column("item_words").to_numpy()
+            least = np.minimum(OVERLAP, np.ceil(SHARE * size)).astype(np.int64)
+            (off, words), (other, own) = ((np.asarray(c.offsets), np.asarray(c.values)) for c in (batch.column("words"), batch.column("own")))
+            equal = words[off[0]:off[-1]] == own[other[0]:other[-1]]
+            off = off - off[0]
+            sums = np.concatenate(([0], np.cumsum(equal)))
             rows = []
-            for key, doc_id, item, diagonal, start, words, own in zip(
-                    *(batch.column(c).to_pylist() for c in ("key", "doc_id", "item_id", "diagonal", "start")),
-                    batch.column("words"), batch.column("item_words"), strict=True):
-                words, own = words.values.to_numpy(), own.values.to_numpy()
-                a, b = max(0, start - diagonal), min(len(own), start + len(words) - diagonal)
-                first, end, same = best_overlap(words[a + diagonal - start:b + diagonal - start] == own[a:b])
-                if same >= min(OVERLAP, int(np.ceil(SHARE * len(own)))):
-                    rows.append((key, doc_id, item, a + diagonal + first, end - first, same, len(own)))
-            names = ["key", "doc_id", "item_id", "place", "span", "n_equal", "item_words"]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(7)], names=names)
+            for i in np.flatnonzero(sums[off[1:]] - sums[off[:-1]] >= least).tolist():
+                first, end, same = best_overlap(equal[off[i]:off[i + 1]])
+                if same >= least[i]:
+                    rows.append((i, first, end - first, same))
+            at, first, span, same = (pa.array([r[k] for r in rows], pa.int64()) for k in range(4))
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c).take(at) for c in names[:3]), pa.array(batch.column("place").take(at).to_numpy() + first.to_numpy()),
+                 span, same, batch.column("item_words").take(at)], names=names)
     return near.mapInArrow(run, "key long, doc_id long, item_id long, place long, span long, n_equal long, item_words long")
 
 
@@ -146,9 +170,8 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     ``place`` and ``span`` count words of the document, ``n_equal`` those of
     the span that are the item's.  Only pairs that overlap enough have a row.
-    Null, empty and very short texts and items match nothing; items of one
-    text are reported by the smallest item_id; repeated document rows are
-    found each but reported once.  ``key`` is ``keys.row_key`` of the row.
+    Null, empty and very short texts and items match nothing; items of one text
+    are reported  ``key`` is ``keys.row_key`` of the row.
     Other columns are ignored.  An empty table on either side gives an empty
     result.
     """
@@ -156,16 +179,22 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text", row_key(docs).alias("key"))
     words = stored(_words(items), "items")
     seeds = stored(_seeds(words), "seeds")
-    lengths = [r[0] for r in words.select(F.size("words").alias("n")).where(F.col("n") < _SHORT).distinct().collect()]
-    masks = list(enumerate(MASKS)) + [m for n in sorted(lengths) for m in _masks(n)]
+    lengths = [r[0] for r in words.select(F.least(F.size("words"), F.lit(_SHORT)).alias("n")).distinct().collect()]
+    masks = [m for n in sorted(lengths) for m in _masks(n)] or _masks(_SHORT)
     regions = stored(_regions(docs, bitmap(seeds, "seed"), masks), "regions")
 
     hits = regions.select("key", "start", F.explode(F.arrays_zip("seeds", "places")).alias("h")).select(
         "key", "start", F.col("h.seeds").alias("seed"), F.col("h.places").alias("place"))
     lie = hits.join(seeds, "seed").select("key", "start", "item_id", (F.col("place") - F.col("item_place")).alias("diagonal")).distinct()
     near = lie.join(regions.select("key", "doc_id", "start", "words").dropDuplicates(["key", "start"]), ["key", "start"]) \
-        .join(words.select("item_id", F.col("words").alias("item_words")), "item_id")
-    found = _verified(near.select("key", "doc_id", "item_id", "diagonal", "start", "words", "item_words"))
+        .join(words.select("item_id", F.col("words").alias("own")), "item_id")
+    # Only the stretch in which region and item lie against each other goes on.
+    head = F.greatest(F.lit(0), F.col("start") - F.col("diagonal"))
+    n = F.least(F.size("own"), F.col("start") + F.size("words") - F.col("diagonal")) - head
+    found = _verified(near.select(
+        "key", "doc_id", "item_id", (head + F.col("diagonal")).alias("place"), F.size("own").cast("long").alias("item_words"),
+        F.slice("words", (head + F.col("diagonal") - F.col("start") + 1).cast("int"), n.cast("int")).alias("words"),
+        F.slice("own", (head + 1).cast("int"), n.cast("int")).alias("own")))
     best = F.max_by(F.struct("doc_id", "place", "span", "n_equal", "item_words"), F.struct("n_equal", -F.col("place")))
     return found.groupBy("key", "item_id").agg(best.alias("b")).select(
         "key", "b.doc_id", "item_id", "b.place", "b.span", "b.n_equal", "b.item_words")
