@@ -324,3 +324,18 @@ def test_decontamination_finds_spread_substitutions(spark):
             want[i, k] = (20 + first, end - first, same)
     got = {(r.doc_id, r.item_id): (r.place, r.span, r.n_equal) for r in decontam.contaminated(frame, table).collect()}
     assert len(want) > 40 and got == want
+
+
+def test_near_duplicates_bands_follow_the_threshold(spark):
+    rng, rows = random.Random(9), []
+    for k in range(20):
+        base = [f"b{k}w{i}" for i in range(174)]
+        for kept in (158, 155, 174):  # 154 of 186 shingles are alike, 151 of 189, all
+            rows.append((len(rows), " ".join(base[:kept] + [f"x{rng.random()}" for _ in range(174 - kept)])))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for percent in (80, 85):
+        n = len(minhash.signatures(frame, percent).first().bands)
+        size = 2 * minhash.PERMUTATIONS // n
+        assert n * size == 2 * minhash.PERMUTATIONS and (1 - (percent / 100) ** size) ** n <= 4e-7
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(frame, 80).collect()}
+    assert got == near_brute(dict(rows), 80)

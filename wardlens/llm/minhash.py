@@ -27,9 +27,10 @@ from wardlens.llm.text_hash import U64, mix, slices, string_buffers
 
 SHINGLE = 5
 PERCENT = 85
-#: 504 signature values in 56 bands of 9: at the similarity threshold a pair shares no band with probability 4e-7.
+#: 504 signature values, in bands of as many rows as let a pair at the similarity threshold share no band with at most this probability:
+#: 56 bands of 9 for 85 percent, 72 of 7 for 80.
 PERMUTATIONS = 252
-ROWS = 9
+MISS = 4e-7
 #: Pairs across components are compared on the full sets if no more of the values' lowest two bits differ than this many standard
 #: deviations above the mean at the threshold; a linked pair fails that with probability 3e-7.
 DEVIATIONS = 5.0
@@ -73,9 +74,16 @@ def _signature(own: np.ndarray, mult: np.ndarray, add: np.ndarray) -> np.ndarray
     return np.concatenate((low, high))
 
 
-def _bands(signature: np.ndarray) -> np.ndarray:
-    rows = signature.reshape(-1, ROWS)
-    place = np.arange(1, ROWS + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)
+def band_rows(percent: int) -> int:
+    """Rows of a band: the most that divide ``PERMUTATIONS`` and keep to ``MISS`` at the threshold."""
+    able = [r for r in range(1, PERMUTATIONS + 1)
+            if PERMUTATIONS % r == 0 and (1 - (percent / 100) ** r) ** (2 * PERMUTATIONS // r) <= MISS]
+    return max(able, default=1)
+
+
+def _bands(signature: np.ndarray, n_rows: int) -> np.ndarray:
+    rows = signature.reshape(-1, n_rows)
+    place = np.arange(1, n_rows + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)
     which = np.arange(len(rows), dtype=U64)[:, None] * U64(0xC2B2AE3D27D4EB4F)
     return mix(np.bitwise_xor.reduce(mix(rows + place + which), axis=1)).view(np.int64)
 
@@ -99,8 +107,10 @@ def _alike(x: str, y: str, percent: int):
     return differ <= most
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``(doc_id, n_shingles, set_a, set_b, bands, sketch)`` of each row; ``set_a, set_b`` are a 128-bit digest of the set."""
+    n_rows = band_rows(percent)
+
     def run(batches):
         mult, add = _multipliers(PERMUTATIONS)
         for batch in batches:
@@ -110,7 +120,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 a.append(int(mix(own).sum().view(np.int64)) if len(own) else 0)
                 b.append(int(mix(own ^ U64(0xA0761D6478BD642F)).sum().view(np.int64)) if len(own) else 0)
                 signature = _signature(own, mult, add) if len(own) else None
-                bands.append(None if signature is None else _bands(signature))
+                bands.append(None if signature is None else _bands(signature, n_rows))
                 sketches.append(None if signature is None else _sketch(signature))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()),
@@ -173,7 +183,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     component and ``kept`` true.  Other columns are ignored.  An empty table gives an
     empty result.
     """
-    signed = stored(signatures(docs), "signatures")
+    signed = stored(signatures(docs, percent), "signatures")
     classes = stored(
         signed.where("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b", "n_shingles")
         .agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch")),
