@@ -339,3 +339,17 @@ def test_near_duplicates_bands_follow_the_threshold(spark):
         assert n * size == 2 * minhash.PERMUTATIONS and (1 - (percent / 100) ** size) ** n <= 4e-7
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(frame, 80).collect()}
     assert got == near_brute(dict(rows), 80)
+
+
+def test_classifier_sample_is_not_filled_by_one_document(spark, monkeypatch):
+    monkeypatch.setattr(kneser_ney, "TRAIN_WORDS", 1000)
+    monkeypatch.setattr(kneser_ney, "ALL_WORDS", 2500)
+    order = [r.doc_id for r in spark.range(60).select(F.col("id").alias("doc_id")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    for giant, langs, bound in ((0, ["en"], 1000), (2, ["en"], 1000), (0, ["en", "de", None, "fr", "es"], 500)):
+        rows = [(i + 60 * k, lang, "\n" + "w " * (100_000 if i == order[giant] else 10)) for k, lang in enumerate(langs) for i in range(60)]
+        labels = spark.createDataFrame([(i, 1, 0) for i, _, _ in rows], "doc_id long, quality int, toxic int")
+        got = kneser_ney.sample(spark.createDataFrame(rows, "doc_id long, lang string, text string"), labels).collect()
+        for lang in langs:
+            train = [len(words(r.text)) for r in got if r.lang == lang and not r.held_out]
+            assert len(train) == 30 and sum(train) <= bound and max(train) <= max(10, bound // kneser_ney.PART)
+        assert sum(len(words(r.text)) == 100_000 for r in got) == sum(r.held_out and len(r.text) > 1000 for r in got)
