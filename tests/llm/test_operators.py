@@ -7,6 +7,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -353,3 +354,15 @@ def test_classifier_sample_is_not_filled_by_one_document(spark, monkeypatch):
             train = [len(words(r.text)) for r in got if r.lang == lang and not r.held_out]
             assert len(train) == 30 and sum(train) <= bound and max(train) <= max(10, bound // kneser_ney.PART)
         assert sum(len(words(r.text)) == 100_000 for r in got) == sum(r.held_out and len(r.text) > 1000 for r in got)
+
+
+def test_personal_data_with_disguised_dots_and_long_figures():
+    for hidden in ("192[.]168[.]1[.]1", "192(dot)168(dot)1(dot)1", "192 dot 168 dot 1 dot 1", "192[dot]168.1[.]1"):
+        text = f"host {hidden} up"
+        assert pii.may_hide(pa.array([text])) == [True]
+        assert [(k, text[a:b]) for a, k, b in pii.all_spans(text, pii.plain_spans(text))] == [(1, hidden)]
+    for hidden in ("+1 415 five five five 0199", "+1415555 zero one nine nine"):
+        text = f"call {hidden} now"
+        assert pii.may_hide(pa.array([text])) == [True]
+        assert [(k, text[a:b]) for a, k, b in pii.all_spans(text, pii.plain_spans(text)) if k == 3] == [(3, hidden)]
+    assert pii.all_spans("version 1 dot 2 or one 2", []) == []

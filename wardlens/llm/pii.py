@@ -55,13 +55,17 @@ _STRANGE = re.compile("[" + _INVISIBLE + "".join(map(re.escape, LOOKALIKES))
                       + "٠-٩۰-۹०-९²³¹⁰-⁹₀-₉①-⑨﹒﹫！-～\U0001d400-\U0001d7ff]")
 _WORDS = DIGIT_WORDS | SIGN_WORDS
 _ONE = r"(?:" + "|".join(sorted(map(re.escape, _WORDS), key=len, reverse=True)) + r"|[0-9]+)"
-#: At least seven words or figures in a row, separated by a space, comma or hyphen.
-_SPELLED = re.compile(r"\+?(?<![^\W_])" + _ONE + r"(?:(?:[\s,]{1,2}|-)" + _ONE + r"){6,}(?![^\W_])", re.IGNORECASE)
+#: Words or figures in a row, separated by a space, comma or hyphen; seven of them, or seven digits, are rewritten.
+LEAST = 7
+_SPELLED = re.compile(r"\+?(?<![^\W_])" + _ONE + r"(?:(?:[\s,]{1,2}|-)" + _ONE + r")+(?![^\W_])", re.IGNORECASE)
 _SPELLED_WORD = re.compile(r"[^\W\d_]+|[0-9]+|\+", re.IGNORECASE)
 _AT, _DOT = "|".join(AT_WORDS), "|".join(DOT_WORDS)
 _OPEN, _SHUT = r"\s{0,2}[\[({<]\s{0,2}", r"\s{0,2}[\])}>]\s{0,2}"
 _SIGN_AT = rf"(?:{_OPEN}(?:{_AT}|@|a){_SHUT}|\s{{0,2}}@\s{{0,2}}|[_-](?:{_AT})[_-])"
 _SIGN_DOT = rf"(?:{_OPEN}(?:{_DOT}|\.){_SHUT}|\s(?:{_DOT})\s|[_-](?:{_DOT})[_-])"
+#: Groups of figures with disguised dots between, as in an IP address.
+_DOTTED = re.compile(rf"(?<![0-9])[0-9]+(?:(?:{_SIGN_DOT}|\.)[0-9]+){{3,}}", re.IGNORECASE)
+_HIDDEN_DOT = re.compile(_SIGN_DOT, re.IGNORECASE)
 _LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?"
 #: A clear "at" sign and any dots; or a bare "at" with written-out dots.
 _CLOAKED = re.compile(rf"(?:{_SIGN_AT}(?={_LABEL}(?:{_SIGN_DOT}|\.){_LABEL})|\s(?:{_AT})\s(?={_LABEL}{_SIGN_DOT}{_LABEL}))", re.IGNORECASE)
@@ -72,7 +76,8 @@ _NEXT_DOT = re.compile(rf"{_SIGN_DOT}(?={_LABEL})", re.IGNORECASE)
 
 #: What a text must hold for a transducer to change it; linear-time patterns over a whole column.
 _HAS_STRANGE = _STRANGE.pattern.replace("\U0001d400", r"\x{1d400}").replace("\U0001d7ff", r"\x{1d7ff}")
-_HAS_SPELLED = "(?i)" + _ONE + r"(?:(?:[\s,]{1,2}|-)" + _ONE + "){3}"
+_HAS_SPELLED = "(?i)" + _ONE + r"(?:(?:[\s,]{1,2}|-)" + _ONE + ")"
+_HAS_DOTTED = rf"(?i)[0-9]{_SIGN_DOT}[0-9]"
 _HAS_CLOAKED = (rf"(?i){_SIGN_AT}{_LABEL}(?:{_SIGN_DOT}|\.)|\s(?:{_AT})\s{_LABEL}{_SIGN_DOT}")
 
 
@@ -172,11 +177,16 @@ def _written_out(traced: Traced) -> Traced:
     text, edits = traced.text, []
     for m in _SPELLED.finditer(text):
         words = list(_SPELLED_WORD.finditer(text, *m.span()))
-        if not any(w[0].lower() in DIGIT_WORDS for w in words):
+        digits = sum(len(w[0]) if w[0].isdigit() else w[0].lower() in DIGIT_WORDS for w in words)
+        if not any(w[0].lower() in _WORDS for w in words) or max(digits, len(words)) < LEAST:
             continue
         for i, w in enumerate(words):
             end = words[i + 1].start() if i + 1 < len(words) else w.end()
             edits.append((w.start(), end, _WORDS.get(w[0].lower(), w[0])))
+    spelled = edits[:]
+    for m in _DOTTED.finditer(text):
+        if not any(a < m.end() and b > m.start() for a, b, _ in spelled):
+            edits += [(d.start(), d.end(), ".") for d in _HIDDEN_DOT.finditer(text, *m.span())]
     taken = {a for a, _, _ in edits}
     for m in _CLOAKED.finditer(text):
         a, b = m.span()
@@ -217,8 +227,8 @@ def _label_start(text: str, at: int) -> int:
 
 def may_hide(texts: pa.Array) -> list[bool]:
     """Whether each text may hold something that ``all_spans`` would rewrite."""
-    flags = [pc.match_substring_regex(texts, p) for p in (_HAS_STRANGE, _HAS_SPELLED, _HAS_CLOAKED)]
-    return [bool(x) for x in pc.or_(pc.or_(flags[0], flags[1]), flags[2]).to_pylist()]
+    flags = [pc.match_substring_regex(texts, p) for p in (_HAS_STRANGE, _HAS_SPELLED, _HAS_CLOAKED, _HAS_DOTTED)]
+    return [bool(x) for x in pc.or_(pc.or_(flags[0], flags[1]), pc.or_(flags[2], flags[3])).to_pylist()]
 
 
 def all_spans(text: str, plain: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
