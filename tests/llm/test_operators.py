@@ -11,12 +11,17 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from wardlens.llm import components, decontam, html_extract, kneser_ney, line_dedup, lm_score, minhash, packing, pii, queries, substring, winnowing
+from wardlens.llm import components, decontam, html_extract, kneser_ney, line_dedup, lm_score, minhash, packing, pii, queries, storage, substring, winnowing
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key long, words string, rep long, bucket long, place long"
 
 
+@pytest.fixture(scope="module", autouse=True)
+def _ready(spark):
+    storage.ready(spark)
+
+
 def words(text):
     return re.findall(r"[^ \t-\r]+", text or "")
 
@@ -166,6 +171,24 @@ def test_packing_round_trip(spark, docs, odd):
     assert packing.pack(odd.limit(0)).count() == 0
 
 
+def test_packing_ids_are_those_of_the_library():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    coder, own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), packing.Encoder("byte_bpe_50k.json")
+    rng = random.Random(6)
+    parts = [" ", "  ", "\n", "\n\n", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x85", "\xa0", "\u2003", "\u3000", "<|endoftext|>", "<|", "|>", "a", "word", "it's",
+             "we'll", "é", "e\u0301", "日本", "1", "234", "!", "...", "\u200b", "😀", "\x00"]
+    found = ["Name\tValue\n\n\tindented", "def f():\n\n\treturn\t1", "x" * 5000, "", "\n", " "]
+    found += ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(5000)]
+    assert [x.tolist() for x in own(pa.array(found))] == [x.ids for x in coder.encode_batch(found, add_special_tokens=False)]
+
+
+def test_packing_of_irregular_texts(spark):
+    rows = [(1, "Name\tValue\n\n\tindented"), (2, "a <|endoftext|> b"), (2, "a <|endoftext|> b"), (None, "\n\n")]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), with_ids=True).collect()
+    assert len(got) == 4 and all(50256 in r.ids for r in got if r.doc_id == 2) and {r.sequence_id for r in got} == {0}
+
+
 def test_personal_data(spark, odd):
     plain = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
     rng = random.Random(1)
@@ -279,13 +302,35 @@ def test_pipeline_stages(spark, docs):
         if name == "line_dedup":
             assert set(a) == set(b)
         elif name == "minhash_near_dedup":
-            assert set(b) == {i for i, (_, c) in near_brute(a).items() if i == c}
+            assert set(b) == {i for i, (_, c) in near_brute(a, 80).items() if i == c}
         done = after.cache()
     packed = corpus_pipeline.STAGES[-1][1](spark, done, SF)
     assert packed.select("doc_id").distinct().count() == done.count()
     assert set(queries.SQL) <= set(queries.QUERIES)
 
 
+def test_pipeline_judges_rows_not_ids(spark, odd):
+    import corpus_pipeline
+    rng = random.Random(12)
+    one, two = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(2))
+    rows = [(1, one), (2, one + " end"), (2, two), (5, "five words are in here"), (5, "five words are in here"), (None, "null ids go by text too"),
+            (None, "null ids go by text too"), (None, one), (6, ""), (6, ""), (7, None)]
+    frame = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    stages = dict(corpus_pipeline.STAGES)
+    left = sorted(((r.doc_id or 0, r.text or "") for r in stages["minhash_near_dedup"](spark, frame, SF).collect()))
+    assert left == [(0, "null ids go by text too"), (1, one), (2, two), (5, "five words are in here"), (6, ""), (6, ""), (7, "")]
+    assert stages["quality_classifier"](spark, frame.withColumn("lang", F.lit(None).cast("string")), SF).count() == len(rows)
+    done = odd
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, done, SF)
+        assert after.columns == done.columns
+        assert stage(spark, done.limit(0), SF).count() == 0
+        done = storage.stored(after, "test")
+    texts_left = [r.text for r in done.collect() if words(r.text)]
+    assert len(texts_left) == len(set(texts_left)) and "another text of the same id" in texts_left
+    assert stages["packing"](spark, done, SF).select("doc_id").distinct().count() == done.select("doc_id").distinct().count()
+
+
 def _accepted(n_items):
     """Substitution patterns of an item of ``n_items`` words that ``best_overlap`` accepts, the smallest overlap of each kind."""
     least = min(decontam.OVERLAP, int(np.ceil(decontam.SHARE * n_items)))

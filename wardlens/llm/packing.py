@@ -107,38 +107,56 @@ def plan(counts: dict[int, int], window: int = WINDOW) -> list[tuple[int, int, i
 
 
 class Encoder:
-    """Texts -> ids of a byte-level BPE vocabulary, kept as ranks in ``<name>.tiktoken`` beside ``<name>.json``.
+    """Texts -> ids of a byte-level BPE vocabulary, ``<name>.json`` beside the same vocabulary as ranks in ``<name>.tiktoken``.
 
     Pre-tokens do not reach over white space, so in texts whose words are
     parted by single spaces and line ends each distinct word of a batch, with
     the space or line end before it, is encoded once; its ids end where the
-    next id begins with white space.  Other texts are encoded as a whole.
+    next id begins with white space.  Texts with any other white space, with a
+    space or line end beside another or at an end, or with the string of a
+    special token are encoded as a whole, special tokens to their own ids.
     """
 
     def __init__(self, name: str):
         import base64
+        import json
+        import re
 
         import public_tokenizers
         import tiktoken
 
         with open(public_tokenizers.path(name.removesuffix(".json") + ".tiktoken"), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.encode = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        with open(public_tokenizers.path(name), encoding="utf-8") as f:
+            self.special = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+        self.ordinary = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        strings = "|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))
+        self.parts = re.compile(f"({strings})") if strings else None
+        # Written for RE2, whose \s is ASCII only.
+        self.irregular = r"[\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|[ \n][ \n]|\A[ \n]|[ \n]\z" \
+            + (f"|{strings}" if strings else "")
         self.leads = np.zeros(max(ranks.values()) + 1, bool)
         self.leads[[v for k, v in ranks.items() if k[:1] in (b" ", b"\n")]] = True
 
+    def encode(self, text: str) -> list[int]:
+        if self.parts is None:
+            return self.ordinary(text)
+        ids = []
+        for i, part in enumerate(self.parts.split(text)):
+            ids += [self.special[part]] if i % 2 else self.ordinary(part)
+        return ids
+
     def distinct(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, bounds) of words that each begin with a space or a line end."""
         offsets, data = string_buffers(words)
-        parts = [np.array(self.encode(data[offsets[i]:offsets[min(i + 4096, len(words))]].tobytes().decode()), np.uint32)
+        parts = [np.array(self.ordinary(data[offsets[i]:offsets[min(i + 4096, len(words))]].tobytes().decode()), np.uint32)
                  for i in range(0, len(words), 4096)]
         ids = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
         return ids, np.concatenate((np.flatnonzero(self.leads[ids]), [len(ids)]))
 
     def __call__(self, texts: pa.Array) -> list[np.ndarray]:
         items = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
-        simple = pc.and_(pc.equal(pc.list_value_length(items), pc.list_value_length(pc.utf8_split_whitespace(texts))),
-                         pc.equal(pc.utf8_trim_whitespace(texts), texts)).to_numpy(zero_copy_only=False)
+        simple = pc.invert(pc.match_substring_regex(texts, self.irregular)).to_numpy(zero_copy_only=False)
         bounds = np.asarray(items.offsets)
         follows = np.repeat(simple, np.diff(bounds))
         follows[bounds[:-1]] = False
