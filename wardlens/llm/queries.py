@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlens.llm import decontam, html_extract, kneser_ney, line_dedup, lm_score, minhash, packing, pii, substring, winnowing
+from wardlens.llm import bpe, decontam, html_extract, kneser_ney, line_dedup, lm_score, minhash, packing, pii, substring, winnowing
 from wardlens.llm.storage import ready
 
 
@@ -60,6 +60,12 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
 
 
+def op13_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = bpe.decode(bpe.encode(_table(spark, sf_dir, "documents")))
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
 OP10_SQL = f"""with {line_dedup.oracle()}
 select doc_id, n_lines, n_removed, sha256(text) as text_sha256 from lines_removed"""
 
@@ -97,6 +103,6 @@ from w left join sums using (rid)"""
 
 QUERIES = {f.__name__: f for f in (
     op1_html_extraction, op2_lm_scoring, op3_minhash_near_dedup, op4_packing, op5_pii, op6_document_fingerprints,
-    op7_benchmark_decontamination, op8_substring_dedup, op9_quality_classifier, op10_line_dedup)}
+    op7_benchmark_decontamination, op8_substring_dedup, op9_quality_classifier, op10_line_dedup, op13_bpe_encoding)}
 
 SQL = {"op2_lm_scoring": OP2_SQL, "op8_substring_dedup": OP8_SQL, "op10_line_dedup": OP10_SQL}
