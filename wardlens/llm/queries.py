@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlens.llm import bpe, decontam, html_extract, kneser_ney, line_dedup, lm_score, minhash, packing, pii, substring, whitening, winnowing
+from wardlens.llm import bpe, decontam, html_extract, kneser_ney, line_dedup, lm_score, minhash, packing, pii, spelling, substring, whitening, winnowing
 from wardlens.llm.storage import ready
 
 
@@ -64,6 +64,10 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(_table(spark, sf_dir, "embeddings"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
 def op13_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = bpe.decode(bpe.encode(_table(spark, sf_dir, "documents")))
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
@@ -108,6 +112,6 @@ from w left join sums using (rid)"""
 QUERIES = {f.__name__: f for f in (
     op1_html_extraction, op2_lm_scoring, op3_minhash_near_dedup, op4_packing, op5_pii, op6_document_fingerprints,
     op7_benchmark_decontamination, op8_substring_dedup, op9_quality_classifier, op10_line_dedup, op11_embedding_whitening,
-    op13_bpe_encoding)}
+    op12_spelling_variants, op13_bpe_encoding)}
 
 SQL = {"op2_lm_scoring": OP2_SQL, "op8_substring_dedup": OP8_SQL, "op10_line_dedup": OP10_SQL}
