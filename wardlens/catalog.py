@@ -17,7 +17,7 @@ from wardlens.plans import eda, explain as N, forecast as FC, hypothesis as H, k
 from wardlens.streaming import los_alert as J
 from wardlens.session import cut_lineage, ensure_checkpoint_dir, ship_package, tune_session
 from wardlens.sources import files
-from wardlens.sources.tables import load_fact, load_master, pollution_readings, table
+from wardlens.sources.tables import derived, load_fact, load_master, pollution_daily, pollution_readings
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -47,12 +47,12 @@ def mart_queries() -> dict[str, Query]:
     return dict(sorted(q.items()))
 
 
-def _readings(spark, sf):
-    return pollution_readings(table(spark, sf, "lineitem"))
+def _daily(spark, sf):
+    return derived(spark, sf, "pollution-daily", lambda _, lines: pollution_daily(lines))
 
 
 def _enriched(spark, sf):
-    return W.enrich_master(*W.raw_inputs(load_master(spark, sf), _readings(spark, sf)))
+    return derived(spark, sf, "enriched", lambda _, lines: W.enrich_master(*W.raw_inputs(load_master(spark, sf), pollution_readings(lines))))
 
 
 def _scratch(spark, name: str) -> str:
@@ -75,7 +75,7 @@ def _csv_roundtrip(spark, sf):
 
 def warehouse_queries() -> dict[str, Query]:
     def dimpol(spark, sf):
-        return W.dim_pollution(load_master(spark, sf), _readings(spark, sf))
+        return W.dim_pollution(load_master(spark, sf), _daily(spark, sf))
 
     def fact2(spark, sf):
         return W.fact_from_staging(load_master(spark, sf), dimpol(spark, sf))
@@ -208,6 +208,7 @@ def similarity_queries() -> dict[str, Query]:
         return round_cols(R.recommend(d, R.first_admission_of(d)), ["score"])
 
     return {"r1_sim_features": feats, "r3_sim_topk": topk,
+            "r4_neighbour_lists": lambda s, sf: round_cols(R.neighbour_lists(cut_lineage(feats(s, sf))), ["score"]),
             "r5_interventions": lambda s, sf: R.suggestions(feats(s, sf)), "r6_recommend": rec}
 
 

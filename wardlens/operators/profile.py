@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wardlens.operators.order_stats import column_percentiles
+
 NUMERIC = ("int", "bigint", "double", "float", "smallint", "tinyint")
 
 
@@ -38,16 +40,21 @@ def null_summary(df: DataFrame) -> DataFrame:
 
 
 def numeric_describe(df: DataFrame, cols=None) -> DataFrame:
-    """count, mean, std (n-1), min, exact p25/p50/p75, max per numeric column."""
+    """count, mean, std (n-1), min, exact p25/p50/p75, max per numeric column.
+
+    The percentiles come by selection over the distinct values of all columns,
+    so a unique column of any length fits."""
     cols = cols or numeric_columns(df)
     aggs = []
     for c in cols:
         x = F.col(c).cast("double")
-        p = F.percentile(x, [0.25, 0.5, 0.75])
         aggs.append(F.struct(F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
-                             F.min(x).alias("min"), p[0].alias("p25"), p[1].alias("p50"), p[2].alias("p75"),
-                             F.max(x).alias("max")).alias(c))
-    return _long(df.agg(*aggs), cols, ["count", "mean", "std", "min", "p25", "p50", "p75", "max"])
+                             F.min(x).alias("min"), F.max(x).alias("max")).alias(c))
+    wide = _long(df.agg(*aggs), cols, ["count", "mean", "std", "min", "max"])
+    quartiles = column_percentiles(df, cols, {"p25": 0.25, "p50": 0.5, "p75": 0.75})
+    # A row for each column: bounded.
+    return wide.join(F.broadcast(quartiles), "column_name", "left").select(
+        "column_name", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 def _cells(df: DataFrame, cols) -> DataFrame:

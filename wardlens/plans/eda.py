@@ -11,7 +11,7 @@ Every job is a distributed aggregate:
   continuous measures;
 * box statistics: exact quartiles per group, whiskers = furthest points
   within 1.5 IQR, flier counts;
-* correlation: every pairwise Pearson coefficient in one aggregate
+* correlation: every pairwise Pearson coefficient in one aggregate by pair
   (pairwise-complete rows, like pandas).
 """
 
@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 
 from wardlens.operators import profile as P
 from wardlens.operators.joins import join_small
+from wardlens.operators.order_stats import percentiles_of_counts
+from wardlens.session import cut_lineage
 
 COLUMNS_BOUND = "one row per profiled column"
 
@@ -113,34 +115,37 @@ def kde(df: DataFrame, value: str, by: str | None = None, gridsize: int = 200, c
 
 
 def box_stats(df: DataFrame, value: str, by: str, whis: float = 1.5) -> DataFrame:
-    """Box-plot statistics per group (quartiles by linear interpolation)."""
+    """Box-plot statistics per group (quartiles by linear interpolation), all from the counts of the distinct values."""
     d = df.where(F.col(value).isNotNull() & F.col(by).isNotNull()).select(by, F.col(value).cast("double").alias("v"))
-    q = d.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.percentile("v", [0.25, 0.5, 0.75]).alias("p"))
-    q = q.select(by, "n", F.col("p")[0].alias("q1"), F.col("p")[1].alias("median"), F.col("p")[2].alias("q3"))
-    q = q.withColumn("iqr", F.col("q3") - F.col("q1"))
-    j = join_small(d, q, by)
+    counts = cut_lineage(d.groupBy(by, F.col("v").alias("value")).agg(F.count(F.lit(1)).alias("cnt")))
+    q = counts.groupBy(by).agg(F.sum("cnt").alias("n")).join(
+        percentiles_of_counts(counts, [by], {"q1": 0.25, "median": 0.5, "q3": 0.75}), by).withColumn("iqr", F.col("q3") - F.col("q1"))
+    j = join_small(counts.withColumnRenamed("value", "v"), q, by)
     lo_lim = F.col("q1") - whis * F.col("iqr")
     hi_lim = F.col("q3") + whis * F.col("iqr")
     w = j.groupBy(by, "n", "q1", "median", "q3", "iqr").agg(
         F.min(F.when(F.col("v") >= lo_lim, F.col("v"))).alias("whisker_lo"),
         F.max(F.when(F.col("v") <= hi_lim, F.col("v"))).alias("whisker_hi"),
-        F.count_if((F.col("v") < lo_lim) | (F.col("v") > hi_lim)).alias("n_fliers"))
+        F.sum(F.when((F.col("v") < lo_lim) | (F.col("v") > hi_lim), F.col("cnt")).otherwise(0)).alias("n_fliers"))
     return w
 
 
 def correlation_matrix(df: DataFrame, cols=None, exclude=("sno",)) -> DataFrame:
-    """(col_a, col_b, corr) for every ordered pair of numeric columns."""
+    """(col_a, col_b, corr) for every ordered pair of numeric columns.
+
+    Each row gives its value pairs, which are summed up per pair of columns
+    before the shuffle: one aggregate, whatever the number of columns."""
     cols = cols or P.numeric_columns(df, exclude=exclude)
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    row = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{i}") for i, (a, b) in
-                   enumerate(pairs)])
-    structs = []
-    for i, (a, b) in enumerate(pairs):
-        structs.append(F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(f"{i}").alias("corr")))
-        structs.append(F.struct(F.lit(b).alias("col_a"), F.lit(a).alias("col_b"), F.col(f"{i}").alias("corr")))
-    for a in cols:
-        structs.append(F.struct(F.lit(a).alias("col_a"), F.lit(a).alias("col_b"), F.lit(1.0).alias("corr")))
-    return row.select(F.explode(F.array(*structs)).alias("s")).select("s.col_a", "s.col_b", "s.corr")
+    values = F.array(*[F.col(c).cast("double") for c in cols])
+    pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
+    own = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in pairs])
+    d = df.select(values.alias("v")).select("v", F.explode(own).alias("p")).select("p", F.col("v")[F.col("p.i")].alias("x"), F.col("v")[F.col("p.j")].alias("y"))
+    r = d.groupBy("p").agg(F.corr("x", "y").alias("corr"))
+    names = F.array(*[F.lit(c) for c in cols])
+    a, b = names[F.col("p.i")], names[F.col("p.j")]
+    both = r.select("corr", F.explode(F.array(F.struct(a.alias("col_a"), b.alias("col_b")), F.struct(b.alias("col_a"), a.alias("col_b")))).alias("s"))
+    same = df.sparkSession.range(1).select(F.explode(names).alias("col_a")).select("col_a", F.col("col_a").alias("col_b"), F.lit(1.0).alias("corr"))
+    return both.select("s.col_a", "s.col_b", "corr").unionByName(same)
 
 
 def category_counts(df: DataFrame, cols) -> DataFrame:

@@ -28,6 +28,7 @@ from pyspark.sql import types as T
 from wardlens.functions.columns import safe_double
 from wardlens.functions.tails import p_value, shapiro_w
 from wardlens.operators.joins import join_small
+from wardlens.operators.order_stats import percentiles
 from wardlens.operators.ranks import tie_term, value_ranks
 from wardlens.operators.sampling import sample_per_group
 from wardlens.session import cut_lineage
@@ -174,7 +175,7 @@ def levene(df: DataFrame, value: str, group: str, groups=None) -> DataFrame:
     d = df.where(F.col(group).isNotNull() & F.col(value).isNotNull())
     if groups is not None:
         d = d.where(F.col(group).isin(list(groups)))
-    med = d.groupBy(group).agg(F.percentile(F.col(value).cast("double"), 0.5).alias("med"))
+    med = percentiles(d, group, value, {"med": 0.5})
     j = join_small(d, med, group)
     return _anova_from(j, group, F.abs(F.col(value).cast("double") - F.col("med")))
 

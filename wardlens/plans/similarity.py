@@ -10,8 +10,9 @@ The reference builds a dense n x n cosine matrix in memory.  Here:
   then a k-row merge) — linear in the data;
 * suggestions are an array built with ``filter(array(when ...))``.
 
-All-pairs neighbour lists (the full matrix) are deliberately not built: that
-output is quadratic in the number of admissions.
+Neighbour lists of many admissions go through an index of cells
+(``operators.neighbours``): lists of bounded length, not the full matrix,
+whose size is quadratic in the number of admissions.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wardlens.operators import neighbours as NB
+from wardlens.session import cut_lineage
 from wardlens.functions.columns import (SUGGEST_AIR, SUGGEST_DEFAULT, SUGGEST_GERIATRIC, SUGGEST_LONG_STAY,
                                         SUGGEST_REVIEW)
 
@@ -74,6 +77,20 @@ def top_similar(d: DataFrame, query_admission, k: int = 5, features=SIM_FEATURES
                       "admission_id", "mrd_no", "age", "length_of_stay", "pm25", "mortality_flag", "score")
 
 
+def neighbour_lists(d: DataFrame, k: int = 5, every: int = 20, features=SIM_FEATURES, exact: bool = True) -> DataFrame:
+    """The ``k`` most similar admissions of each one whose id ``every`` divides, among all: ``(admission_id, rank, neighbour_id, score)``.
+
+    Scores are rounded before they are compared; ties go to the smaller id.  An
+    admission whose features are all average has no direction, so it has no
+    neighbours and is none.
+    """
+    z = zscore(d, features)
+    # Stored once: the index and the queries must see the same digits.
+    rows = cut_lineage(z.select(F.col("admission_id").cast("bigint").alias("id"), NB.unit_vector([c + "_z" for c in features]).alias("v")))
+    found = NB.neighbours(NB.build(rows, k), rows.where(F.col("id") % every == 0), k, exact=exact)
+    return found.select(F.col("id").alias("admission_id"), "rank", F.col("neighbour").alias("neighbour_id"), "score")
+
+
 def first_admission_of(d: DataFrame, mrd_no=None):
     """Scalar: the patient's first admission id (smallest id); with no
     patient given, the first admission of the table."""

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -112,3 +113,34 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+# (application, name, state of the inputs) -> (path, schema) of tables stored once.
+_STORED: dict[tuple, tuple] = {}
+
+
+def _state(spark: SparkSession, paths: list[str]) -> tuple:
+    """What tells whether files have changed: path, bytes and the latest change of each input."""
+    jvm, conf, out = spark._jvm, spark._jsc.hadoopConfiguration(), []
+    for name in paths:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        fs = path.getFileSystem(conf)
+        out.append((name, fs.getContentSummary(path).getLength(), fs.getFileStatus(path).getModificationTime()))
+    return tuple(out)
+
+
+def stored_once(spark: SparkSession, name: str, inputs: list[str], build) -> DataFrame:
+    """The table that ``build()`` derives from the files ``inputs``, written to the shared folder the first time it is asked for.
+
+    Later queries of the application scan the written table, of which only
+    the columns and rows they need are read; inputs that have changed are
+    derived anew.  The write is complete before the table is known.
+    """
+    key = (spark.sparkContext.applicationId, name, _state(spark, inputs))
+    if key not in _STORED:
+        df = build()
+        path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+        df.write.parquet(path)
+        _STORED[key] = (path, df.schema)
+    path, schema = _STORED[key]
+    return spark.read.schema(schema).parquet(path)
