@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardlens.operators import profile as P
-from wardlens.plans import eda, explain as N, forecast as FC, hypothesis as H, kpi as X, marts, modelling as M, similarity as R, warehouse as W
+from wardlens.plans import eda, explain as N, forecast as FC, hypothesis as H, kpi as X, load as L, marts, modelling as M, similarity as R, warehouse as W
 from wardlens.streaming import los_alert as J
 from wardlens.session import cut_lineage, ensure_checkpoint_dir, ship_package, tune_session
 from wardlens.sources import files
@@ -101,6 +101,102 @@ def warehouse_queries() -> dict[str, Query]:
     }
 
 
+#: Admissions from this day on are the first batch of the loads below, all of them the second.
+BATCH_DAY = "1998-01-01"
+
+
+def load_queries() -> dict[str, Query]:
+    """The warehouse as tables; each key builds its own database in the shared folder and reads it back."""
+    def database(spark):
+        path = _scratch(spark, "warehouse")
+        name = path.rsplit("/", 1)[1].replace("-", "_")
+        L.create(spark, name, path)
+        return name
+
+    def loaded(spark, sf):
+        db, staging = database(spark), load_master(spark, sf)
+        L.load(staging.where(F.col("doa") >= F.lit(BATCH_DAY).cast("date")), db, _daily(spark, sf))
+        L.load(staging, db, _daily(spark, sf))
+        return db
+
+    def after_reset(spark, sf):
+        db = loaded(spark, sf)
+        L.reset(spark, db)
+        L.create(spark, db)
+        return L.row_counts(spark, db)
+
+    def after_second_run(spark, sf):
+        db = loaded(spark, sf)
+        L.create(spark, db)
+        L.load(load_master(spark, sf), db, _daily(spark, sf))
+        return L.row_counts(spark, db)
+
+    def drift(spark, sf):
+        fact = load_fact(spark, sf)
+        actual = fact.drop("so2").withColumn("age", F.col("age").cast("string")).withColumn("ward", F.lit(1))
+        return L.schema_differences(L.declared(spark, "fact_admissions"), actual)
+
+    def orphans(spark, sf):
+        known = load_master(spark, sf).where((F.col("mrd_no").cast("bigint") % 97 != 0) & (F.col("type_of_admissionemergencyopd") != "5-LOW"))
+        return W.fk_violations(load_fact(spark, sf), W.dim_patient(known), W.dim_department(known))
+
+    types = {"sno": "bigint", "mrd_no": "string", "doa": "date", "age": "int", "duration_of_stay": "int", "outcome": "string"}
+
+    def ingested(spark, sf):
+        """A CSV file of the staging table with planted faults, read once and checked."""
+        m, path, n = load_master(spark, sf), _scratch(spark, "ingest"), F.col("sno")
+        fields = [n.cast("string"), F.when(n % 59 == 0, "").otherwise(F.col("mrd_no")),
+                  F.when(n % 53 == 0, "1998-13-45").otherwise(F.col("doa").cast("string")),
+                  F.when(n % 50 == 0, "abc").otherwise(F.col("age").cast("string")), F.coalesce(F.col("duration_of_stay").cast("string"), F.lit("")),
+                  F.when(n % 61 == 0, F.concat("outcome", F.lit(",more"))).otherwise(F.col("outcome"))]
+        m.select(F.concat_ws(",", *fields)).write.text(path)
+        schema = ", ".join(f"{c} STRING" for c in [*types, L.CORRUPT])
+        raw = spark.read.schema(schema).options(mode="PERMISSIVE", columnNameOfCorruptRecord=L.CORRUPT).csv(path)
+        return cut_lineage(L.checked(raw, types, ["sno", "mrd_no"]))
+
+    def refreshed(keys, read):
+        def run(spark, sf):
+            fact, path = load_fact(spark, sf), _scratch(spark, "sums")
+            late = F.col("doa") >= F.lit(BATCH_DAY).cast("date")
+            for batch, rows in (("late", late), ("early", ~late), ("late", late)):
+                L.refresh(fact.where(rows), keys(), batch, path)
+            return read(spark, path)
+        return run
+
+    def sql(text):
+        def run(spark, sf):
+            L.register_views(load_fact(spark, sf))
+            return spark.sql(text)
+        return run
+
+    def with_copies(spark, sf):
+        rows = load_fact(spark, sf).select("admission_id", "mrd_no", "doa", "department")
+        return rows.unionByName(rows.where("admission_id % 50 = 0").withColumn("admission_id", F.col("admission_id") + 10**9))
+
+    def imputed(spark, sf):
+        some = F.when(F.col("sno") % 6 != 0, F.col("duration_of_intensive_unit_stay")).alias("duration_of_intensive_unit_stay")
+        m = load_master(spark, sf)
+        return M.risk_features(m.select(*[some if c == "duration_of_intensive_unit_stay" else c for c in m.columns])).select(
+            "sno", "length_of_stay", "duration_of_intensive_unit_stay")
+
+    return {
+        "a3_ingest_accepted": lambda s, sf: L.accepted(ingested(s, sf), types),
+        "a3_ingest_rejected": lambda s, sf: L.rejected(ingested(s, sf), types),
+        "a7_load_fact": lambda s, sf: s.table(f"{loaded(s, sf)}.fact_admissions"),
+        "a8_reset": after_reset, "a9_create_again": after_second_run, "a10_schema_drift": drift,
+        "b7_imputed_stay": imputed,
+        "b8_male_flag": lambda s, sf: load_master(s, sf).select("sno", L.male_flag().alias("male")),
+        "c5_fk_orphans": orphans, "c6_insert_ignore": lambda s, sf: s.table(f"{loaded(s, sf)}.dim_patient"),
+        "d28_type_report": lambda s, sf: L.type_report(_enriched(s, sf)),
+        "g2_copies_but_for_id": lambda s, sf: L.without_copies(with_copies(s, sf), "admission_id"),
+        "i1_sql_high_risk_view": sql("SELECT * FROM vw_high_risk_admissions"),
+        "i3_refreshed_monthly_summary": refreshed(lambda: [L.month_key()], L.monthly_summary),
+        "i4_refreshed_department_summary": refreshed(lambda: ["department"], L.department_summary),
+        "i5_sql_department_efficiency": sql("SELECT e.* FROM (SELECT DISTINCT department FROM fact_admissions) d, LATERAL department_efficiency(d.department) e"),
+        "i6_sql_weekly_mortality_view": sql("SELECT * FROM vw_weekly_mortality_ma"),
+    }
+
+
 def _on_master(fn) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return fn(load_master(spark, sf_dir))
@@ -180,7 +276,9 @@ def ml_queries() -> dict[str, Query]:
         return M.eval_regressor(M.score_los(model, split.where("is_test")))
 
     def export(spark, sf):
-        return M.export_predictions(M.predictions(load_master(spark, sf))[0])
+        path = _scratch(spark, "predictions")
+        files.write_parquet(M.export_predictions(M.predictions(load_master(spark, sf))[0]), path)
+        return spark.read.parquet(path)
 
     def flags(spark, sf):
         return M.risk_flags(load_master(spark, sf)).select(*M.RISK_OUTPUT)
@@ -207,7 +305,11 @@ def similarity_queries() -> dict[str, Query]:
         d = cut_lineage(feats(spark, sf))
         return round_cols(R.recommend(d, R.first_admission_of(d)), ["score"])
 
-    return {"r1_sim_features": feats, "r3_sim_topk": topk,
+    def of_patient(spark, sf):
+        d = cut_lineage(feats(spark, sf))
+        return round_cols(R.top_similar(d, R.first_admission_of(d, "40")), ["score"])
+
+    return {"r1_sim_features": feats, "r3_sim_topk": topk, "r3_sim_topk_of_patient": of_patient,
             "r4_neighbour_lists": lambda s, sf: round_cols(R.neighbour_lists(cut_lineage(feats(s, sf))), ["score"]),
             "r5_interventions": lambda s, sf: R.suggestions(feats(s, sf)), "r6_recommend": rec}
 
@@ -290,6 +392,7 @@ def _shipped(fn: Query) -> Query:
 def all_queries() -> dict[str, Query]:
     q = mart_queries()
     q.update(warehouse_queries())
+    q.update(load_queries())
     q.update(eda_queries())
     q.update(stats_queries())
     q.update(ml_queries())
