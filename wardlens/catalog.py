@@ -286,7 +286,16 @@ def ml_queries() -> dict[str, Query]:
     def dept(spark, sf):
         return M.department_flags(M.risk_flags(load_master(spark, sf)))
 
+    def by_rule(finish, source=M.ml_features):
+        """The evaluation and the flags on scores of a fixed rule, which any engine computes alike."""
+        return lambda spark, sf: finish(cut_lineage(M.rule_scores(source(load_master(spark, sf)))))
+
     return {"m1_ml_features": lambda s, sf: M.ml_features(load_master(s, sf)),
+            "m4_eval_cls_of_rule": by_rule(lambda d: round_cols(M.eval_classifier(d.where("is_test")), ["value"])),
+            "m5_eval_reg_of_rule": by_rule(lambda d: round_cols(M.eval_regressor(d.where("is_test")), ["mae", "rmse", "r2"])),
+            "o3_risk_flags_of_rule": by_rule(lambda d: round_cols(M.flagged(d).select("sno", *M.RISK_OUTPUT), ["predicted_mortality_prob", "predicted_los"]),
+                                             M.risk_features),
+            "o4_dept_flags_of_rule": by_rule(lambda d: round_cols(M.department_flags(M.flagged(d)), ["avg_predicted_los"]), M.risk_features),
             "m2_ml_mortality": mortality, "m3_ml_los": los, "m4_ml_eval_cls": eval_cls,
             "m5_ml_eval_reg": eval_reg, "m6_ml_export": export,
             "o1_risk_features": lambda s, sf: M.risk_features(load_master(s, sf)),
@@ -326,8 +335,8 @@ def forecast_queries() -> dict[str, Query]:
 
     return {"p1_monthly_series": lambda s, sf: round_cols(series(s, sf), ["avg_los"]),
             "p2_trend_data": lambda s, sf: round_cols(long(s, sf), ["value"]),
-            "p3_forecast_sarima": fc("sarima"), "p4_forecast_additive": fc("additive"),
-            "p5_forecast_eval": lambda s, sf: FC.forecast_eval(FC.fitted_values(long(s, sf))),
+            "p3_forecast_sarima": fc("sarima"), "p4_forecast_additive": lambda s, sf: round_cols(fc("additive")(s, sf), ["yhat", "yhat_lower", "yhat_upper"]),
+            "p5_forecast_eval": lambda s, sf: round_cols(FC.forecast_eval(FC.fitted_values(long(s, sf))), ["mae", "rmse"]),
             "p6_forecast_all": lambda s, sf: FC.forecast(long(s, sf), "sarima").unionByName(
                 FC.forecast(long(s, sf), "additive"))}
 
@@ -351,6 +360,17 @@ def explain_queries() -> dict[str, Query]:
         gbt = model.stages[-1]  # the classifier; the vector is built by the explainer
         return N.shapley_values(gbt, feats, M.FEATURES, "sno", permutations=8)
 
+    def phi_los(spark, sf):
+        feats = cut_lineage(M.ml_features(load_master(spark, sf)))
+        model, _ = M.train_los(feats)
+        return N.shapley_values(model.stages[-1], feats, M.FEATURES, "sno", permutations=8, output="prediction")
+
+    def rule(spark, sf):
+        """Attributions of a linear rule, which are exact: weight times distance from the mean."""
+        feats = cut_lineage(M.ml_features(load_master(spark, sf)))
+        return round_cols(N.shap_summary(N.shapley_values(M.RuleModel(), feats, M.FEATURES, "sno", permutations=2, output="prediction")),
+                          ["mean_abs_phi"]).drop("mean_phi")
+
     def lime(which):
         def run(spark, sf):
             feats = cut_lineage(M.ml_features(load_master(spark, sf)))
@@ -367,6 +387,7 @@ def explain_queries() -> dict[str, Query]:
         return run
 
     return {"n1_shap_values": phi, "n4_lime_mortality": lime("mortality"), "n4_lime_los": lime("los"),
+            "n1_shap_values_los": phi_los, "n2_shap_summary_los": lambda s, sf: N.shap_summary(phi_los(s, sf)), "n2_shap_summary_of_rule": rule,
             "n2_shap_summary": lambda s, sf: N.shap_summary(phi(s, sf)),
             "n3_shap_dependence": lambda s, sf: N.shap_dependence(phi(s, sf), "urea")}
 

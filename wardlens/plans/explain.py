@@ -9,13 +9,15 @@ is the score change when it switches, averaged over the orders.  Per order
 the changes telescope, so sum(phi) = f(x) - f(baseline) exactly.
 
 Work is rows x permutations x (F+1) model evaluations, spread over the
-cluster; the only window is over the F+1 prefixes of one (row, order).
+cluster.  Each score counts for the feature that switched last and against the
+next one; these signed credits are summed before the shuffle, so there is
+neither a window nor a second join.
 """
 
 from __future__ import annotations
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -39,16 +41,14 @@ def shapley_values(model, df: DataFrame, features: list[str], id_col: str, permu
     e = e.withColumn("features", array_to_vector(F.array(*vals)))
     scored = model.transform(e)
     score = vector_to_array("probability")[1] if output == "probability" else F.col("prediction")
-    s = scored.select("__id", "__perm", "__j", "__order", score.alias("__score"))
-    w = Window.partitionBy("__id", "__perm").orderBy("__j")
-    d = s.withColumn("__diff", F.col("__score") - F.lag("__score").over(w)).where(F.col("__j") >= 1)
-    d = d.withColumn("__f", F.element_at(F.col("__order"), F.col("__j")))
-    phi = d.groupBy("__id", "__f").agg(F.avg("__diff").alias("phi"))
+    # A score is what the feature that switched last has reached, and what the next one starts from: it counts for the one and against the other.
+    order, j, values = F.col("__order"), F.col("__j"), F.array(*[F.col(f) for f in features])
+    credit = F.filter(F.array(F.struct(F.when(j > 0, F.get(order, j - 1)).alias("f"), score.alias("c")),
+                              F.struct(F.when(j < nf, F.get(order, j)).alias("f"), (-score).alias("c"))), lambda x: x["f"].isNotNull())
+    s = scored.select("__id", values.alias("__v"), F.explode(credit).alias("s"))
+    phi = s.groupBy("__id", F.col("s.f").alias("__f")).agg((F.sum("s.c") / permutations).alias("phi"), F.any_value(F.get("__v", F.col("s.f"))).alias("value"))
     names = F.array(*[F.lit(f) for f in features])
-    vals_arr = F.array(*[F.col(f) for f in features])
-    phi = phi.join(rows, "__id")
-    return phi.select(F.col("__id").alias(id_col), F.element_at(names, F.col("__f") + 1).alias("feature"),
-                      "phi", F.element_at(vals_arr, F.col("__f") + 1).alias("value"))
+    return phi.select(F.col("__id").alias(id_col), F.element_at(names, F.col("__f") + 1).alias("feature"), "phi", "value")
 
 
 def shap_summary(phi: DataFrame) -> DataFrame:

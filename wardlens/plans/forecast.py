@@ -6,8 +6,10 @@ series are a panel keyed by (series_id, measure) — the whole hospital
 
 * P1: one Spark aggregate per (series, month), months without admissions
   filled in from a per-series ``sequence`` of months;
-* P3/P4: one ``applyInPandas`` call per series (a series is one row per
+* P3: one ``applyInPandas`` call per series (a series is one row per
   month, so a group is bounded by the calendar, never by the data volume);
+* P4: normal equations as grouped sums of products over all series at once,
+  one small system solved for each series;
 * P5: error metrics as Spark aggregates over the fitted values.
 """
 
@@ -142,30 +144,69 @@ def sarima_forecast(y: np.ndarray, steps: int = 6, s: int = 12, z: float = 1.959
     return mean, mean - z * sd, mean + z * sd
 
 
-def _design(tidx: np.ndarray, months: np.ndarray, t_scale: float, order: int = 3):
-    cols = [np.ones_like(tidx, dtype=float), tidx / t_scale]
-    for k in range(1, order + 1):
-        cols += [np.sin(2 * math.pi * k * months / 12.0), np.cos(2 * math.pi * k * months / 12.0)]
-    return np.column_stack(cols)
+# --- additive model: normal equations as grouped sums ------------------------------------------
 
+#: A constant, a trend, and sine and cosine of the year and of its second and third parts.
+TERMS = 8
+_Z95 = 1.959963984540054
+
+
+def _month_number(month):
+    return F.year(month) * 12 + F.month(month)
+
+
+def _terms(month, first, months):
+    """The terms of the design at ``month`` for a series of ``months`` months from ``first``."""
+    x = [F.lit(1.0), (_month_number(month) - _month_number(first)) / F.greatest(months - 1, F.lit(1))]
+    for k in (1, 2, 3):
+        turn = F.lit(2 * math.pi * k / 12.0) * F.month(month)
+        x += [F.sin(turn), F.cos(turn)]
+    return F.array(*x)
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _solved(xx: pd.Series, xy: pd.Series) -> pd.Series:
+    """Least squares from sums of products: one small system for each series."""
+    return pd.Series([np.linalg.lstsq(np.array(a).reshape(TERMS, TERMS), np.array(b), rcond=1e-12)[0] for a, b in zip(xx, xy, strict=True)])
+
+
+def _spans(long: DataFrame) -> DataFrame:
+    return long.groupBy("series_id", "measure").agg(F.min("month").alias("first"), F.max("month").alias("last"), F.count(F.lit(1)).alias("months"))
+
+
+def additive_model(long: DataFrame, holdout: int = 0) -> DataFrame:
+    """``(series_id, measure, first, last, months, beta, sd)``: trend and yearly seasonality by least squares, one row per series.
+
+    Months without a value, and the last ``holdout`` months, are left out of
+    the sums.  A series with fewer than 3 values has no coefficients.
+    """
+    d = long.join(_spans(long), ["series_id", "measure"])
+    d = d.where(F.col("value").isNotNull() & (F.col("month") <= F.add_months("last", -holdout))) \
+        .select("*", _terms(F.col("month"), F.col("first"), F.col("months")).alias("x"))
+    x = [F.col("x")[i] for i in range(TERMS)]
+    upper = {(i, j): F.sum(x[i] * x[j]).alias(f"s{i}_{j}") for i in range(TERMS) for j in range(i, TERMS)}
+    sums = d.groupBy("series_id", "measure", "first", "last", "months").agg(
+        F.count(F.lit(1)).alias("n"), *upper.values(), *[F.sum(x[i] * F.col("value")).alias(f"t{i}") for i in range(TERMS)])
+    xx = F.array(*[F.col(f"s{min(i, j)}_{max(i, j)}") for i in range(TERMS) for j in range(TERMS)])
+    xy = F.array(*[F.col(f"t{i}") for i in range(TERMS)])
+    fit = sums.where("n >= 3").select("series_id", "measure", "first", "last", "months", _solved(xx, xy).alias("beta"))
+    gap = F.col("value") - _at(F.col("x"))
+    left = d.join(fit.select("series_id", "measure", "beta"), ["series_id", "measure"]).groupBy("series_id", "measure").agg(
+        F.sqrt(F.sum(gap * gap) / F.greatest(F.count(F.lit(1)) - TERMS, F.lit(1))).alias("sd"))
+    return fit.join(left, ["series_id", "measure"])
 
-def additive_fit(y: np.ndarray, months_of_year: np.ndarray, steps: int = 6, ridge: float = 1e-6):
-    """Linear trend + yearly Fourier seasonality by least squares.
-    Returns (fitted, forecast, sd) — NaN when fewer than 3 observations."""
-    y = np.asarray(y, float)
-    ok = ~np.isnan(y)
-    n = y.size
-    if ok.sum() < 3:
-        return np.full(n, np.nan), np.full(steps, np.nan), float("nan")
-    tidx = np.arange(n + steps, dtype=float)
-    moy = np.r_[months_of_year, (months_of_year[-1] + np.arange(1, steps + 1) - 1) % 12 + 1]
-    X = _design(tidx, moy, max(n - 1, 1))
-    Xh = X[:n][ok]
-    beta = np.linalg.solve(Xh.T @ Xh + ridge * np.eye(X.shape[1]), Xh.T @ y[ok])
-    fitted = X[:n] @ beta
-    resid = y[ok] - fitted[ok]
-    sd = float(np.sqrt(np.sum(resid ** 2) / max(ok.sum() - X.shape[1], 1)))
-    return fitted, X[n:] @ beta, sd
+
+def _at(x):
+    return sum((x[i] * F.col("beta")[i] for i in range(TERMS)), F.lit(0.0))
+
+
+def additive_forecast(long: DataFrame, steps: int = 6) -> DataFrame:
+    """``steps`` months ahead of each series with a 95% band; a series without a model gets nulls."""
+    ahead = _spans(long).join(additive_model(long).select("series_id", "measure", "beta", "sd"), ["series_id", "measure"], "left") \
+        .withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(steps)))).withColumn("month", F.add_months("last", F.col("h")))
+    yhat = _at(_terms(F.col("month"), F.col("first"), F.col("months")))
+    return ahead.withColumn("yhat", yhat).select("series_id", "measure", F.lit("additive").alias("model"), "month", "yhat",
+                                                 (F.col("yhat") - _Z95 * F.col("sd")).alias("yhat_lower"), (F.col("yhat") + _Z95 * F.col("sd")).alias("yhat_upper"))
 
 
 FORECAST_SCHEMA = T.StructType([
@@ -174,30 +215,21 @@ FORECAST_SCHEMA = T.StructType([
     T.StructField("yhat", T.DoubleType()), T.StructField("yhat_lower", T.DoubleType()),
     T.StructField("yhat_upper", T.DoubleType())])
 
-FITTED_SCHEMA = T.StructType([
-    T.StructField("series_id", T.StringType()), T.StructField("measure", T.StringType()),
-    T.StructField("month", T.DateType()), T.StructField("y", T.DoubleType()),
-    T.StructField("fitted", T.DoubleType()), T.StructField("holdout_pred", T.DoubleType())])
-
-
 def _future_months(last: pd.Timestamp, steps: int):
     return [(pd.Timestamp(last) + pd.DateOffset(months=h)).date() for h in range(1, steps + 1)]
 
 
 def forecast(long: DataFrame, model: str = "sarima", steps: int = 6) -> DataFrame:
     """6-month forecasts with a 95% band for every (series, measure)."""
+    if model == "additive":
+        return additive_forecast(long, steps)
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("month")
         y = pdf["value"].to_numpy(dtype=float)
-        last = pdf["month"].iloc[-1]
-        if model == "sarima":
-            mean, lo, hi = sarima_forecast(y, steps)
-        else:
-            moy = pd.to_datetime(pdf["month"]).dt.month.to_numpy()
-            _, mean, sd = additive_fit(y, moy, steps)
-            lo, hi = mean - 1.959963984540054 * sd, mean + 1.959963984540054 * sd
+        mean, lo, hi = sarima_forecast(y, steps)
         return pd.DataFrame({"series_id": pdf["series_id"].iloc[0], "measure": pdf["measure"].iloc[0],
-                             "model": model, "month": _future_months(last, steps),
+                             "model": model, "month": _future_months(pdf["month"].iloc[-1], steps),
                              "yhat": mean, "yhat_lower": lo, "yhat_upper": hi})
     return long.groupBy("series_id", "measure").applyInPandas(run, FORECAST_SCHEMA)
 
@@ -205,18 +237,13 @@ def forecast(long: DataFrame, model: str = "sarima", steps: int = 6) -> DataFram
 def fitted_values(long: DataFrame, holdout: int = 6) -> DataFrame:
     """Additive model: in-sample fitted values on all months, plus a true
     holdout prediction for the last ``holdout`` months (fit on the rest)."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("month")
-        y = pdf["value"].to_numpy(dtype=float)
-        moy = pd.to_datetime(pdf["month"]).dt.month.to_numpy()
-        fitted, _, _ = additive_fit(y, moy, 0)
-        hold = np.full(y.size, np.nan)
-        if y.size > holdout:
-            _, fut, _ = additive_fit(y[:-holdout], moy[:-holdout], holdout)
-            hold[-holdout:] = fut
-        return pd.DataFrame({"series_id": pdf["series_id"].iloc[0], "measure": pdf["measure"].iloc[0],
-                             "month": pdf["month"], "y": y, "fitted": fitted, "holdout_pred": hold})
-    return long.groupBy("series_id", "measure").applyInPandas(run, FITTED_SCHEMA)
+    keys = ["series_id", "measure"]
+    whole, rest = (additive_model(long, n).select(*keys, F.col("beta").alias(name)) for n, name in ((0, "whole"), (holdout, "rest")))
+    d = long.join(_spans(long), keys).join(whole, keys, "left").join(rest, keys, "left") \
+        .withColumn("x", _terms(F.col("month"), F.col("first"), F.col("months")))
+    held = F.when(F.col("month") > F.add_months("last", -holdout), _at(F.col("x")))
+    return d.withColumnRenamed("whole", "beta").withColumn("fitted", _at(F.col("x"))).drop("beta").withColumnRenamed("rest", "beta") \
+        .select(*keys, "month", F.col("value").alias("y"), "fitted", held.alias("holdout_pred"))
 
 
 def forecast_eval(fitted: DataFrame, last_n: int = 6) -> DataFrame:
