@@ -242,8 +242,9 @@ def stats_queries() -> dict[str, Query]:
 
     def direct(key):
         return lambda spark, sf: H.direct_tests(load_master(spark, sf))[key]()
-    for k in ("l08_los_shapiro", "l09_age_shapiro", "l11_los_ks_normal"):
+    for k in ("l08_los_shapiro", "l09_age_shapiro"):
         q[k] = direct(k)
+    q["l11_los_ks_normal"] = lambda spark, sf: round_cols(H.direct_tests(load_master(spark, sf))["l11_los_ks_normal"](), ["statistic", "p_direct"])
     q["l00_all_tests"] = lambda spark, sf: H.all_tests(load_master(spark, sf))
     return q
 
