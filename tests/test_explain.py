@@ -35,3 +35,22 @@ def test_local_surrogate_recovers_linear_slopes(spark):
     sd = {"a": statistics.pstdev(r[1] for r in rows), "b": statistics.pstdev(r[2] for r in rows)}
     assert out["a"] == pytest.approx(3.0 * sd["a"], rel=0.02)
     assert out["b"] == pytest.approx(-2.0 * sd["b"], rel=0.02)
+
+
+def test_signed_credits_add_up_on_boosted_trees(spark):
+    from pyspark.ml.regression import GBTRegressor
+    rows = [(i, float(i % 7), float((i * 5) % 11), float((i * 3) % 4), float((i % 7) * ((i * 5) % 11) + (i % 4))) for i in range(120)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, c double, y double")
+    names = ["a", "b", "c"]
+    data = VectorAssembler(inputCols=names, outputCol="features").transform(df)
+    model = GBTRegressor(featuresCol="features", labelCol="y", maxIter=5, seed=1).fit(data)
+    out = shapley_values(model, df, names, "id", permutations=4, output="prediction")
+    assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
+    means = [sum(r[k] for r in rows) / len(rows) for k in (1, 2, 3)]
+    base = model.predict(VectorAssembler(inputCols=names, outputCol="f").transform(spark.createDataFrame([tuple(means)], "a double, b double, c double")).first().f)
+    total, value = {}, {}
+    for r in out.collect():
+        total[r.id] = total.get(r.id, 0.0) + r.phi
+        value[r.id, r.feature] = r.value
+    for r in model.transform(data).collect():
+        assert total[r.id] == pytest.approx(r.prediction - base, abs=1e-9) and value[r.id, "b"] == r.b

@@ -17,7 +17,7 @@ from wardlens.plans import eda, explain as N, forecast as FC, hypothesis as H, k
 from wardlens.streaming import los_alert as J
 from wardlens.session import cut_lineage, ensure_checkpoint_dir, ship_package, tune_session
 from wardlens.sources import files
-from wardlens.sources.tables import derived, load_fact, load_master, pollution_daily, pollution_readings
+from wardlens.sources.tables import derived, load_fact, load_master, pollution_daily, pollution_readings, stored_fact
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,7 +29,7 @@ def round_cols(df: DataFrame, cols, digits: int = 6) -> DataFrame:
 
 def _on_fact(fn, post=None) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        df = fn(load_fact(spark, sf_dir))
+        df = fn(stored_fact(spark, sf_dir))
         return post(df) if post else df
     run.__name__ = fn.__name__
     run.__doc__ = fn.__doc__
@@ -44,6 +44,8 @@ def mart_queries() -> dict[str, Query]:
             q[name] = _on_fact(fn)
     q["q11_weekly_z_outliers"] = _on_fact(
         marts.q11_weekly_z_outliers, lambda d: round_cols(d, ["mean_los", "stddev_los", "z_score"]))
+    # The flagship query derives the fact itself, so its plan shows all that the stored one has behind it.
+    q["q01_department_mortality"] = lambda spark, sf: marts.q01_department_mortality(load_fact(spark, sf))
     return dict(sorted(q.items()))
 
 
@@ -82,7 +84,7 @@ def warehouse_queries() -> dict[str, Query]:
 
     def fkv(spark, sf):
         stg = load_master(spark, sf)
-        return W.fk_violations(load_fact(spark, sf), W.dim_patient(stg), W.dim_department(stg))
+        return W.fk_violations(stored_fact(spark, sf), W.dim_patient(stg), W.dim_department(stg))
 
     return {
         "a1_csv_roundtrip": _csv_roundtrip,
@@ -132,13 +134,13 @@ def load_queries() -> dict[str, Query]:
         return L.row_counts(spark, db)
 
     def drift(spark, sf):
-        fact = load_fact(spark, sf)
+        fact = stored_fact(spark, sf)
         actual = fact.drop("so2").withColumn("age", F.col("age").cast("string")).withColumn("ward", F.lit(1))
         return L.schema_differences(L.declared(spark, "fact_admissions"), actual)
 
     def orphans(spark, sf):
         known = load_master(spark, sf).where((F.col("mrd_no").cast("bigint") % 97 != 0) & (F.col("type_of_admissionemergencyopd") != "5-LOW"))
-        return W.fk_violations(load_fact(spark, sf), W.dim_patient(known), W.dim_department(known))
+        return W.fk_violations(stored_fact(spark, sf), W.dim_patient(known), W.dim_department(known))
 
     types = {"sno": "bigint", "mrd_no": "string", "doa": "date", "age": "int", "duration_of_stay": "int", "outcome": "string"}
 
@@ -156,7 +158,7 @@ def load_queries() -> dict[str, Query]:
 
     def refreshed(keys, read):
         def run(spark, sf):
-            fact, path = load_fact(spark, sf), _scratch(spark, "sums")
+            fact, path = stored_fact(spark, sf), _scratch(spark, "sums")
             late = F.col("doa") >= F.lit(BATCH_DAY).cast("date")
             for batch, rows in (("late", late), ("early", ~late), ("late", late)):
                 L.refresh(fact.where(rows), keys(), batch, path)
@@ -165,12 +167,12 @@ def load_queries() -> dict[str, Query]:
 
     def sql(text):
         def run(spark, sf):
-            L.register_views(load_fact(spark, sf))
+            L.register_views(stored_fact(spark, sf))
             return spark.sql(text)
         return run
 
     def with_copies(spark, sf):
-        rows = load_fact(spark, sf).select("admission_id", "mrd_no", "doa", "department")
+        rows = stored_fact(spark, sf).select("admission_id", "mrd_no", "doa", "department")
         return rows.unionByName(rows.where("admission_id % 50 = 0").withColumn("admission_id", F.col("admission_id") + 10**9))
 
     def imputed(spark, sf):
@@ -305,7 +307,7 @@ def ml_queries() -> dict[str, Query]:
 
 def similarity_queries() -> dict[str, Query]:
     def feats(spark, sf):
-        return R.sim_features(load_fact(spark, sf))
+        return R.sim_features(stored_fact(spark, sf))
 
     def topk(spark, sf):
         d = cut_lineage(feats(spark, sf))  # read by 3 scalar subqueries and the scan
@@ -326,7 +328,7 @@ def similarity_queries() -> dict[str, Query]:
 
 def forecast_queries() -> dict[str, Query]:
     def series(spark, sf):
-        return FC.monthly_series(load_fact(spark, sf))
+        return FC.monthly_series(stored_fact(spark, sf))
 
     def long(spark, sf):
         return FC.trend_data(series(spark, sf))
@@ -347,11 +349,11 @@ def streaming_queries() -> dict[str, Query]:
         """Write the fact as files, stream them through the alert job, read
         the alerts table back (must equal the batch alerts)."""
         root = _scratch(spark, "los-alert")
-        files.write_parquet(load_fact(spark, sf).repartition(4), f"{root}/incoming")
+        files.write_parquet(stored_fact(spark, sf).repartition(4), f"{root}/incoming")
         J.run_stream(spark, f"{root}/incoming", f"{root}/fact", f"{root}/alerts", f"{root}/_checkpoint")
         return spark.read.parquet(f"{root}/alerts").drop("batch_id")
 
-    return {"j1_los_alerts": lambda s, sf: J.alerts(load_fact(s, sf)), "j1_los_alerts_stream": stream}
+    return {"j1_los_alerts": lambda s, sf: J.alerts(stored_fact(s, sf)), "j1_los_alerts_stream": stream}
 
 
 def explain_queries() -> dict[str, Query]:

@@ -6,8 +6,8 @@ series are a panel keyed by (series_id, measure) — the whole hospital
 
 * P1: one Spark aggregate per (series, month), months without admissions
   filled in from a per-series ``sequence`` of months;
-* P3: one ``applyInPandas`` call per series (a series is one row per
-  month, so a group is bounded by the calendar, never by the data volume);
+* P3: a grid of parameters as rows, each with the squared residuals that it
+  leaves, and the best row of each series; finer grids around it follow;
 * P4: normal equations as grouped sums of products over all series at once,
   one small system solved for each series;
 * P5: error metrics as Spark aggregates over the fitted values.
@@ -19,11 +19,12 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wardlens.functions.columns import month_start
+from wardlens.session import cut_lineage
 
 MEASURES = ["monthly_admissions", "avg_los", "monthly_mortality"]
 
@@ -51,97 +52,118 @@ def trend_data(series: DataFrame) -> DataFrame:
                  .withColumn("value", F.col("value").cast("double"))
 
 
-# --- per-series solvers (numpy, one bounded series per call) ------------------------------
-
-def _nelder_mead(f, x0, step=0.1, iters=400, tol=1e-10):
-    n = len(x0)
-    pts = [np.asarray(x0, float)] + [np.asarray(x0, float) + step * np.eye(n)[i] for i in range(n)]
-    vals = [f(p) for p in pts]
-    for _ in range(iters):
-        order = np.argsort(vals)
-        pts = [pts[i] for i in order]
-        vals = [vals[i] for i in order]
-        if abs(vals[-1] - vals[0]) < tol:
-            break
-        c = np.mean(pts[:-1], axis=0)
-        xr = c + (c - pts[-1])
-        fr = f(xr)
-        if fr < vals[0]:
-            xe = c + 2 * (c - pts[-1])
-            fe = f(xe)
-            pts[-1], vals[-1] = (xe, fe) if fe < fr else (xr, fr)
-        elif fr < vals[-2]:
-            pts[-1], vals[-1] = xr, fr
-        else:
-            xc = c + 0.5 * (pts[-1] - c)
-            fc = f(xc)
-            if fc < vals[-1]:
-                pts[-1], vals[-1] = xc, fc
-            else:
-                pts = [pts[0]] + [pts[0] + 0.5 * (p - pts[0]) for p in pts[1:]]
-                vals = [vals[0]] + [f(p) for p in pts[1:]]
-    return pts[int(np.argmin(vals))]
-
-
-def _poly_mul(a, b):
-    return np.convolve(a, b)
-
-
-def sarima_forecast(y: np.ndarray, steps: int = 6, s: int = 12, z: float = 1.959963984540054):
-    """SARIMA(1,1,1)(1,1,1,s) by conditional least squares; returns
-    (mean, lower, upper) arrays of length ``steps`` (NaN when too short)."""
-    y = np.asarray(y, float)
-    nan = np.full(steps, np.nan)
-    if y.size < 2 * s + 3 or np.isnan(y).any():
-        return nan, nan, nan
-    w = y[s + 1:] - y[s:-1] - y[1:-s] + y[:-s - 1]
-
-    def residuals(p):
-        phi, theta, Phi, Theta = p
-        e = np.zeros(w.size)
-        for t in range(w.size):
-            def W(k):
-                return w[t - k] if t - k >= 0 else 0.0
-
-            def E(k):
-                return e[t - k] if t - k >= 0 else 0.0
-            ar = w[t] - phi * W(1) - Phi * W(s) + phi * Phi * W(s + 1)
-            e[t] = ar - (theta * E(1) + Theta * E(s) + theta * Theta * E(s + 1))
-        return e
-
-    def css(p):
-        if np.any(np.abs(p) >= 0.99):
-            return 1e300
-        e = residuals(p)[s + 1:]
-        return float(np.dot(e, e))
-
-    p = _nelder_mead(css, np.zeros(4))
-    phi, theta, Phi, Theta = p
-    e = residuals(p)
-    sigma2 = float(np.mean(e[s + 1:] ** 2)) if e.size > s + 1 else float("nan")
-    wf, ef = list(w), list(e)
-    for _ in range(steps):
-        t = len(wf)
-        val = phi * wf[t - 1] + Phi * wf[t - s] - phi * Phi * wf[t - s - 1] + \
-            theta * ef[t - 1] + Theta * ef[t - s] + theta * Theta * ef[t - s - 1]
-        wf.append(val)
-        ef.append(0.0)
-    yf = list(y)
+# --- seasonal model: a grid of parameters as rows ------------------------------------------------
+
+#: Months of a season, and months that the model loses to differences.
+SEASON = 12
+LOST = SEASON + 1
+#: Parameters are searched on a grid from -0.9 to 0.9, then on finer ones around the best so far.
+COARSE, ROUNDS = 0.3, 4
+
+
+def _residuals(w: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Residuals of differenced series (rows) under their parameters (rows of phi, theta, seasonal phi, seasonal theta); what lies before counts as 0."""
+    s, (phi, theta, sphi, stheta) = SEASON, p.T
+    x, e = np.pad(w, ((0, 0), (s + 1, 0))), np.zeros((len(w), w.shape[1] + s + 1))
+    for t in range(s + 1, e.shape[1]):
+        e[:, t] = x[:, t] - phi * x[:, t - 1] - sphi * x[:, t - s] + phi * sphi * x[:, t - s - 1] \
+            - theta * e[:, t - 1] - stheta * e[:, t - s] - theta * stheta * e[:, t - s - 1]
+    return e[:, s + 1:]
+
+
+def _differences(y: np.ndarray) -> np.ndarray:
+    """Monthly and yearly differences of series (rows)."""
+    return y[:, LOST:] - y[:, SEASON:-1] - y[:, 1:-SEASON] + y[:, :-LOST]
+
+
+def series_arrays(long: DataFrame) -> DataFrame:
+    """``(series_id, measure, last, y)``: one row per series, its values by month.
+
+    A month without a value takes the one on the line between its neighbours,
+    or the nearest at an end.  A series is bounded by the calendar."""
+    keys = ["series_id", "measure"]
+    w = Window.partitionBy(*keys).orderBy("month")
+    before, after = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    at = F.when(F.col("value").isNotNull(), F.struct(_month_number(F.col("month")).alias("t"), "value"))
+    d = long.withColumns({"lo": F.last(at, ignorenulls=True).over(before), "hi": F.first(at, ignorenulls=True).over(after)})
+    lo, hi = F.coalesce("lo", "hi"), F.coalesce("hi", "lo")
+    part = (_month_number(F.col("month")) - lo["t"]) / F.nullif(hi["t"] - lo["t"], F.lit(0))
+    y = lo["value"] + (hi["value"] - lo["value"]) * F.coalesce(part, F.lit(0.0))
+    rows = d.select(*keys, F.struct("month", y.alias("y")).alias("r"))
+    return rows.groupBy(*keys).agg(F.max("r.month").alias("last"), F.transform(F.array_sort(F.collect_list("r")), lambda r: r["y"]).alias("y"))
+
+
+def _css(candidates: DataFrame) -> DataFrame:
+    """Candidates with ``css``, the sum of squared residuals after the first season."""
+    def run(batches):
+        for part in batches:
+            css = np.full(len(part), np.inf)
+            for n, own in part.groupby(part["y"].map(len)).indices.items():
+                p = np.stack(part["p"].to_numpy()[own])
+                e = _residuals(_differences(np.stack(part["y"].to_numpy()[own])), p)[:, LOST:]
+                css[own] = np.where((np.abs(p) < 0.99).all(1), (e * e).sum(1), np.inf)
+            yield part.assign(css=css)
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in candidates.schema)
+    return candidates.mapInPandas(run, kinds + ", css double")
+
+
+def seasonal_model(long: DataFrame) -> DataFrame:
+    """``(series_id, measure, last, y, p)``: the parameters of least squares for each series of 28 months or more.
+
+    Every candidate is a row, so the search is spread over the cluster whatever
+    the number of series; each round keeps the best row of a series (of equal
+    ones, the least parameters)."""
+    keys = ["series_id", "measure", "last", "y"]
+    found = cut_lineage(series_arrays(long).where(F.size("y") > 2 * LOST + 1).withColumn("p", F.array(*[F.lit(0.0)] * 4)))
+    step = COARSE
+    for i in range(ROUNDS + 1):
+        span = range(-3, 4) if not i else range(-2, 3)
+        around = F.array(*[F.lit(k * step) for k in span])
+        grid = found
+        for k in range(4):
+            grid = grid.withColumn(f"d{k}", F.explode(around))
+        candidates = grid.select(*keys, F.array(*[F.col("p")[k] + F.col(f"d{k}") for k in range(4)]).alias("p"))
+        found = cut_lineage(_css(candidates).groupBy(*keys).agg(F.min(F.struct("css", "p")).alias("b")).select(*keys, "b.p"))
+        step /= 2.5
+    return found
+
+
+def seasonal_forecast(long: DataFrame, steps: int = 6) -> DataFrame:
+    """``steps`` months ahead by SARIMA(1,1,1)(1,1,1,12) with a 95% band; a series that is too short gets nulls."""
+    def run(batches):
+        for part in batches:
+            rows = []
+            for i in range(len(part)):
+                y = np.array(part["y"].iloc[i])
+                p = part["p"].iloc[i]
+                rows.append(_ahead(y, np.array(p), steps) if p is not None else [(None, None)] * steps)
+            out = part.loc[part.index.repeat(steps), ["series_id", "measure", "last"]]
+            yield out.assign(h=np.tile(np.arange(1, steps + 1, dtype=np.int32), len(part)), yhat=[x[0] for r in rows for x in r], sd=[x[1] for r in rows for x in r])
+    keys = ["series_id", "measure"]
+    each = series_arrays(long).join(seasonal_model(long).select(*keys, "p"), keys, "left")
+    ahead = each.mapInPandas(run, "series_id string, measure string, last date, h int, yhat double, sd double")
+    return ahead.select(*keys, F.lit("sarima").alias("model"), F.add_months("last", F.col("h")).alias("month"), "yhat",
+                        (F.col("yhat") - _Z95 * F.col("sd")).alias("yhat_lower"), (F.col("yhat") + _Z95 * F.col("sd")).alias("yhat_upper"))
+
+
+def _ahead(y: np.ndarray, p: np.ndarray, steps: int) -> list[tuple[float, float]]:
+    """Forecasts of one series and their standard deviations."""
+    s, (phi, theta, sphi, stheta) = SEASON, p
+    w = _differences(y[None])
+    e = _residuals(w, p[None])[0]
+    w, e, y = list(w[0]), list(e), list(y)
+    sigma2 = float(np.mean(np.square(e[LOST:])))
+    out, psi = [], []
+    # The weights of past shocks in the undifferenced series: from the product of all lag polynomials.
+    ar = np.convolve(np.convolve([1, -phi], np.r_[1, np.zeros(s - 1), -sphi]), np.convolve([1, -1], np.r_[1, np.zeros(s - 1), -1]))
+    ma = np.convolve([1, theta], np.r_[1, np.zeros(s - 1), stheta])
     for h in range(steps):
-        t = len(yf)
-        yf.append(wf[len(w) + h] + yf[t - 1] + yf[t - s] - yf[t - s - 1])
-    mean = np.array(yf[y.size:])
-    ar = _poly_mul(_poly_mul([1, -phi], np.r_[1, np.zeros(s - 1), -Phi]),
-                   _poly_mul([1, -1], np.r_[1, np.zeros(s - 1), -1]))
-    ma = _poly_mul([1, theta], np.r_[1, np.zeros(s - 1), Theta])
-    psi = np.zeros(steps)
-    for j in range(steps):
-        v = ma[j] if j < ma.size else 0.0
-        for i in range(1, min(j, ar.size - 1) + 1):
-            v -= ar[i] * psi[j - i]
-        psi[j] = v
-    sd = np.sqrt(sigma2 * np.cumsum(psi ** 2))
-    return mean, mean - z * sd, mean + z * sd
+        w.append(phi * w[-1] + sphi * w[-s] - phi * sphi * w[-s - 1] + theta * e[-1] + stheta * e[-s] + theta * stheta * e[-s - 1])
+        e.append(0.0)
+        y.append(w[-1] + y[-1] + y[-s] - y[-s - 1])
+        psi.append((ma[h] if h < len(ma) else 0.0) - sum(ar[i] * psi[h - i] for i in range(1, min(h, len(ar) - 1) + 1)))
+        out.append((y[-1], float(np.sqrt(sigma2 * np.sum(np.square(psi))))))
+    return out
 
 
 # --- additive model: normal equations as grouped sums ------------------------------------------
@@ -209,29 +231,9 @@ def additive_forecast(long: DataFrame, steps: int = 6) -> DataFrame:
                                                  (F.col("yhat") - _Z95 * F.col("sd")).alias("yhat_lower"), (F.col("yhat") + _Z95 * F.col("sd")).alias("yhat_upper"))
 
 
-FORECAST_SCHEMA = T.StructType([
-    T.StructField("series_id", T.StringType()), T.StructField("measure", T.StringType()),
-    T.StructField("model", T.StringType()), T.StructField("month", T.DateType()),
-    T.StructField("yhat", T.DoubleType()), T.StructField("yhat_lower", T.DoubleType()),
-    T.StructField("yhat_upper", T.DoubleType())])
-
-def _future_months(last: pd.Timestamp, steps: int):
-    return [(pd.Timestamp(last) + pd.DateOffset(months=h)).date() for h in range(1, steps + 1)]
-
-
 def forecast(long: DataFrame, model: str = "sarima", steps: int = 6) -> DataFrame:
     """6-month forecasts with a 95% band for every (series, measure)."""
-    if model == "additive":
-        return additive_forecast(long, steps)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("month")
-        y = pdf["value"].to_numpy(dtype=float)
-        mean, lo, hi = sarima_forecast(y, steps)
-        return pd.DataFrame({"series_id": pdf["series_id"].iloc[0], "measure": pdf["measure"].iloc[0],
-                             "model": model, "month": _future_months(pdf["month"].iloc[-1], steps),
-                             "yhat": mean, "yhat_lower": lo, "yhat_upper": hi})
-    return long.groupBy("series_id", "measure").applyInPandas(run, FORECAST_SCHEMA)
+    return (additive_forecast if model == "additive" else seasonal_forecast)(long, steps)
 
 
 def fitted_values(long: DataFrame, holdout: int = 6) -> DataFrame:
@@ -249,7 +251,6 @@ def fitted_values(long: DataFrame, holdout: int = 6) -> DataFrame:
 def forecast_eval(fitted: DataFrame, last_n: int = 6) -> DataFrame:
     """MAE / RMSE on each series' last ``last_n`` months: in-sample (the
     reference's comparison) and holdout."""
-    from pyspark.sql import Window
     # <= one row per month per series: the window sees a calendar-bounded group.
     w = Window.partitionBy("series_id", "measure").orderBy(F.desc("month"))
     f = fitted.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= last_n)
