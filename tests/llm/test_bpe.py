@@ -38,13 +38,12 @@ def test_every_character(coder, vocabulary):
 
 def test_array_and_heap_merge_alike(coder, vocabulary):
     rng = random.Random(2)
-    for n in [1, 2, 3, *(rng.randint(4, 400) for _ in range(200))]:
-        word = "".join(rng.choice("abcdethéß") for _ in range(n))
-        signs = vocabulary.words(word)[0]
-        want = coder.encode(word, add_special_tokens=False).ids
-        assert vocabulary._merged_long(signs) == vocabulary.merged(signs) == want
-        if len(signs) > 10:
-            assert vocabulary.merged(signs[:bpe.SHORT]) == vocabulary._merged_long(signs[:bpe.SHORT])
+    texts = ["".join(rng.choice("abcdethéß") for _ in range(n)) for n in [1, 2, 3, *(rng.randint(4, 400) for _ in range(300))]]
+    signs = [vocabulary.words(t)[0] for t in texts]
+    ids, heads = vocabulary.word_ids(signs)
+    for text, word, a, b in zip(texts, signs, heads, heads[1:]):
+        assert vocabulary.merged_long(word) == ids[a:b].tolist() == coder.encode(text, add_special_tokens=False).ids
+    assert max(map(len, signs)) > bpe.SHORT
     assert vocabulary.encode(pa.array(["x" * 100_000])).to_pylist()[0] == coder.encode("x" * 100_000, add_special_tokens=False).ids
 
 

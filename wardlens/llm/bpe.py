@@ -2,14 +2,16 @@
 
 A text is cut at white space, normalised (composed, lower case) and cut into
 words, numbers' digits and runs of signs.  The bytes of each word, one sign for
-a byte and the end mark on the last, are merged by a contiguous rank array:
-the boundaries of the parts and the rank of every adjacent pair lie in two
-lists; the least rank is found by a scan, its boundary is deleted and the ranks
-on both sides are looked up anew.  A scan of all ranks for each merge suits
-short words only, so long ones keep their ranks in a heap instead, with the
-same result.
-
-Nothing of a text crosses white space, so each distinct stretch of a batch is
+a byte and the end mark on the last, are merged by contiguous rank arrays: the
+parts of a word, one for each pair of neighbouring boundaries, and the rank of
+every adjacent pair lie side by side; the least rank is found by a scan, its
+boundary is deleted and the ranks on both sides are looked up anew.  Words of
+one length lose a boundary in each round alike, so they share one matrix and
+each step is done for all of them at once.  A scan of all ranks for each merge
+suits short words only, so long ones keep their ranks in a heap instead, with
+the same result.
+
+Nothing of a text crosses white space, so each distinct word of a batch is
 encoded once and the ids of the batch are gathered from those.  Encoding and
 decoding need no shuffle.
 """
@@ -32,12 +34,12 @@ VOCABULARY = "word_bpe_49k.json"
 SHORT = 128
 #: Bytes of text that a task encodes together.
 TOGETHER = 6 << 20
-#: Words whose ids a task keeps, and the longest of them.
-CACHED, CACHED_LENGTH = 200_000, 64
+#: Places of the table of merges, a power of two and several times their number.
+PLACES_BITS = 18
 #: Fixed value: what counts as a word of this kind of vocabulary, in ASCII text in lower case.
 ASCII_WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+"
 
-_NEVER = 1 << 60
+_NEVER = np.int32(np.iinfo(np.int32).max)
 
 
 def byte_signs() -> list[str]:
@@ -62,39 +64,83 @@ class Vocabulary:
         self.special = {t["content"]: t["id"] for t in found["added_tokens"]}
         strings = "|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))
         self.parts = re.compile(f"({strings})") if strings else None
-        self.ascii_words = re.compile(ASCII_WORD)
+        self.ascii_words = re.compile(ASCII_WORD + r"|\n")
         # Beyond ASCII the case and the classes of characters are those of the vocabulary's own normaliser, whose Unicode version is not Python's.
         library = Tokenizer.from_file(public_tokenizers.path(name))
         self.normalised, self.cut = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
-        self.signs = str.maketrans(dict(zip(map(chr, range(256)), byte_signs(), strict=True)))
-        self.cache: dict[str, list[int]] = {}
+        signs = byte_signs()
+        self.signs = str.maketrans(dict(zip(map(chr, range(256)), signs, strict=True)))
+        # The id of each sign, within a word and at its end; the table of merges, by the ids of both parts; the id that a merge makes.
+        self.within, self.last = np.zeros(512, np.int32), np.zeros(512, np.int32)
+        for sign in signs:
+            self.within[ord(sign)], self.last[ord(sign)] = self.ids[sign], self.ids[sign + self.end]
+        self.made = np.array([self.ids[a + b] for a, b in self.ranks], np.int32)
+        self.pairs, self.pair_ranks = np.full(1 << PLACES_BITS, -1, np.int64), np.full(1 << PLACES_BITS, _NEVER, np.int32)
+        for rank, (a, b) in enumerate(self.ranks):
+            key = self.ids[a] << 20 | self.ids[b]
+            at = int(self._places(np.array([key]))[0])
+            while self.pairs[at] >= 0:
+                at = (at + 1) % len(self.pairs)
+            self.pairs[at], self.pair_ranks[at] = key, rank
 
     def tokens(self) -> pa.Array:
         """The string of each id; null where an id has none."""
         by_id = {i: t for t, i in (self.ids | self.special).items()}
         return pa.array([by_id.get(i) for i in range(max(by_id) + 1)], pa.string())
 
-    def merged(self, word: str) -> list[int]:
-        """The ids of one word, whose signs are those of its bytes."""
-        if len(word) > SHORT:
-            return self._merged_long(word)
-        text, get = word + self.end, self.ranks.get
-        bounds = [*range(len(word)), len(text)]
-        ranks = [get((text[a:b], text[b:c]), _NEVER) for a, b, c in zip(bounds, bounds[1:], bounds[2:], strict=False)]
-        while ranks:
-            least = min(ranks)
-            if least == _NEVER:
+    @staticmethod
+    def _places(keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - PLACES_BITS)).astype(np.int64)
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The ranks of pairs of ids; ``_NEVER`` where no merge joins them."""
+        keys = left.astype(np.int64) << 20 | right
+        at = self._places(keys)
+        there = self.pairs[at]
+        out = np.where(there == keys, self.pair_ranks[at], _NEVER)
+        rest = np.flatnonzero((there != keys) & (there >= 0))
+        while len(rest):
+            at[rest] = (at[rest] + 1) % len(self.pairs)
+            there = self.pairs[at[rest]]
+            same = there == keys[rest]
+            out[rest[same]] = self.pair_ranks[at[rest[same]]]
+            rest = rest[~same & (there >= 0)]
+        return out
+
+    def merged(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Words of one length, a row of ids each -> the ids left, one word after another, and how many each word has."""
+        n = len(ids)
+        sizes, out = np.zeros(n, np.int64), np.zeros(ids.shape, np.int32)
+        which = np.arange(n)
+        ranks = self.rank(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(n, -1)
+        while len(which):
+            width = ids.shape[1]
+            least = ranks.argmin(1) if width > 1 else np.zeros(len(which), np.int64)
+            row = np.arange(len(which))
+            best = ranks[row, least] if width > 1 else np.full(len(which), _NEVER)
+            done = best == _NEVER
+            sizes[which[done]] = width
+            out[which[done], :width] = ids[done]
+            live = ~done
+            which, ids, ranks, least, best = which[live], ids[live], ranks[live], least[live], best[live]
+            if not len(which):
                 break
-            i = ranks.index(least)
-            del bounds[i + 1], ranks[i]
-            if i:
-                ranks[i - 1] = get((text[bounds[i - 1]:bounds[i]], text[bounds[i]:bounds[i + 1]]), _NEVER)
-            if i < len(ranks):
-                ranks[i] = get((text[bounds[i]:bounds[i + 1]], text[bounds[i + 1]:bounds[i + 2]]), _NEVER)
-        return self._ids(text, bounds)
-
-    def _merged_long(self, word: str) -> list[int]:
-        """As ``merged``: the least rank, leftmost first, comes from a heap; stale entries are told by the boundaries they were made of."""
+            row = np.arange(len(which))
+            ids[row, least] = self.made[best]
+            keep = np.ones(ids.shape, bool)
+            keep[row, least + 1] = False
+            ids = ids[keep].reshape(len(which), width - 1)
+            keep = np.ones(ranks.shape, bool)
+            keep[row, least] = False
+            ranks = ranks[keep].reshape(len(which), width - 2)
+            left = np.flatnonzero(least > 0)
+            ranks[left, least[left] - 1] = self.rank(ids[left, least[left] - 1], ids[left, least[left]])
+            right = np.flatnonzero(least < width - 2)
+            ranks[right, least[right]] = self.rank(ids[right, least[right]], ids[right, least[right] + 1])
+        return out[np.arange(out.shape[1]) < sizes[:, None]], sizes
+
+    def merged_long(self, word: str) -> list[int]:
+        """The ids of one long word: the least rank, leftmost first, comes from a heap; stale entries are told by the boundaries they were made of."""
         text, get = word + self.end, self.ranks.get
         after = [*range(1, len(word)), len(text)]
         before = [*range(-1, len(word) - 1)]
@@ -119,53 +165,108 @@ class Vocabulary:
             if before[a] >= 0:
                 offer(before[a])
             offer(a)
-        return self._ids(text, [*(a for a in range(len(word)) if not gone[a]), len(text)])
-
-    def _ids(self, text: str, bounds: list[int]) -> list[int]:
+        bounds = [*(a for a in range(len(word)) if not gone[a]), len(text)]
         return [self.ids[text[a:b]] for a, b in zip(bounds, bounds[1:], strict=False)]
 
+    def word_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words, given by the signs of their bytes, one word after another, and where each begins."""
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        heads = np.concatenate(([0], np.cumsum(lengths)))
+        codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+        sizes, found = np.zeros(len(words), np.int64), []
+        for length in np.unique(lengths).tolist():
+            own = np.flatnonzero(lengths == length)
+            if length <= SHORT:
+                signs = codes[heads[own][:, None] + np.arange(length)]
+                ids = self.within[signs]
+                ids[:, -1] = self.last[signs[:, -1]]
+                flat, sizes[own] = self.merged(ids)
+            else:
+                each = [self.merged_long(words[i]) for i in own]
+                sizes[own] = list(map(len, each))
+                flat = np.fromiter((i for x in each for i in x), np.int32, sizes[own].sum())
+            found.append((own, flat))
+        starts = np.concatenate(([0], np.cumsum(sizes)))
+        out = np.zeros(starts[-1], np.int32)
+        for own, flat in found:
+            out[_runs(starts[own], sizes[own])] = flat
+        return out, starts
+
     def words(self, text: str) -> list[str]:
-        """The words of a text without ASCII white space, a sign for each byte."""
+        """The words of a text without ASCII white space, by the signs of their bytes."""
         if text.isascii():
             found = self.ascii_words.findall(text.lower())
             return found if text.isprintable() else [w.translate(self.signs) for w in found]
         return [w for w, _ in self.cut(self.normalised(text))]
 
-    def word(self, word: str) -> list[int]:
-        """The ids of one word."""
-        ids = self.cache.get(word)
-        if ids is None:
-            ids = self.merged(word)
-            if len(word) <= CACHED_LENGTH:
-                if len(self.cache) >= CACHED:
-                    self.cache.clear()
-                self.cache[word] = ids
-        return ids
-
-    def stretch(self, text: str) -> list[int]:
-        """The ids of a text without ASCII white space; strings of special tokens are these tokens."""
-        ids: list[int] = []
-        for i, part in enumerate(self.parts.split(text) if self.parts and self.parts.search(text) else [text]):
-            if i % 2:
-                ids.append(self.special[part])
-                continue
-            for word in self.words(part):
-                ids += self.word(word)
-        return ids
+    def stretches(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts without ASCII white space, one after another, and where each begins; strings of special tokens are these tokens."""
+        plain = [t for t in texts if t.isascii() and t.isprintable()]
+        joined = "\n".join(plain)
+        if self.parts is not None and self.parts.search(joined):
+            plain = [t for t in plain if not self.parts.search(t)]
+            joined = "\n".join(plain)
+        # Words of all plain texts at once; a line end parts one text from the next.
+        words = self.ascii_words.findall(joined.lower())
+        of_plain = set(plain)
+        others: list[list] = []
+        for text in texts:
+            if text not in of_plain:
+                own: list = []
+                for i, part in enumerate(self.parts.split(text) if self.parts else [text]):
+                    own += [self.special[part]] if i % 2 else self.words(part)
+                others.append(own)
+        coded = pa.array(words + [w for own in others for w in own if isinstance(w, str)], pa.string()).dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        at_break = distinct.index("\n") if "\n" in distinct else -1
+        ids, starts = self.word_ids([w if w != "\n" else "!" for w in distinct])
+        which = coded.indices.to_numpy().astype(np.int64)
+        sizes = np.diff(starts)[which]
+        breaks = which[:len(words)] == at_break
+        sizes[:len(words)][breaks] = 0
+        text_of = np.cumsum(breaks)
+        out_sizes = np.zeros(len(texts), np.int64)
+        is_plain = np.fromiter((t in of_plain for t in texts), bool, len(texts))
+        order = np.flatnonzero(is_plain)
+        if len(order):
+            out_sizes[order] = np.bincount(text_of, sizes[:len(words)], len(order)).astype(np.int64) if len(words) else 0
+        flat = ids[_runs(starts[which], sizes)]
+        cut = int(sizes[:len(words)].sum())
+        rest, at, lists = flat[cut:], 0, []
+        word_sizes = iter(sizes[len(words):].tolist())
+        for own in others:
+            mine: list[int] = []
+            for w in own:
+                if isinstance(w, str):
+                    k = next(word_sizes)
+                    mine += rest[at:at + k].tolist()
+                    at += k
+                else:
+                    mine.append(w)
+            lists.append(mine)
+        out_sizes[~is_plain] = list(map(len, lists))
+        heads = np.concatenate(([0], np.cumsum(out_sizes)))
+        out = np.zeros(heads[-1], np.int32)
+        out[_runs(heads[:-1][is_plain], out_sizes[is_plain])] = flat[:cut]
+        out[_runs(heads[:-1][~is_plain], out_sizes[~is_plain])] = np.fromiter((i for x in lists for i in x), np.int32)
+        return out, heads
 
     def encode(self, texts: pa.Array) -> pa.ListArray:
         """The ids of each text."""
         cut = pc.ascii_split_whitespace(texts.cast(pa.string()))
         coded = cut.flatten().dictionary_encode()
-        each = [self.stretch(s) for s in coded.dictionary.to_pylist()]
-        heads = np.cumsum([0, *map(len, each)])
-        ids = np.fromiter((i for x in each for i in x), np.int32, heads[-1])
+        ids, heads = self.stretches(coded.dictionary.to_pylist())
         which = coded.indices.to_numpy()
         sizes = np.diff(heads)[which]
         ends = np.concatenate(([0], np.cumsum(sizes)))
-        flat = ids[np.repeat(heads[:-1][which] - ends[:-1], sizes) + np.arange(ends[-1])]
         offsets = np.asarray(cut.offsets)
-        return pa.ListArray.from_arrays(pa.array(ends[offsets - offsets[0]], pa.int32()), pa.array(flat, pa.int32()))
+        return pa.ListArray.from_arrays(pa.array(ends[offsets - offsets[0]], pa.int32()), pa.array(ids[_runs(heads[:-1][which], sizes)], pa.int32()))
+
+
+def _runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places ``start, start + 1, ...`` of each run, one run after another."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
 @functools.cache
