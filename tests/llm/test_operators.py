@@ -56,6 +56,56 @@ def test_html_main_text():
     assert html_extract.main_text("<div>" * 3000 + "deep") == "deep"
 
 
+def test_html_keeps_the_parts_of_an_article():
+    def text(body):
+        return html_extract.main_text(f"<html><head><title>x</title></head><body>{body}</body></html>")
+    assert text('<nav><a href=x>m</a></nav><article><header class="entry-header"><h1>Title</h1></header><p class="notice">Take note.</p>'
+                '<p>Some <span class="tags">running</span> words.</p></article><footer>f</footer>') == "Title Take note. Some running words."
+    prose = "A long paragraph, with commas, and enough words to be the best part of this page. " * 3
+    assert text(f"<h2>Heading</h2><p>Short.</p><div><p>{prose}</p></div><ul><li>item</li></ul><pre>code</pre><p>Tail.</p><ul><li><a href=x>menu</a></li></ul>") \
+        == f"Heading Short. {prose.strip()} item code Tail."
+    assert text(f'<div class="header"><p>Site</p></div><div><p>{prose}</p></div><div class="alert">Cookies</div>') == prose.strip()
+    assert text(f'<article><p>{prose}</p><div class="share">Share this</div><div class="notice">We use cookies</div><span style="display:none">no</span></article>') == prose.strip()
+
+
+def _page(rng):
+    """A page of one of many templates and the text of its article."""
+    def words(n):
+        return " ".join(rng.choice("alpha beta, gamma delta. epsilon zeta eta theta, iota kappa".split()) for _ in range(n))
+    blocks, want = [], []
+    for k in range(rng.randint(3, 9)):
+        kind = rng.choice(["p", "p", "p", "h2", "ul", "bold", "entity", "quote", "lines"]) if k else "p"
+        t = words(rng.randint(25, 80) if kind in ("p", "bold") else rng.randint(2, 12))
+        if kind == "ul":
+            items = [words(4), words(5)]
+            blocks.append("<ul>" + "".join(f"<li>{x}" for x in items) + "</ul>")
+            want += items
+        else:
+            blocks.append({"p": f"<p>{t}" + rng.choice(["", "</p>"]), "h2": f"<h2 class=title>{t}</h2>", "bold": f"<p>{t[:9]}<b>{t[9:]}</b></p>",
+                           "entity": f"<p>{t} &amp; &#233;t&eacute;</p>", "quote": f"<blockquote>{t}</blockquote>",
+                           "lines": "<p>" + t.replace(" ", "\n  ") + "</p>"}[kind])
+            want.append(t + (" & été" if kind == "entity" else ""))
+    links = "".join(f"<li><a href=/{i}>{words(2)}</a></li>" for i in range(6))
+    noise = [f"<nav><ul>{links}</ul></nav>", f'<div class="sidebar"><h3>More</h3><ul>{links}</ul></div>', f'<div id="comments"><p>{words(30)}</p></div>',
+             f'<div class="cookie-notice">{words(9)}</div>', f"<form><input name=q><button>{words(1)}</button></form>", f"<script>var x = '<p>{words(9)}</p>';</script>",
+             f'<div class="ad">{words(12)}</div>', f"<!-- <p>{words(9)}</p> -->", f"<aside><p>{words(20)}</p></aside>", f"<style>p {{ }} {words(3)}</style>"]
+    rng.shuffle(noise)
+    holder = rng.choice(["<article>{}</article>", "<main><article class=post>{}</article></main>", '<div class="content">{}</div>', '<div id="wrap"><div class="entry">{}</div></div>',
+                         '<div class="with-sidebar"><main>{}</main></div>', "<table><tr><td>{}</td></tr></table>"])
+    page = f"<!DOCTYPE html><html><head><title>{words(4)}</title></head><body>" + "".join(noise[:4]) + holder.format("".join(blocks)) + "".join(noise[4:8]) \
+        + f"<footer><p>{words(8)}</p></footer></body></html>"
+    return page, " ".join(" ".join(want).split())
+
+
+def test_html_on_planted_pages_of_many_templates():
+    rng = random.Random(17)
+    for _ in range(400):
+        page, want = _page(rng)
+        assert html_extract.main_text(page) == want, page
+    page, want = _page(rng)
+    assert html_extract.main_text(page.replace(want[:20], want[:20] + " long" * 60_000, 1)).count("long") >= 60_000 or want[:20] not in page
+
+
 def test_html_table(spark):
     pages = spark.createDataFrame([(1, "u", "<p>a</p>", "z"), (None, None, None, "z"), (1, "u", "<p>a</p>", "z")], "page_id long, url string, html string, text string")
     assert sorted((r.page_id or 0, r.text, r.n_chars) for r in html_extract.extract(pages).collect()) == [(0, "", 0), (1, "a", 1), (1, "a", 1)]

@@ -40,6 +40,10 @@ NOISE = re.compile(
 #: A part so marked is cut even if it holds an article, as lists of comments and teasers do.
 FIRM = re.compile(r"comment|repl(?:y|ies)|respond|related|recommend|disqus|teaser|aside|widget", re.IGNORECASE)
 KEEP = frozenset(("article", "main", "body", "html"))
+#: Within an article these words name its own parts: its head everywhere, the others on a block of text.
+HEAD = re.compile(r"(?:^|[\s_-])(?:masthead|page-?header|header)(?=$|[\s_-])", re.IGNORECASE)
+SOFT = re.compile(r"(?:^|[\s_-])(?:banner|notice|alert|side|tags|rating|search|skip\w*)(?=$|[\s_-])", re.IGNORECASE)
+TEXT = frozenset("p pre h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tr td th blockquote figcaption".split())
 
 _PIECE = re.compile(
     r"<!--(?:.*?)(?:-->|$)|<!\[CDATA\[(.*?)(?:\]\]>|$)|<[!?][^>]*>"
@@ -53,15 +57,19 @@ SIBLING_SHARE = 0.2
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "noise", "firm", "score", "chars", "linked", "commas", "blocks")
+    __slots__ = ("tag", "parent", "parts", "noise", "firm", "inside", "score", "chars", "linked", "commas", "blocks")
 
     def __init__(self, tag: str, parent: Node | None, noise: bool = False, firm: bool = False):
         self.tag, self.parent, self.noise, self.firm = tag, parent, noise, firm
+        self.inside = tag in ("article", "main") or (parent is not None and parent.inside)
         self.parts: list[Node | str] = []
         self.score = 0.0
 
 
-def _is_noise(tag: str, attributes: str) -> bool:
+def _is_noise(tag: str, attributes: str, inside: bool) -> bool:
+    """Whether an element is never content: by its name, as hidden, or, if it is a block, by a word in its class, id or role.
+
+    ``inside`` an article, words for its own parts do not count."""
     if tag in NEVER:
         return True
     if not attributes or tag in KEEP:
@@ -70,8 +78,12 @@ def _is_noise(tag: str, attributes: str) -> bool:
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and _HIDDEN.search(value)):
             return True
-        if name in ("class", "id", "role") and NOISE.search(value):
-            return True
+        if name in ("class", "id", "role") and tag not in INLINE:
+            if inside:
+                value = HEAD.sub(" ", value)
+                value = SOFT.sub(" ", value) if tag in TEXT else value
+            if NOISE.search(value):
+                return True
     return False
 
 
@@ -118,7 +130,7 @@ def parse(html: str) -> Node:
             end = lower.find("</" + tag, at)
             at = len(html) if end < 0 else (lower.find(">", end) + 1 or len(html))
             continue
-        noise = _is_noise(tag, m[4])
+        noise = _is_noise(tag, m[4], here.inside)
         node = Node(tag, here, noise, noise and (tag in NEVER or FIRM.search(m[4]) is not None))
         if tag in ("article", "main") and not noise:
             holds = here  # a page wrapper called "with-sidebar" is no sidebar
@@ -190,7 +202,8 @@ def best_nodes(top: Node) -> list[Node]:
         if not isinstance(x, Node) or x.noise:
             continue
         good = x.score * (1 - _density(x)) >= max(1.0, SIBLING_SHARE * score) and x.tag in CONTAINERS
-        prose = x.tag == "p" and x.chars > 80 and _density(x) < 0.25
+        # Beside the best part of a page without an article lie its headings, lists and short paragraphs too.
+        prose = (x.tag == "p" and x.chars > 80 if marked else x.tag in TEXT and x.chars > 0) and _density(x) < 0.25
         if x is best or good or prose or (marked and x.tag == best.tag and x.chars):
             out.append(x)
     return out
