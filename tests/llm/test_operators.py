@@ -255,6 +255,46 @@ def test_personal_data(spark, odd):
     assert got == "to <email> or <phone>."
 
 
+def _digits_pass(kind, t):
+    figures = re.sub("[^0-9]", "", t)
+    if kind == 1:
+        return all(int(x) <= 255 for x in t.split("."))
+    if kind == 2:
+        doubled = [int(c) * (1 + i % 2) for i, c in enumerate(reversed(figures))]
+        return 12 <= len(figures) <= 19 and sum(v - 9 * (v > 9) for v in doubled) % 10 == 0
+    return kind == 0 or 9 <= len(figures) <= 15
+
+
+def test_plain_personal_data_equals_the_patterns():
+    patterns = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
+    rng = random.Random(11)
+    pools = ["a1.2-@+ 40(5)b@.@", "0123456789.", "0123456789 -", "+0123456789 ().-", "4111 1-+.@a", "25.60."]
+    cards = ["4111111111111111", "5500 0000 0000 0004", "3400-000000-00009"]
+    for k in range(20_000):
+        pool = pools[k % len(pools)]
+        t = "".join(rng.choice(pool) for _ in range(rng.randint(0, 45))) + (rng.choice(cards) if k % 7 == 0 else "")
+        want = sorted((m.start(), i, m.end()) for i, p in enumerate(patterns) for m in re.finditer(p, t) if _digits_pass(i, m[0]))
+        assert pii.plain_spans(t) == want, t
+
+
+def test_personal_data_in_more_disguises():
+    for hidden in ("gοοgle@example.com", "john @ example . com", "john&#64;example.com", "john%40example.com", "john&commat;example&period;com", "john at gmail.com",
+                   "jane.doe7 at example.org", "john [at] example [dot] com"):
+        text = f"write to {hidden} now"
+        assert pii.may_hide(pa.array([text])) == [True]
+        spans = pii.all_spans(text, pii.plain_spans(text))
+        assert hidden in [text[a:b] for a, k, b in spans if k == 0] and set(pii.plain_spans(text)) <= set(spans), hidden
+    text = "call +1 (four one five) five five five zero one nine nine now"
+    assert [text[a:b] for a, k, b in pii.all_spans(text, pii.plain_spans(text)) if k == 3] == ["+1 (four one five) five five five zero one nine nine"]
+    for clean in ("we met at example.com last year", "look at this. com", "they sat at home . com and", "one (two) three, four", "100% of 40 at most", "he is at work"):
+        assert pii.all_spans(clean, pii.plain_spans(clean)) == [], clean
+
+
+def test_masks_cover_the_whole_of_a_disguise(spark):
+    frame = spark.createDataFrame([(1, "to gοοgle@example.com and a@b.cd."), (2, None)], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in pii.masked(frame).collect()} == {1: "to <email> and <email>.", 2: ""}
+
+
 def test_fingerprints(spark, docs, odd):
     def brute(t, k=winnowing.GRAM, w=winnowing.WINDOW):
         p = winnowing.code_points(t).astype(np.uint64) + np.uint64(1)

@@ -49,26 +49,34 @@ DIGIT_WORDS = {
 SIGN_WORDS = {"plus": "+", "más": "+", "dot": ".", "point": ".", "punkt": ".", "punto": ".", "dash": "-", "hyphen": "-", "tiret": "-"}
 AT_WORDS = ("at", "arroba", "arobase", "klammeraffe", "chez")
 DOT_WORDS = ("dot", "point", "punkt", "punto", "period")
+# First labels of the domains of mail providers; after one, a bare "at" is a sign.
+PROVIDERS = ("gmail", "googlemail", "yahoo", "hotmail", "outlook", "live", "icloud", "aol", "gmx", "web", "proton", "protonmail", "orange", "laposte")
+# Character references and escapes of the two signs.
+AT_CODES, DOT_CODES = r"&#0{0,4}64;|&#x0{0,4}40;|&commat;|%40", r"&#0{0,4}46;|&#x0{0,4}2e;|&period;|%2e"
 
 _INVISIBLE = "­​‌‍‎‏⁠﻿"
 _STRANGE = re.compile("[" + _INVISIBLE + "".join(map(re.escape, LOOKALIKES))
                       + "٠-٩۰-۹०-९²³¹⁰-⁹₀-₉①-⑨﹒﹫！-～\U0001d400-\U0001d7ff]")
 _WORDS = DIGIT_WORDS | SIGN_WORDS
 _ONE = r"(?:" + "|".join(sorted(map(re.escape, _WORDS), key=len, reverse=True)) + r"|[0-9]+)"
-#: Words or figures in a row, separated by a space, comma or hyphen; seven of them, or seven digits, are rewritten.
+#: Words or figures in a row, separated by spaces, commas, brackets or a hyphen; seven of them, or seven digits, are rewritten.
 LEAST = 7
-_SPELLED = re.compile(r"\+?(?<![^\W_])" + _ONE + r"(?:(?:[\s,]{1,2}|-)" + _ONE + r")+(?![^\W_])", re.IGNORECASE)
+_BETWEEN = r"(?:[\s,()]{1,3}|-)"
+_SPELLED = re.compile(r"\+?(?<![^\W_])" + _ONE + r"(?:" + _BETWEEN + _ONE + r")+(?![^\W_])", re.IGNORECASE)
 _SPELLED_WORD = re.compile(r"[^\W\d_]+|[0-9]+|\+", re.IGNORECASE)
 _AT, _DOT = "|".join(AT_WORDS), "|".join(DOT_WORDS)
 _OPEN, _SHUT = r"\s{0,2}[\[({<]\s{0,2}", r"\s{0,2}[\])}>]\s{0,2}"
-_SIGN_AT = rf"(?:{_OPEN}(?:{_AT}|@|a){_SHUT}|\s{{0,2}}@\s{{0,2}}|[_-](?:{_AT})[_-])"
-_SIGN_DOT = rf"(?:{_OPEN}(?:{_DOT}|\.){_SHUT}|\s(?:{_DOT})\s|[_-](?:{_DOT})[_-])"
+_SIGN_AT = rf"(?:{_OPEN}(?:{_AT}|@|a){_SHUT}|\s{{0,2}}@\s{{0,2}}|[_-](?:{_AT})[_-]|{AT_CODES})"
+_WRITTEN_DOT = rf"{_OPEN}(?:{_DOT}|\.){_SHUT}|\s(?:{_DOT})\s|[_-](?:{_DOT})[_-]|{DOT_CODES}"
+_SIGN_DOT = rf"(?:{_WRITTEN_DOT}|\s\.\s)"
 #: Groups of figures with disguised dots between, as in an IP address.
 _DOTTED = re.compile(rf"(?<![0-9])[0-9]+(?:(?:{_SIGN_DOT}|\.)[0-9]+){{3,}}", re.IGNORECASE)
 _HIDDEN_DOT = re.compile(_SIGN_DOT, re.IGNORECASE)
 _LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?"
-#: A clear "at" sign and any dots; or a bare "at" with written-out dots.
-_CLOAKED = re.compile(rf"(?:{_SIGN_AT}(?={_LABEL}(?:{_SIGN_DOT}|\.){_LABEL})|\s(?:{_AT})\s(?={_LABEL}{_SIGN_DOT}{_LABEL}))", re.IGNORECASE)
+_PROVIDER = rf"(?:{'|'.join(PROVIDERS)})\.{_LABEL}"
+#: A clear "at" sign and any dots; or a bare "at" with written-out dots, before a provider of mail, or after a figure.
+_CLOAKED = re.compile(rf"(?:{_SIGN_AT}(?={_LABEL}(?:{_SIGN_DOT}|\.){_LABEL})|\s(?:{_AT})\s(?={_LABEL}(?:{_WRITTEN_DOT}){_LABEL}|{_PROVIDER})"
+                      rf"|(?<=[0-9])\s(?:{_AT})\s(?={_LABEL}\.{_LABEL}))", re.IGNORECASE)
 _LOCAL_DOT = re.compile(rf"({_LABEL})({_SIGN_DOT})$", re.IGNORECASE)
 _NEXT_LABEL = re.compile(rf"{_LABEL}", re.IGNORECASE)
 _NEXT_DOT = re.compile(rf"{_SIGN_DOT}(?={_LABEL})", re.IGNORECASE)
@@ -76,9 +84,9 @@ _NEXT_DOT = re.compile(rf"{_SIGN_DOT}(?={_LABEL})", re.IGNORECASE)
 
 #: What a text must hold for a transducer to change it; linear-time patterns over a whole column.
 _HAS_STRANGE = _STRANGE.pattern.replace("\U0001d400", r"\x{1d400}").replace("\U0001d7ff", r"\x{1d7ff}")
-_HAS_SPELLED = "(?i)" + _ONE + r"(?:(?:[\s,]{1,2}|-)" + _ONE + ")"
+_HAS_SPELLED = "(?i)" + _ONE + _BETWEEN + _ONE
 _HAS_DOTTED = rf"(?i)[0-9]{_SIGN_DOT}[0-9]"
-_HAS_CLOAKED = (rf"(?i){_SIGN_AT}{_LABEL}(?:{_SIGN_DOT}|\.)|\s(?:{_AT})\s{_LABEL}{_SIGN_DOT}")
+_HAS_CLOAKED = (rf"(?i){_SIGN_AT}{_LABEL}(?:{_SIGN_DOT}|\.)|\s(?:{_AT})\s{_LABEL}(?:{_SIGN_DOT}|\.)")
 
 
 def luhn(digits: str) -> bool:
@@ -232,7 +240,10 @@ def may_hide(texts: pa.Array) -> list[bool]:
 
 
 def all_spans(text: str, plain: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """The plain spans and those found only after rewriting that overlap no plain span of their kind."""
+    """The plain spans and those found only after rewriting.
+
+    The latter overlap no plain span of their kind, or hold it whole and more,
+    as where a look-alike has cut off the head of an address."""
     traced = _written_out(_folded(Traced(text)))
     if not traced.changed.any() and len(traced.text) == len(text):
         return plain
@@ -240,7 +251,7 @@ def all_spans(text: str, plain: list[tuple[int, int, int]]) -> list[tuple[int, i
     for a, kind, b in plain_spans(traced.text):
         start, end = int(traced.starts[a]), int(traced.ends[b - 1])
         altered = traced.changed[a:b].any() or end - start != b - a
-        if altered and all(k != kind or y <= start or x >= end for x, k, y in out):
+        if altered and all(k != kind or y <= start or x >= end or (start <= x and y <= end and y - x < end - start) for x, k, y in out):
             out.append((start, kind, end))
     return sorted(out)
 
