@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 VOCABULARY = "word_bpe_49k.json"
 #: Words of more signs than this are merged by a heap.
 SHORT = 128
-#: Bytes of text that a task encodes together.
-TOGETHER = 6 << 20
+#: Bytes of text that a task encodes together, and ids that it decodes together; whole rows each.
+TOGETHER, IDS_TOGETHER = 3 << 20, 1 << 20
 #: Places of the table of merges, a power of two and several times their number.
 PLACES_BITS = 18
 #: Fixed value: what counts as a word of this kind of vocabulary, in ASCII text in lower case.
@@ -310,13 +310,21 @@ def decode(coded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     def run(batches):
         tokens = _tokens(vocabulary)
         for batch in batches:
-            lists = batch.column("ids")
-            flat = lists.flatten()
-            known = pc.fill_null(pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(tokens))), False)
-            strings = tokens.take(pc.if_else(known, flat, pa.scalar(None, flat.type)))
-            held = np.concatenate(([0], np.cumsum(strings.is_valid().to_numpy(zero_copy_only=False))))
-            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
-            bounds = held[np.concatenate(([0], np.cumsum(sizes)))]
-            text = pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), strings.drop_null()), " ")
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, text], names=["doc_id", "ids", "text"])
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(batch.column("ids")), 0).to_numpy())
+            a = 0
+            while a < len(batch):
+                b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + IDS_TOGETHER, "right")))
+                yield joined(tokens, batch.slice(a, b - a))
+                a = b
+
+    def joined(tokens, batch):
+        lists = batch.column("ids")
+        flat = lists.flatten()
+        known = pc.fill_null(pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(tokens))), False)
+        strings = tokens.take(pc.if_else(known, flat, pa.scalar(None, flat.type)))
+        held = np.concatenate(([0], np.cumsum(strings.is_valid().to_numpy(zero_copy_only=False))))
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+        bounds = held[np.concatenate(([0], np.cumsum(sizes)))]
+        text = pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), strings.drop_null()), " ")
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, text], names=["doc_id", "ids", "text"])
     return coded.select("doc_id", F.col("ids").cast("array<int>").alias("ids")).mapInArrow(run, "doc_id long, ids array<int>, text string")
