@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardlens.llm import decontam, kneser_ney, line_dedup, minhash, packing
-from wardlens.llm.storage import ready, small_enough, stored
+from wardlens.llm.storage import discard, ready, small_enough, stored
 
 
 #: Similarity, in percent, from which texts are near-duplicates.
@@ -110,5 +110,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     ready(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        before, docs = docs, stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(before)  # nothing reads it any more; the input itself is not ours and stays
     return docs

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardlens.llm.components import components
-from wardlens.llm.storage import small_enough, stored
+from wardlens.llm.storage import discard, small_enough, stored
 from wardlens.llm.text_hash import U64, mix, slices, string_buffers
 
 SHINGLE = 5
@@ -190,7 +190,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         "classes")
     rows = classes.select("rep", "n_shingles", F.explode("bands").alias("bucket"))
     full = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    rows = stored(rows.join(full, "bucket"), "buckets")
+    rows = buckets = stored(rows.join(full, "bucket"), "buckets")
 
     weight = rows.groupBy("rep").agg(F.sum("members").alias("weight"))
     pivot = rows.join(weight, "rep").groupBy("bucket").agg(
@@ -238,6 +238,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     more = stored(_confirmed(across, of_rep).where(_linked(percent)).select("a", "b"), "links")
     if not more.isEmpty():
         found = components(links.union(more))
+    for done in (buckets, first, ids, sets, held, rest, able, more):  # the components are stored; what led to them is read no more
+        discard(done)
 
     member = signed.select("doc_id", "n_shingles", "set_a", "set_b").join(
         classes.select("set_a", "set_b", "n_shingles", "rep"), ["set_a", "set_b", "n_shingles"], "left")

@@ -200,6 +200,7 @@ def variants(docs: DataFrame) -> DataFrame:
     best = both.groupBy("word", "n").agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("other_n")).alias("m"), "other")).alias("b"))
     much = -F.col("b.m") >= TIMES * F.col("n")
     best = stored(best.select("word", "n_near", F.when(much, F.col("b.other")).alias("form"), F.when(much, -F.col("b.m")).alias("form_n")), "best")
+    discard(pairs)
     roots = _roots(best.where("form is not null"))
     return words.join(best, "word", "left").join(roots, "word", "left").select(
         "word", "form", F.coalesce("root", "word").alias("root"), "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), "form_n")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardlens.llm.storage import stored
+from wardlens.llm.storage import discard, stored
 
 COMPONENTS = 16
 #: Vectors go on a grid of this many steps a unit, moved by this offset.
@@ -258,12 +258,13 @@ def _triangles(vectors: DataFrame, n: int, sums: list[int]) -> np.ndarray:
         parts = sorted(zip(group.column("at").to_pylist(), group.column("r").to_pylist(), strict=True))
         return pa.Table.from_batches([row(at, reduced(np.array(r).reshape(-1, d) for _, r in parts))])
 
-    found = stored(vectors.select("x").mapInArrow(first, kinds), "triangles")
+    found = made = stored(vectors.select("x").mapInArrow(first, kinds), "triangles")
     last = found.agg(F.max("at")).first()[0]
     while last:
         found = found.groupBy(F.expr(f"at div {TOGETHER}").alias("of")).applyInArrow(joined, kinds)
         last //= TOGETHER
     r = np.array(found.first()["r"]).reshape(-1, d)
+    discard(made)
     return np.vstack((r, np.zeros((max(0, d - len(r)), d))))
 
 
@@ -324,6 +325,7 @@ def whitened(vectors: DataFrame, most: int = COMPONENTS) -> DataFrame:
         return vectors.sparkSession.createDataFrame([], kinds)
     model, distinct = fitted
     error, k = identity_error(model, distinct), len(model.variances)
+    discard(distinct)
 
     def run(batches):
         explained = pa.array(model.variances / model.total if model.total > 0 else [None] * k, pa.float64())
