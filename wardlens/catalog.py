@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardlens.operators import profile as P
+from wardlens.operators.sampling import sample_per_group, stratified_split
 from wardlens.plans import eda, explain as N, forecast as FC, hypothesis as H, kpi as X, load as L, marts, modelling as M, similarity as R, warehouse as W
 from wardlens.streaming import los_alert as J
 from wardlens.session import cut_lineage, ensure_checkpoint_dir, ship_package, tune_session
@@ -190,6 +191,10 @@ def load_queries() -> dict[str, Query]:
         "b8_male_flag": lambda s, sf: load_master(s, sf).select("sno", L.male_flag().alias("male")),
         "c5_fk_orphans": orphans, "c6_insert_ignore": lambda s, sf: s.table(f"{loaded(s, sf)}.dim_patient"),
         "d28_type_report": lambda s, sf: L.type_report(_enriched(s, sf)),
+        "f6_sample_sizes": lambda s, sf: sample_per_group(load_master(s, sf), "type_of_admissionemergencyopd", "sno", 500).groupBy(
+            F.col("type_of_admissionemergencyopd").alias("department")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("sno").alias("n_distinct")),
+        "f7_split_sizes": lambda s, sf: stratified_split(load_master(s, sf).select("sno", "outcome"), "outcome", ["sno"], 0.2).groupBy("outcome").agg(
+            F.count(F.lit(1)).alias("n"), F.count_if("is_test").alias("n_test")),
         "g2_copies_but_for_id": lambda s, sf: L.without_copies(with_copies(s, sf), "admission_id"),
         "i1_sql_high_risk_view": sql("SELECT * FROM vw_high_risk_admissions"),
         "i3_refreshed_monthly_summary": refreshed(lambda: [L.month_key()], L.monthly_summary),
