@@ -129,6 +129,12 @@ def _state(spark: SparkSession, paths: list[str]) -> tuple:
     return tuple(out)
 
 
+def _complete(spark: SparkSession, path: str) -> bool:
+    """Whether a written table is still there as a whole."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
+
+
 def stored_once(spark: SparkSession, name: str, inputs: list[str], build) -> DataFrame:
     """The table that ``build()`` derives from the files ``inputs``, written to the shared folder the first time it is asked for.
 
@@ -137,7 +143,7 @@ def stored_once(spark: SparkSession, name: str, inputs: list[str], build) -> Dat
     derived anew.  The write is complete before the table is known.
     """
     key = (spark.sparkContext.applicationId, name, _state(spark, inputs))
-    if key not in _STORED:
+    if key not in _STORED or not _complete(spark, _STORED[key][0]):
         df = build()
         path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
         df.write.parquet(path)
