@@ -54,3 +54,28 @@ def test_signed_credits_add_up_on_boosted_trees(spark):
         value[r.id, r.feature] = r.value
     for r in model.transform(data).collect():
         assert total[r.id] == pytest.approx(r.prediction - base, abs=1e-9) and value[r.id, "b"] == r.b
+
+
+def test_walk_down_the_trees_equals_scores_of_every_prefix(spark):
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.feature import VectorIndexer
+    from pyspark.sql import functions as F
+
+    from wardlens.plans import explain
+    rows = [(i // 2 if i < 20 else None if i == 20 else i, float(i % 7), float((i * 5) % 11), float((i * 3) % 3), float((i % 7) * ((i * 5) % 11) + 9 * (i % 3 == 1) > 20))
+            for i in range(150)]  # ids that come twice and a null one
+    df = spark.createDataFrame(rows, "id long, a double, b double, c double, y double")
+    names = ["a", "b", "c"]
+    data = VectorAssembler(inputCols=names, outputCol="raw").transform(df)
+    data = VectorIndexer(inputCol="raw", outputCol="features", maxCategories=3).fit(data).transform(data)
+    model = GBTClassifier(featuresCol="features", labelCol="y", maxIter=5, seed=1).fit(data)
+    sums = [F.sum(f"p{i}").alias(f"p{i}") for i in range(3)]
+    walk, switch = ({r["__id"]: r for r in each(model, df, names, "id", 4, 42, "probability").groupBy("__id").agg(*sums).collect()}
+                    for each in (explain._walked, explain._switched))
+    assert walk.keys() == switch.keys() and None in walk and len(walk) == 140
+    for i, r in walk.items():
+        assert [r.p0, r.p1, r.p2] == pytest.approx([switch[i].p0, switch[i].p1, switch[i].p2], abs=1e-9)
+    out = shapley_values(model, df, names, "id", permutations=4)
+    assert out.count() == 3 * 140
+    # No row comes out of the scores but one for each explained row.
+    assert "Generate explode" not in explain._walked(model, df, names, "id", 4, 42, "probability")._jdf.queryExecution().optimizedPlan().toString()

@@ -3,23 +3,32 @@
 For every explained row, ``permutations`` feature orders are drawn from a
 hash of (row, permutation, feature) — deterministic under any partitioning.
 Along each order the features switch one at a time from the baseline (the
-feature means) to the row's values; the model scores all F+1 prefixes in a
-single ``transform`` over the exploded rows, and each feature's attribution
-is the score change when it switches, averaged over the orders.  Per order
-the changes telescope, so sum(phi) = f(x) - f(baseline) exactly.
-
-Work is rows x permutations x (F+1) model evaluations, spread over the
-cluster.  Each score counts for the feature that switched last and against the
-next one; these signed credits are summed before the shuffle, so there is
-neither a window nor a second join.
+feature means) to the row's values, and each feature's attribution is the
+score change when it switches, averaged over the orders.  Per order the
+changes telescope, so sum(phi) = f(x) - f(baseline) exactly.
+
+Of boosted trees a leaf is reached while certain features have switched and
+certain others have not, so it counts from one step of an order to another.
+Those steps give the scores of all prefixes of all orders in one walk down
+each tree, batch by batch.  Any other model scores the F+1 prefixes in a
+``transform`` over exploded rows: each score counts for the feature that
+switched last and against the next one.  Either way there is one row for each
+explained one to shuffle, and neither a window nor a join.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.classification import GBTClassificationModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.regression import GBTRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Rows that walk down the trees at once.
+WALK_ROWS = 4096
+
 
 def shapley_values(model, df: DataFrame, features: list[str], id_col: str, permutations: int = 8,
                    seed: int = 42, output: str = "probability") -> DataFrame:
@@ -28,27 +37,124 @@ def shapley_values(model, df: DataFrame, features: list[str], id_col: str, permu
     ``model``: a fitted MLlib model whose input is a ``features`` vector
     column in the order of ``features``.  ``output``: 'probability' (class-1
     probability) or 'prediction'."""
+    boosted = isinstance(model, GBTRegressionModel) and output == "prediction" or isinstance(model, GBTClassificationModel) and output == "probability"
+    each = _walked if boosted else _switched
+    parts = each(model, df, features, id_col, permutations, seed, output)
+    # Rows of one id count together.  They are dealt out by id before, so the sums of a task stay few whatever the size of the input's files.
+    sums = [F.sum(F.col(f"p{i}")).alias(f"p{i}") for i in range(len(features))]
+    values = [F.any_value(F.col(f"v{i}")).alias(f"v{i}") for i in range(len(features))]
+    phi = parts.groupBy("__id").agg(*sums, *values)
+    rows = F.array(*[F.struct(F.lit(f).alias("feature"), (F.col(f"p{i}") / permutations).alias("phi"), F.col(f"v{i}").alias("value"))
+                     for i, f in enumerate(features)])
+    return phi.select(F.col("__id").alias(id_col), F.explode(rows).alias("s")).select(id_col, "s.*")
+
+
+def _baseline(df: DataFrame, features: list[str]):
+    return df.agg(F.struct(*[F.avg(F.col(f).cast("double")).alias(f) for f in features]).alias("b"))
+
+
+def _switched(model, df: DataFrame, features: list[str], id_col: str, permutations: int, seed: int, output: str) -> DataFrame:
+    """``(__id, p0.., v0..)``: the credits of any model's scores, one row for each order and step."""
     nf = len(features)
-    base = df.agg(F.struct(*[F.avg(F.col(f).cast("double")).alias(f) for f in features])).scalar()
-    rows = df.select(F.col(id_col).alias("__id"), *[F.col(f).cast("double").alias(f) for f in features])
-    e = rows.withColumn("__perm", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
+    base = _baseline(df, features).scalar()
+    e = df.select(F.col(id_col).alias("__id"), *[F.col(f).cast("double").alias(f) for f in features]).hint("rebalance", "__id")
+    e = e.withColumn("__perm", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
     keyed = F.array(*[F.struct(F.xxhash64(F.col("__id"), F.col("__perm"), F.lit(i), F.lit(seed)).alias("h"),
                                F.lit(i).alias("f")) for i in range(nf)])
     e = e.withColumn("__order", F.transform(F.array_sort(keyed), lambda s: s["f"]))
     e = e.withColumn("__j", F.explode(F.sequence(F.lit(0), F.lit(nf))))
     vals = [F.when(F.array_position(F.col("__order"), i) <= F.col("__j"), F.col(f)).otherwise(base.getField(f))
             for i, f in enumerate(features)]
-    e = e.withColumn("features", array_to_vector(F.array(*vals)))
-    scored = model.transform(e)
+    scored = model.transform(e.withColumn("features", array_to_vector(F.array(*vals))))
     score = vector_to_array("probability")[1] if output == "probability" else F.col("prediction")
     # A score is what the feature that switched last has reached, and what the next one starts from: it counts for the one and against the other.
-    order, j, values = F.col("__order"), F.col("__j"), F.array(*[F.col(f) for f in features])
-    credit = F.filter(F.array(F.struct(F.when(j > 0, F.get(order, j - 1)).alias("f"), score.alias("c")),
-                              F.struct(F.when(j < nf, F.get(order, j)).alias("f"), (-score).alias("c"))), lambda x: x["f"].isNotNull())
-    s = scored.select("__id", values.alias("__v"), F.explode(credit).alias("s"))
-    phi = s.groupBy("__id", F.col("s.f").alias("__f")).agg((F.sum("s.c") / permutations).alias("phi"), F.any_value(F.get("__v", F.col("s.f"))).alias("value"))
-    names = F.array(*[F.lit(f) for f in features])
-    return phi.select(F.col("__id").alias(id_col), F.element_at(names, F.col("__f") + 1).alias("feature"), "phi", "value")
+    order, j = F.col("__order"), F.col("__j")
+    s = scored.select("__id", *features, score.alias("__s"), F.when(j > 0, F.get(order, j - 1)).alias("__last"), F.when(j < nf, F.get(order, j)).alias("__next"))
+    credits = [F.when(F.col("__last") == i, F.col("__s")).when(F.col("__next") == i, -F.col("__s")).otherwise(0.0).alias(f"p{i}") for i in range(nf)]
+    return s.select("__id", *credits, *[F.col(f).alias(f"v{i}") for i, f in enumerate(features)])
+
+
+def _tree(node):
+    """A fitted tree in plain values: a leaf's score, or (feature, threshold or the categories that go left, left, right)."""
+    if node.subtreeDepth() == 0:
+        return float(node.prediction())
+    split = node.split()
+    if "Categorical" in split.getClass().getSimpleName():
+        # As MLlib does, the shorter list decides, and a value of no category goes to the other side.
+        left, right = list(split.leftCategories()), list(split.rightCategories())
+        rule = ("in", np.array(left)) if len(left) <= (len(left) + len(right)) // 2 else ("not in", np.array(right))
+    else:
+        rule = ("<=", float(split.threshold()))
+    return split.featureIndex(), rule, _tree(node.leftChild()), _tree(node.rightChild())
+
+
+def _goes_left(rule, x: np.ndarray) -> np.ndarray:
+    kind, at = rule
+    return x <= at if kind == "<=" else np.isin(x, at, invert=kind == "not in")
+
+
+def _steps(tree, weight: float, x: np.ndarray, base: np.ndarray, place: np.ndarray, change: np.ndarray) -> None:
+    """Add to ``change[row, order, step]`` what the tree's score changes by when a step of an order is taken.
+
+    ``place[row, order, feature]`` is the step, from 1, at which a feature
+    switches.  A leaf counts from the step at which the last feature that it
+    needs has switched until the first one that it must not have switched.
+    """
+    n, orders, nf = place.shape
+    flat, width = change.reshape(-1), nf + 2
+    todo = [(tree, np.arange(n), np.zeros((n, orders), np.int8), np.full((n, orders), nf + 1, np.int8))]
+    while todo:
+        node, rows, first, end = todo.pop()
+        if not isinstance(node, tuple):
+            at, order = np.nonzero(first < end)
+            # A row comes to a leaf once, so no place is added to twice.
+            line = (rows[at] * orders + order) * width
+            flat[line + first[at, order]] += weight * node
+            flat[line + end[at, order]] -= weight * node
+            continue
+        feature, rule, left, right = node
+        own = _goes_left(rule, x[rows, feature])
+        base_left = bool(_goes_left(rule, base[feature:feature + 1])[0])
+        step = place[rows, :, feature]
+        near, far = (left, right) if base_left else (right, left)
+        parts = own != base_left  # those whose own value leaves the baseline's side: that side is theirs until the feature switches
+        todo.append((near, rows, first, np.where(parts[:, None], np.minimum(end, step), end)))
+        if parts.any():
+            todo.append((far, rows[parts], np.maximum(first[parts], step[parts]), end[parts]))
+
+
+def _walked(model, df: DataFrame, features: list[str], id_col: str, permutations: int, seed: int, output: str) -> DataFrame:
+    """``(__id, p0.., v0..)`` of boosted trees: each task walks its rows down the trees, all orders at once."""
+    nf = len(features)
+    trees = [(_tree(t._call_java("rootNode")), float(w)) for t, w in zip(model.trees, model.treeWeights, strict=True)]
+    means = _baseline(df, features).first()["b"]
+    base = np.array([np.nan if v is None else v for v in means], float)
+    hashes = F.array(*[F.xxhash64(F.col("__id"), F.lit(p), F.lit(i), F.lit(seed)) for p in range(permutations) for i in range(nf)])
+    rows = df.select(F.col(id_col).alias("__id"), *[F.col(f).cast("double").alias(f"v{i}") for i, f in enumerate(features)])
+    names = [*(f"p{i}" for i in range(nf)), *(f"v{i}" for i in range(nf))]
+
+    def run(batches):
+        for whole in batches:
+            for at in range(0, len(whole), WALK_ROWS):
+                batch = whole.slice(at, WALK_ROWS)
+                x = np.stack([batch.column(f"v{i}").to_numpy(zero_copy_only=False) for i in range(nf)], 1).astype(float)
+                keys = batch.column("__keys").flatten().to_numpy().reshape(len(batch), permutations, nf)
+                order = np.argsort(keys, axis=2, kind="stable")
+                place = np.empty(order.shape, np.int8)
+                np.put_along_axis(place, order, np.arange(1, nf + 1, dtype=np.int8)[None, None], 2)
+                change = np.zeros((len(batch), permutations, nf + 2))
+                for tree, weight in trees:
+                    _steps(tree, weight, x, base, place, change)
+                score = np.cumsum(change[:, :, :nf + 1], axis=2)
+                if output == "probability":
+                    score = 1 - 1 / (1 + np.exp(2 * score))
+                # The change at a step is its feature's.
+                phi = np.zeros((len(batch), permutations, nf))
+                np.put_along_axis(phi, order, np.diff(score, axis=2), 2)
+                yield pa.RecordBatch.from_arrays([batch.column("__id"), *(pa.array(c) for c in phi.sum(1).T), *(batch.column(f"v{i}") for i in range(nf))],
+                                                 names=["__id", *names])
+    kind = rows.schema["__id"].dataType.simpleString()
+    return rows.withColumn("__keys", hashes).mapInArrow(run, f"__id {kind}, " + ", ".join(f"{c} double" for c in names)).hint("rebalance", "__id")
 
 
 def shap_summary(phi: DataFrame) -> DataFrame:
