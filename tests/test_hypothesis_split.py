@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wardlens.operators.sampling import sample_per_group, stratified_split
+from wardlens.plans.marts import q03_los_segments, q12_bottom_decile_los
 from wardlens.plans.hypothesis import chi2_independence, kruskal, ttest_ind
 
 
@@ -59,6 +60,20 @@ def test_stratified_split_is_exact_and_repeatable(spark):
     assert sorted(r.id for r in s1.where("is_test").collect()) == sorted(r.id for r in s2.where("is_test").collect())
 
 
+def test_no_class_goes_to_one_task(spark):
+    df = spark.range(0, 1000).withColumn("label", (F.col("id") % 7 == 0).cast("int"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        split = stratified_split(df, "label", ["id"], 0.2, 42)
+        # A merge join would sort a whole class in one task.
+        assert "SortMergeJoin" not in split._jdf.queryExecution().executedPlan().toString()
+        fact = df.select(F.col("id").alias("admission_id"), F.col("label").cast("string").alias("department"), (F.col("id") % 30).cast("int").alias("length_of_stay"))
+        for q in (q03_los_segments, q12_bottom_decile_los):
+            assert "SortMergeJoin" not in q(fact)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_sample_per_group_sizes(spark):
     df = spark.range(0, 3000).withColumn("g", F.when(F.col("id") < 2500, "big").otherwise("small"))
     got = {r.g: r["count"] for r in sample_per_group(df, "g", ["id"], 500, 7).groupBy("g").count().collect()}

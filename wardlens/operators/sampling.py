@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from wardlens.operators.joins import join_small
 
 _TWO64 = 18446744073709551616.0
+#: A shuffle by a label would send each class, most of the table maybe, to one task.
+CLASSES_BOUND = "one row per class of the label"
 
 
 def _unit_hash(cols, seed: int):
@@ -54,7 +56,7 @@ def stratified_split(df: DataFrame, label: str, id_cols, test_fraction: float =
     d = df.withColumn("__u", _unit_hash(id_cols, seed))
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
     ranks = value_ranks(d.groupBy(label, "__u").agg(F.count(F.lit(1)).alias("cnt")), "__u", keys=[label])
-    cut = join_small(ranks, sizes, label).where(F.col("rank") <= F.ceil(F.lit(test_fraction) * F.col("__n")))
+    cut = join_small(ranks, sizes, label, bound=CLASSES_BOUND).where(F.col("rank") <= F.ceil(F.lit(test_fraction) * F.col("__n")))
     thr = cut.groupBy(label).agg(F.max("__u").alias("__thr"))
-    out = join_small(d, thr, label, "left")
+    out = join_small(d, thr, label, "left", bound=CLASSES_BOUND)
     return out.withColumn(col, F.coalesce(F.col("__u") <= F.col("__thr"), F.lit(False))).drop("__u", "__thr")

@@ -28,6 +28,7 @@ from wardlens.operators.order_stats import percentiles_of_counts
 from wardlens.session import cut_lineage
 
 COLUMNS_BOUND = "one row per profiled column"
+GROUPS_BOUND = "one row per curve or box of a chart"
 
 
 def nulls_top(df: DataFrame, k: int = 10) -> DataFrame:
@@ -95,12 +96,12 @@ def kde(df: DataFrame, value: str, by: str | None = None, gridsize: int = 200, c
     vals = base
     if prebin:
         w = (F.col("mx") - F.col("mn")) / prebin
-        vals = join_small(base, st.select("grp", "mn", "mx"), "grp").withColumn(
+        vals = join_small(base, st.select("grp", "mn", "mx"), "grp", bound=GROUPS_BOUND).withColumn(
             "v", F.when(F.col("mx") > F.col("mn"),
                         F.col("mn") + (F.least(F.floor((F.col("v") - F.col("mn")) / w), F.lit(prebin - 1)) + 0.5) * w)
             .otherwise(F.col("v"))).select("grp", "v")
     vc = vals.groupBy("grp", "v").agg(F.count(F.lit(1)).alias("cnt"))
-    j = join_small(vc, st.select("grp", "n", "bw", "lo", "hi"), "grp")
+    j = join_small(vc, st.select("grp", "n", "bw", "lo", "hi"), "grp", bound=GROUPS_BOUND)
     j = j.where(F.col("bw") > 0)
     step = (F.col("hi") - F.col("lo")) / (gridsize - 1)
     e = j.select("grp", "n", "bw", "lo", "hi", "v", "cnt",
@@ -120,7 +121,7 @@ def box_stats(df: DataFrame, value: str, by: str, whis: float = 1.5) -> DataFram
     counts = cut_lineage(d.groupBy(by, F.col("v").alias("value")).agg(F.count(F.lit(1)).alias("cnt")))
     q = counts.groupBy(by).agg(F.sum("cnt").alias("n")).join(
         percentiles_of_counts(counts, [by], {"q1": 0.25, "median": 0.5, "q3": 0.75}), by).withColumn("iqr", F.col("q3") - F.col("q1"))
-    j = join_small(counts.withColumnRenamed("value", "v"), q, by)
+    j = join_small(counts.withColumnRenamed("value", "v"), q, by, bound=GROUPS_BOUND)
     lo_lim = F.col("q1") - whis * F.col("iqr")
     hi_lim = F.col("q3") + whis * F.col("iqr")
     w = j.groupBy(by, "n", "q1", "median", "q3", "iqr").agg(

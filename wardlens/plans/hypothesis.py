@@ -178,7 +178,7 @@ def levene(df: DataFrame, value: str, group: str, groups=None) -> DataFrame:
     if groups is not None:
         d = d.where(F.col(group).isin(list(groups)))
     med = percentiles(d, group, value, {"med": 0.5})
-    j = join_small(d, med, group)
+    j = join_small(d, med, group, bound="one row per compared group")
     return _anova_from(j, group, F.abs(F.col(value).cast("double") - F.col("med")))
 
 

@@ -51,6 +51,7 @@ def DEATHS_SUM():
 
 
 WEEKS_BOUND = "one row per ISO week number (<= 53)"
+DEPARTMENTS_BOUND = "one row per department"
 
 
 def _avg2(x=None):
@@ -82,7 +83,7 @@ def q02_readmissions(fact: DataFrame, window_days: int = 30) -> DataFrame:
 def q03_los_segments(fact: DataFrame) -> DataFrame:
     los = fact.where(LOS().isNotNull()).select("department", "length_of_stay")
     p = group_percentiles(los, "department", "length_of_stay", {"p25": 0.25, "p50": 0.5, "p75": 0.75})
-    j = join_small(los, p.where(F.col("department").isNotNull()), "department")
+    j = join_small(los, p.where(F.col("department").isNotNull()), "department", bound=DEPARTMENTS_BOUND)
     return j.select("department", "length_of_stay",
                     F.when(LOS() <= F.col("p25"), "Short Stay").when(LOS() <= F.col("p50"), "Moderate Stay")
                     .when(LOS() <= F.col("p75"), "Extended Stay").otherwise("Long Stay").alias("los_category"))
@@ -158,7 +159,7 @@ def q11_weekly_z_outliers(fact: DataFrame, z: float = 2.0) -> DataFrame:
 
 def q12_bottom_decile_los(fact: DataFrame, p: float = 0.1) -> DataFrame:
     pc = group_percentiles(fact, "department", "length_of_stay", {"p10": p})
-    j = join_small(fact, pc.where(F.col("department").isNotNull()), "department")
+    j = join_small(fact, pc.where(F.col("department").isNotNull()), "department", bound=DEPARTMENTS_BOUND)
     return (j.where(LOS() <= F.col("p10")).drop("p10")
              .orderBy(F.col("department").asc_nulls_last(), LOS().asc_nulls_last(), "admission_id"))
 
