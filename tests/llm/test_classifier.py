@@ -106,3 +106,27 @@ def test_without_toxic_labels_no_word_is_bad(spark):
     labels = spark.range(60).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), F.lit(None).cast("int").alias("toxic"))
     rows = kneser_ney.perplexities(frame, labels).collect()
     assert all(r.worst is None for r in rows) and np.mean([r.kept for r in rows]) > 0.9
+
+
+def test_all_trusted_and_toxic_text_counts(spark, monkeypatch):
+    """More documents and words than the sample's bounds: each trains or sets bounds, with its whole text, and any dealing gives the same scores."""
+    storage.ready(spark)
+    rng = random.Random(10)
+    words = [f"w{int(rng.paretovariate(0.7))}" for _ in range(200)]
+    rows = [(i, ("en", None)[i % 2], t) for i, t in enumerate(_texts(rng, 300, words))] + [(300, "en", " ".join(words * 40))]
+    frame = spark.createDataFrame(rows, DOCS)
+    labels = spark.createDataFrame([(i, 1, int(i % 10 == 0)) for i in range(301)], "doc_id long, quality int, toxic int")
+    for name, bound in (("SAMPLE_DOCS", 20), ("TRAIN_WORDS", 100), ("ALL_WORDS", 100), ("TOXIC_WORDS", 50), ("ALL_TOXIC_WORDS", 50)):
+        monkeypatch.setattr(kneser_ney, name, bound)
+    got = kneser_ney.labelled(frame, labels).collect()
+    assert {r.doc_id: r.text for r in got} == {i: t for i, _, t in rows} and len(got) == len(rows)
+    held = Counter((r.lang, r.held_out) for r in got if r.doc_id % 10)
+    assert held == {("en", True): 60, ("en", False): 60, (None, True): 75, (None, False): 75}
+    assert not any(r.held_out for r in got if r.doc_id % 10 == 0)
+    once = {r.doc_id: (r.perplexity, r.threshold, r.worst, r.kept) for r in kneser_ney.perplexities(frame, labels).collect()}
+    monkeypatch.setattr(kneser_ney, "BLOCK_BYTES", 3000)
+    monkeypatch.setattr(kneser_ney, "SHARD_GRAMS", 500)
+    again = {r.doc_id: (r.perplexity, r.threshold, r.worst, r.kept) for r in kneser_ney.perplexities(frame, labels).collect()}
+    assert once.keys() == again.keys()
+    for i, (p, t, w, k) in once.items():
+        assert again[i] == (pytest.approx(p, rel=1e-6), pytest.approx(t, rel=1e-6), w if w is None else pytest.approx(w, abs=1e-5), k)

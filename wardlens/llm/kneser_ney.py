@@ -1,11 +1,13 @@
 """Quality classifier: an interpolated modified Kneser-Ney model of trusted text.
 
-Each language has its own model, trained on a bounded sample of the documents
+Each language has its own model, trained on every other one of the documents
 that the labels call good, and its own threshold, a quantile of the
-perplexity of other such documents.  The counts, the continuation counts, the
+perplexity of the rest of them.  The counts, the continuation counts, the
 discounts and the weights are joins and sums on n-gram hashes.  What comes
-out, one number for each n-gram and each context, is bounded by the sample and
-goes to every task as a table sharded by hash prefix.
+out, one number for each n-gram and each context, grows with the corpus and
+stays distributed: the text is dealt to blocks, each block asks the shards of
+the hash space for its distinct n-grams, and a shard answers with the numbers
+of those that the model has.
 
 A sparse fault hardly moves the perplexity of a whole text, so each document
 also has the highest and the lowest mean surprise of a window of words, which
@@ -20,17 +22,22 @@ documents bound all of these.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardlens.llm.storage import small_enough, stored
+from wardlens.llm.storage import discard, small_enough, stored
 from wardlens.llm.text_hash import U64, gram_hashes, mix, slices
+from wardlens.operators.order_stats import percentiles_of_counts
+from wardlens.operators.ranks import value_ranks
 
 ORDER = 3
-#: Of the trusted documents of a language so many are sampled, the first by a hash of doc_id.  Every other one sets the threshold;
+#: Text of a block, and n-grams that a shard holds, about.
+BLOCK_BYTES, SHARD_GRAMS = 16 << 20, 3_000_000
+#: The bounds of ``sample``: so many trusted documents of a language, the first by a hash of doc_id.  Every other one sets the threshold;
 SAMPLE_DOCS = 3000
 #: the others train the model, as many of them as hold so many words,
 TRAIN_WORDS = 250_000
@@ -79,21 +86,41 @@ def _is_toxic():
     return F.coalesce(F.endswith("lang", F.lit(_TOXIC)), F.lit(False))
 
 
-def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``(doc_id, lang, text, held_out)``: the bounded samples of trusted and of toxic documents, the latter under ``_toxic_name``.
+def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``(doc_id, lang, h)`` of all trusted and toxic documents, the latter under ``_toxic_name``; h a hash of doc_id.
 
     Trusted are those whose labels are all of quality 1 and not toxic, toxic
-    those with any label that says so.  The first ranks are taken within
-    shards of a language, so no task sees more than a shard of it.  Texts that
-    train are cut after a fiftieth of the bound on words; held-out ones, every
-    other one of the trusted, are whole.
+    those with any label that says so.
     """
     bad = F.coalesce("toxic", F.lit(0)) != 0
     fits = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
         F.min(F.coalesce((F.col("quality") == 1) & ~bad, F.lit(False))).alias("good"), F.max(bad).alias("bad")) \
         .where("(good or bad) and doc_id is not null").select("doc_id", "bad")
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang")).join(fits, "doc_id") \
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang")).join(fits, "doc_id") \
         .dropDuplicates(["doc_id"]).select("doc_id", F.when(F.col("bad"), _toxic_name()).otherwise(F.col("lang")).alias("lang"), F.xxhash64("doc_id").alias("h"))
+
+
+def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``(doc_id, lang, text, held_out)``: all trusted and all toxic documents with their whole texts, every other one of the trusted held out."""
+    ids = _labelled(docs, labels)
+    # The ranks come from ranges of the hash, so no task ranks a language; a null one has a name meanwhile.
+    ranks = value_ranks(ids.select(F.coalesce("lang", F.lit("\x00")).alias("of"), "h", F.lit(1).alias("cnt")), "h", keys=["of"])
+    held_out = ~F.endswith("of", F.lit(_TOXIC)) & (F.col("rank") % 2 == 0)
+    chosen = stored(ids.join(ranks.select("h", held_out.alias("held_out")), "h").select("doc_id", "lang", "held_out"), "labelled")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return texts.join(F.broadcast(chosen) if small_enough(chosen, 32) else chosen, "doc_id").dropDuplicates(["doc_id"]) \
+        .select("doc_id", "lang", "text", "held_out")
+
+
+def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """As ``labelled``, but bounded samples, for a trial on a part of a corpus; the classifier itself takes all.
+
+    The first ranks are taken within
+    shards of a language, so no task sees more than a shard of it.  Texts that
+    train are cut after a fiftieth of the bound on words; held-out ones, every
+    other one of the trusted, are whole.
+    """
+    ids = _labelled(docs, labels)
     shard = Window.partitionBy("lang", F.pmod("h", F.lit(64))).orderBy("h", "doc_id")
     first = ids.withColumn("r", F.row_number().over(shard)).where(F.col("r") <= SAMPLE_DOCS)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
@@ -138,7 +165,7 @@ def _trained_grams(train: DataFrame) -> DataFrame:
         .groupBy("lang", "g", "context", "suffix", "middle", "last").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _weights(grams: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _weights(grams: DataFrame, lowest: bool) -> tuple[DataFrame, DataFrame]:
     """``grams(lang, g, context, n)`` of one order -> ``(g, value)`` discounted shares, ``(context, value)`` weights of the order below."""
     is_n = [F.sum((F.col("n") == k).cast("long")).alias(f"n{k}") for k in (1, 2, 3, 4)]
     y = F.col("n1") / F.greatest(F.col("n1") + 2 * F.col("n2"), F.lit(1))
@@ -146,9 +173,11 @@ def _weights(grams: DataFrame) -> tuple[DataFrame, DataFrame]:
     cuts = grams.groupBy("lang").agg(*is_n).select(
         "lang", *(F.greatest(F.lit(0.1), F.least(F.lit(k - 0.05), s)).alias(f"d{k}") for k, s in zip((1, 2, 3), step, strict=True)))
     cut = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-    rows = grams.alias("g").join(cuts.alias("c"), F.col("g.lang").eqNullSafe(F.col("c.lang"))).select("g.*", cut.alias("cut"))
+    # A row for each language.
+    rows = grams.alias("g").join(F.broadcast(cuts).alias("c"), F.col("g.lang").eqNullSafe(F.col("c.lang"))).select("g.*", cut.alias("cut"))
     contexts = rows.groupBy("context").agg(F.sum("n").alias("total"), F.sum("cut").alias("freed"))
-    shares = rows.join(contexts, "context").select("g", ((F.col("n") - F.col("cut")) / F.col("total")).alias("value"))
+    # The lowest order has one context for each language.
+    shares = rows.join(F.broadcast(contexts) if lowest else contexts, "context").select("g", ((F.col("n") - F.col("cut")) / F.col("total")).alias("value"))
     return shares, contexts.select("context", (F.col("freed") / F.col("total")).alias("value"))
 
 
@@ -165,14 +194,17 @@ def train(chosen: DataFrame) -> DataFrame:
     langs = one.groupBy("lang").agg(F.first("context").alias("context"), F.count(F.lit(1)).cast("double").alias("value"))
     parts = []
     for order, grams in ((3, three), (2, two), (1, one)):
-        shares, weights = _weights((grams if order == 1 else grams.where(~_is_toxic())).select("lang", "g", "context", "n"))
+        shares, weights = _weights((grams if order == 1 else grams.where(~_is_toxic())).select("lang", "g", "context", "n"), order == 1)
         parts.append(shares.select(F.lit(order).alias("kind"), F.col("g").alias("h"), "value"))
         parts.append(weights.select(F.lit(9 + order).alias("kind"), F.col("context").alias("h"), "value"))
     parts.append(langs.select(F.lit(20).alias("kind"), F.col("context").alias("h"), "value"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return stored(out, "model")
+    model = stored(out, "model")
+    for grams in (three, two, one):
+        discard(grams)
+    return model
 
 
 class Table:
@@ -201,23 +233,50 @@ class Table:
         return out
 
 
-def _sent(model: DataFrame):
-    """The model as a broadcast of (hashes, values) by kind; it passes the driver one kind at a time, 12 bytes a row."""
-    kinds, out = sorted(r["kind"] for r in model.select("kind").distinct().collect()), {}
-    for kind in kinds:
+@dataclass
+class Sent:
+    """A stored model: its rows, how many there are, and the tables of the kinds that have one row for each language."""
+
+    rows: DataFrame
+    count: int
+    small: dict[int, tuple[np.ndarray, np.ndarray]]
+
+
+def _sent(model: DataFrame) -> Sent:
+    """The model as ``_scored`` wants it; only the rows of whole languages, two for each, pass the driver."""
+    small = {}
+    for kind in (10, 20):
         rows = model.where(F.col("kind") == kind).select("h", F.col("value").cast("float").alias("value")).toArrow()
-        out[kind] = rows.column("h").to_numpy().view(U64), rows.column("value").to_numpy()
-    return model.sparkSession.sparkContext.broadcast(out)
+        small[kind] = rows.column("h").to_numpy().view(U64), rows.column("value").to_numpy()
+    return Sent(model, model.count(), small)
 
 
 class Model:
-    """The tables of all languages, and of their toxic text, in a task."""
+    """The tables of the n-grams of a block of text, in all its languages and their toxic text."""
 
     def __init__(self, tables: dict[int, tuple[np.ndarray, np.ndarray]], contexts: dict[str | None, int]):
         none = Table(np.zeros(0, U64), np.zeros(0, np.float32))
         self.tables = {k: none for k in (1, 2, 3, 10, 11, 12, 20)} | {k: Table(*v) for k, v in tables.items()}
         self.contexts = contexts
 
+    @staticmethod
+    def padded(words: np.ndarray, salts: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The salted words of documents of ``n`` words, two words of padding before each so that every word has a whole context, and where they are."""
+        padded = np.repeat(_BEFORE ^ salts, n + 2)
+        places = np.arange(len(words)) + 2 * (np.repeat(np.arange(len(n)), n) + 1)
+        padded[places] = mix(words ^ np.repeat(salts, n))
+        return padded, places
+
+    @classmethod
+    def asked(cls, words: np.ndarray, langs: list[str | None], n: np.ndarray, lowest: bool = False) -> np.ndarray:
+        """The distinct hashes that ``surprise`` looks up."""
+        padded, places = cls.padded(words, np.array([_salt(x) for x in langs], U64), n)
+        one = gram_hashes(padded, 1)
+        if lowest:
+            return np.unique(one[places])
+        two, three = gram_hashes(padded, 2), gram_hashes(padded, 3)
+        return np.concatenate([np.unique(x) for x in (one, two, three[places - 2])])
+
     def surprise(self, words: np.ndarray, langs: list[str | None], n: np.ndarray, lowest: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The negative log probability of each word of documents of ``n`` words, the same by the lowest order only, and which documents have a model.
 
@@ -227,10 +286,7 @@ class Model:
         key = np.array([self.contexts[x] for x in langs], np.int64).view(U64)
         size = t[20].get(key, 0.0)
         below = t[10].get(key, 1.0) / (size + 1)
-        # Two words of padding before each text, so that every word has a whole context.
-        padded = np.repeat(_BEFORE ^ salts, n + 2)
-        places = np.arange(len(words)) + 2 * (np.repeat(np.arange(len(n)), n) + 1)
-        padded[places] = mix(words ^ np.repeat(salts, n))
+        padded, places = self.padded(words, salts, n)
         one = gram_hashes(padded, 1)
         p = single = np.repeat(below, n) + t[1].get(one[places], 0.0)
         if not lowest:
@@ -258,7 +314,52 @@ def _worst(more: np.ndarray) -> float:
     return float((np.partition(more, -WORST)[-WORST:] if len(more) > WORST else more).mean())
 
 
-def _scored(docs: DataFrame, sent) -> DataFrame:
+def _toxic_names(langs: list[str | None]) -> list[str]:
+    return [("\x00" if x is None else x) + _TOXIC for x in langs]
+
+
+def _arrays(values: list[np.ndarray], kind) -> pa.Array:
+    offsets = np.concatenate(([0], np.cumsum([len(v) for v in values]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values) if values else np.zeros(0), kind))
+
+
+def _answers(dealt: DataFrame, sent: Sent, n_bytes: int) -> DataFrame:
+    """``(kn_block, kind, grams, numbers)``: what the model has of the n-grams of each block."""
+    shards = max(1, -(-(n_bytes // 2 + sent.count) // SHARD_GRAMS))
+
+    def ask(table: pa.Table) -> pa.Table:
+        langs, block, found = table.column("lang").to_pylist(), table.column("kn_block")[0].as_py(), [np.zeros(0, U64)]
+        for part in slices(table.column("text"), lower=False):
+            n, own = np.diff(part.bounds), langs[part.first:part.first + len(part)]
+            found += [Model.asked(part.words, own, n), Model.asked(part.words, _toxic_names(own), n, lowest=True)]
+        keys = np.unique(np.concatenate(found)).view(np.int64)
+        shard = keys % shards
+        order = np.argsort(shard, kind="stable")
+        which, first = np.unique(shard[order], return_index=True)
+        parts = np.split(keys[order], first[1:]) if len(keys) else []
+        return pa.table([pa.array(which, pa.int64()), pa.array([block] * len(which), pa.int64()), _arrays(parts, pa.int64())], names=["shard", "kn_block", "grams"])
+
+    def answer(asked: pa.Table, model: pa.Table) -> pa.Table:
+        kinds, hashes, values = (model.column(c).to_numpy() for c in ("kind", "h", "value"))
+        out: list[tuple[int, int, np.ndarray, np.ndarray]] = []
+        lists = [(b, g.values.to_numpy()) for b, g in zip(asked.column("kn_block").to_pylist(), asked.column("grams"), strict=True)]
+        for kind in np.unique(kinds).tolist() if lists else []:
+            own = np.flatnonzero(kinds == kind)
+            own = own[np.argsort(hashes[own])]
+            keys, numbers = hashes[own], values[own]
+            for block, grams in lists:
+                at = np.minimum(np.searchsorted(keys, grams), len(keys) - 1)
+                hit = keys[at] == grams
+                if hit.any():
+                    out.append((block, kind, grams[hit], numbers[at[hit]]))
+        return pa.table([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int32()),
+                         _arrays([r[2] for r in out], pa.int64()), _arrays([r[3] for r in out], pa.float32())], names=["kn_block", "kind", "grams", "numbers"])
+    rows = sent.rows.where(~F.col("kind").isin(10, 20)).select("kind", "h", F.col("value").cast("float").alias("value"), F.pmod("h", F.lit(shards).cast("long")).alias("shard"))
+    asked = dealt.groupBy("kn_block").applyInArrow(ask, "shard long, kn_block long, grams array<long>")
+    return asked.groupBy("shard").cogroup(rows.groupBy("shard")).applyInArrow(answer, "kn_block long, kind int, grams array<long>, numbers array<float>")
+
+
+def _scored(docs: DataFrame, sent: Sent) -> DataFrame:
     """``docs`` with ``n_words``, ``nats``, the negative log probability of all words under the model of its language, and what a part tells.
 
     ``high`` and ``low`` are the extreme mean surprises of a window by the
@@ -271,28 +372,52 @@ def _scored(docs: DataFrame, sent) -> DataFrame:
         "lang", F.xxhash64(F.coalesce("lang", F.lit("\x00"))).alias("c")).collect()}
     keep = [c for c in docs.columns if c != "text"]
     names = ["n_words", "nats", "high", "low", "worst"]
-
-    def run(batches):
-        model = Model(sent.value, contexts)
-        for batch in batches:
-            langs = batch.column("lang").to_pylist()
-            out = {name: np.full(len(batch), np.nan) for name in names}
-            for part in slices(batch.column("text"), lower=False):
-                n = np.diff(part.bounds)
-                own = [langs[part.first + i] for i in range(len(part))]
-                nats, single, _ = model.surprise(part.words, own, n)
-                toxic, _, able = model.surprise(part.words, [("\x00" if x is None else x) + _TOXIC for x in own], n, lowest=True)
-                sums, singles = (np.concatenate(([0.0], np.cumsum(x))) for x in (nats, single))
-                rows = slice(part.first, part.first + len(part))
-                out["n_words"][rows], out["nats"][rows] = n, sums[part.bounds[1:]] - sums[part.bounds[:-1]]
-                out["high"][rows], out["low"][rows] = _extremes(singles, part.bounds)
-                more = single - toxic
-                for i in np.flatnonzero(able & (n > 0)).tolist():
-                    out["worst"][part.first + i] = _worst(more[part.bounds[i]:part.bounds[i + 1]])
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(out["n_words"].astype(np.int64)),
-                                              *(pa.array(out[c], from_pandas=True) for c in names[1:])], names=[*keep, *names])
+    small = sent.small
+    n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, -(-n_bytes // BLOCK_BYTES))
+    dealt = docs.withColumn("kn_block", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(blocks).cast("long")))
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        for kind, grams, numbers in zip(right.column("kind").to_pylist(), right.column("grams"), right.column("numbers"), strict=True):
+            found.setdefault(kind, []).append((grams.values.to_numpy().view(U64), numbers.values.to_numpy()))
+        model = Model(small | {k: tuple(np.concatenate(x) for x in zip(*v, strict=True)) for k, v in found.items()}, contexts)
+        langs = left.column("lang").to_pylist()
+        out = {name: np.full(len(left), np.nan) for name in names}
+        for part in slices(left.column("text"), lower=False):
+            n = np.diff(part.bounds)
+            own = langs[part.first:part.first + len(part)]
+            nats, single, _ = model.surprise(part.words, own, n)
+            toxic, _, able = model.surprise(part.words, _toxic_names(own), n, lowest=True)
+            sums, singles = (np.concatenate(([0.0], np.cumsum(x))) for x in (nats, single))
+            rows = slice(part.first, part.first + len(part))
+            out["n_words"][rows], out["nats"][rows] = n, sums[part.bounds[1:]] - sums[part.bounds[:-1]]
+            out["high"][rows], out["low"][rows] = _extremes(singles, part.bounds)
+            more = single - toxic
+            for i in np.flatnonzero(able & (n > 0)).tolist():
+                out["worst"][part.first + i] = _worst(more[part.bounds[i]:part.bounds[i + 1]])
+        return pa.table([*(left.column(c) for c in keep), pa.array(out["n_words"].astype(np.int64)),
+                         *(pa.array(out[c], from_pandas=True) for c in names[1:])], names=[*keep, *names])
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
-    return docs.mapInArrow(run, f"{kinds}, n_words long, nats double, high double, low double, worst double")
+    return dealt.groupBy("kn_block").cogroup(_answers(dealt, sent, n_bytes).groupBy("kn_block")).applyInArrow(
+        score, f"{kinds}, n_words long, nats double, high double, low double, worst double")
+
+
+def _levels(held: DataFrame, quantile: float, slack: float) -> DataFrame:
+    """``(of, mean, threshold, most, least, toxic)``: a row of bounds for each language, the quantiles exact and by selection; a null language has a name."""
+    held = held.withColumn("of", F.coalesce("lang", F.lit("\x00")))
+    means = held.groupBy("of").agg((F.sum("nats") / F.greatest(F.sum("n_words"), F.lit(1))).alias("mean"))
+    rows = held.join(F.broadcast(means), "of").withColumn("perplexity", _perplexity())
+    parts = {"perplexity": quantile, "high": WINDOW_QUANTILE, "low": 1 - WINDOW_QUANTILE, "worst": TOXIC_QUANTILE}
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("value")) for c in parts]))
+    counts = rows.select("of", cells.alias("x")).select("of", "x.*").where("value is not null").groupBy("of", "column_name", "value").agg(F.count(F.lit(1)).alias("cnt"))
+    found = percentiles_of_counts(counts, ["of", "column_name"], parts, bound="some rows for each language")
+    at = found.groupBy("of").agg(*[F.max(F.when(F.col("column_name") == c, F.col(c))).alias(f"q_{c}") for c in parts])
+    around = rows.groupBy("of").agg(F.first("mean").alias("mean"), _away("high", DEVIATIONS).alias("a_high"), _away("low", -DEVIATIONS).alias("a_low"),
+                                    _away("worst", DEVIATIONS).alias("a_worst"))
+    return around.join(F.broadcast(at), "of", "left").select(
+        "of", "mean", (F.col("q_perplexity") * slack).alias("threshold"), F.greatest(F.col("q_high") + WINDOW_SLACK, "a_high").alias("most"),
+        F.least(F.col("q_low") - WINDOW_SLACK, "a_low").alias("least"), F.greatest(F.col("q_worst") + TOXIC_SLACK, "a_worst").alias("toxic"))
 
 
 def _away(column: str, deviations: float):
@@ -318,19 +443,15 @@ def perplexities(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE,
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"),
                        F.col("text").cast("string").alias("text"), *carry)
-    chosen = stored(sample(rows, labels), "chosen")
-    model = _sent(train(chosen))
+    chosen = stored(labelled(rows, labels), "chosen")
+    trained = train(chosen)
+    model = _sent(trained)
     held = stored(_scored(chosen.select("doc_id", "lang", "text", "held_out").where("held_out"), model), "held_out")
-    means = held.groupBy("lang").agg((F.sum("nats") / F.greatest(F.sum("n_words"), F.lit(1))).alias("mean"))
-    levels = held.alias("h").join(means.alias("m"), F.col("h.lang").eqNullSafe(F.col("m.lang"))).groupBy("h.lang").agg(
-        F.first("mean").alias("mean"), (F.percentile(_perplexity(), quantile) * slack).alias("threshold"),
-        F.greatest(F.percentile("high", WINDOW_QUANTILE) + WINDOW_SLACK, _away("high", DEVIATIONS)).alias("most"),
-        F.least(F.percentile("low", 1 - WINDOW_QUANTILE) - WINDOW_SLACK, _away("low", -DEVIATIONS)).alias("least"),
-        F.greatest(F.percentile("worst", TOXIC_QUANTILE) + TOXIC_SLACK, _away("worst", DEVIATIONS)).alias("toxic"))
-    levels = stored(levels, "levels").withColumnRenamed("lang", "of")
-    scored = stored(_scored(rows, model), "scored")
-    model.destroy()  # nothing reads it any more; the driver holds it no longer than this query
-    out = scored.join(F.broadcast(levels) if small_enough(levels, 64) else levels, F.col("lang").eqNullSafe(F.col("of")), "left") \
+    discard(chosen)
+    levels = stored(_levels(held, quantile, slack), "levels")
+    scored = stored(_scored(rows, model), "scored").withColumn("named", F.coalesce("lang", F.lit("\x00")))
+    discard(trained)
+    out = scored.join(F.broadcast(levels) if small_enough(levels, 64) else levels, F.col("named") == F.col("of"), "left") \
         .withColumn("perplexity", F.when(F.col("mean").isNotNull(), _perplexity()))
     within = [F.col(a) <= F.col(b) for a, b in (("perplexity", "threshold"), ("high", "most"), ("least", "low"), ("worst", "toxic"))]
     kept = within[0].isNull() | within[0]
