@@ -55,3 +55,19 @@ def test_few_rows_and_none(spark):
     assert NB.neighbours(NB.build(few.limit(0), 5), few, 5).count() == 0
     with pytest.raises(ValueError):
         NB.neighbours(NB.build(few, 2), few, 5)
+
+
+def test_cells_grow_with_the_rows_and_few_are_looked_into(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(6000, 3))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    frame = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "id bigint, v array<double>")
+    assert len(NB.build(frame.limit(1500), 5).centroids) < len(NB.build(frame, 5).centroids)
+    index, asked = NB.build(frame, 5), []
+    kept = NB._asked
+    monkeypatch.setattr(NB, "_asked", lambda *a: asked.append(kept(*a)) or asked[-1])
+    queries = frame.where("id % 20 = 0")
+    got, want = lists(NB.neighbours(index, queries, 5)), brute([(i, v) for i, v in enumerate(x.tolist())], 5, 20)
+    assert {i: [j for j, _ in v] for i, v in got.items()} == {i: [j for j, _ in v] for i, v in want.items()}
+    # After the first cells less than one more for each query is looked into: the spheres around the centroids alone leave more.
+    assert asked[1].count() < len(want)
