@@ -165,8 +165,8 @@ def _trained_grams(train: DataFrame) -> DataFrame:
         .groupBy("lang", "g", "context", "suffix", "middle", "last").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _weights(grams: DataFrame, lowest: bool) -> tuple[DataFrame, DataFrame]:
-    """``grams(lang, g, context, n)`` of one order -> ``(g, value)`` discounted shares, ``(context, value)`` weights of the order below."""
+def _weights(grams: DataFrame, order: int) -> DataFrame:
+    """``grams(lang, g, context, n)`` of an order -> ``(kind, h, value)``: discounted shares by ``g``, and weights of the order below by ``context``."""
     is_n = [F.sum((F.col("n") == k).cast("long")).alias(f"n{k}") for k in (1, 2, 3, 4)]
     y = F.col("n1") / F.greatest(F.col("n1") + 2 * F.col("n2"), F.lit(1))
     step = [F.when(F.col(f"n{k}") > 0, k - (k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}")).otherwise(F.lit(0.5 * k)) for k in (1, 2, 3)]
@@ -174,11 +174,18 @@ def _weights(grams: DataFrame, lowest: bool) -> tuple[DataFrame, DataFrame]:
         "lang", *(F.greatest(F.lit(0.1), F.least(F.lit(k - 0.05), s)).alias(f"d{k}") for k, s in zip((1, 2, 3), step, strict=True)))
     cut = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
     # A row for each language.
-    rows = grams.alias("g").join(F.broadcast(cuts).alias("c"), F.col("g.lang").eqNullSafe(F.col("c.lang"))).select("g.*", cut.alias("cut"))
-    contexts = rows.groupBy("context").agg(F.sum("n").alias("total"), F.sum("cut").alias("freed"))
-    # The lowest order has one context for each language.
-    shares = rows.join(F.broadcast(contexts) if lowest else contexts, "context").select("g", ((F.col("n") - F.col("cut")) / F.col("total")).alias("value"))
-    return shares, contexts.select("context", (F.col("freed") / F.col("total")).alias("value"))
+    rows = grams.alias("g").join(F.broadcast(cuts).alias("c"), F.col("g.lang").eqNullSafe(F.col("c.lang"))).select("g.g", "g.context", "g.n", cut.alias("cut"))
+    if order == 1:
+        # One context for each language.
+        totals = F.broadcast(rows.groupBy("context").agg(F.sum("n").alias("total"), F.sum("cut").alias("freed"), F.min("g").alias("first")))
+        rows = rows.join(totals, "context")
+    else:
+        own = Window.partitionBy("context")
+        rows = rows.withColumns({"total": F.sum("n").over(own), "freed": F.sum("cut").over(own), "first": F.min("g").over(own)})
+    share = F.struct(F.lit(order).alias("kind"), F.col("g").alias("h"), ((F.col("n") - F.col("cut")) / F.col("total")).alias("value"))
+    weight = F.struct(F.lit(9 + order).alias("kind"), F.col("context").alias("h"), (F.col("freed") / F.col("total")).alias("value"))
+    # The first n-gram of a context brings the weight along.
+    return rows.select(F.explode(F.when(F.col("g") == F.col("first"), F.array(share, weight)).otherwise(F.array(share))).alias("s")).select("s.*")
 
 
 def train(chosen: DataFrame) -> DataFrame:
@@ -194,9 +201,7 @@ def train(chosen: DataFrame) -> DataFrame:
     langs = one.groupBy("lang").agg(F.first("context").alias("context"), F.count(F.lit(1)).cast("double").alias("value"))
     parts = []
     for order, grams in ((3, three), (2, two), (1, one)):
-        shares, weights = _weights((grams if order == 1 else grams.where(~_is_toxic())).select("lang", "g", "context", "n"), order == 1)
-        parts.append(shares.select(F.lit(order).alias("kind"), F.col("g").alias("h"), "value"))
-        parts.append(weights.select(F.lit(9 + order).alias("kind"), F.col("context").alias("h"), "value"))
+        parts.append(_weights((grams if order == 1 else grams.where(~_is_toxic())).select("lang", "g", "context", "n"), order))
     parts.append(langs.select(F.lit(20).alias("kind"), F.col("context").alias("h"), "value"))
     out = parts[0]
     for p in parts[1:]:
@@ -446,11 +451,11 @@ def perplexities(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE,
     chosen = stored(labelled(rows, labels), "chosen")
     trained = train(chosen)
     model = _sent(trained)
-    held = stored(_scored(chosen.select("doc_id", "lang", "text", "held_out").where("held_out"), model), "held_out")
-    discard(chosen)
-    levels = stored(_levels(held, quantile, slack), "levels")
     scored = stored(_scored(rows, model), "scored").withColumn("named", F.coalesce("lang", F.lit("\x00")))
-    discard(trained)
+    held = stored(scored.join(chosen.where("held_out").select("doc_id"), "doc_id").dropDuplicates(["doc_id"]).select("lang", "n_words", "nats", "high", "low", "worst"), "held_out")
+    levels = stored(_levels(held, quantile, slack), "levels")
+    for table in (trained, chosen, held):
+        discard(table)
     out = scored.join(F.broadcast(levels) if small_enough(levels, 64) else levels, F.col("named") == F.col("of"), "left") \
         .withColumn("perplexity", F.when(F.col("mean").isNotNull(), _perplexity()))
     within = [F.col(a) <= F.col(b) for a, b in (("perplexity", "threshold"), ("high", "most"), ("least", "low"), ("worst", "toxic"))]
