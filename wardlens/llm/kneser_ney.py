@@ -37,6 +37,9 @@ from wardlens.operators.ranks import value_ranks
 ORDER = 3
 #: Text of a block, and n-grams that a shard holds, about.
 BLOCK_BYTES, SHARD_GRAMS = 16 << 20, 3_000_000
+#: The n-grams are counted in so many passes, each of a part of the hash space, and the text is scored in so many, each of a part of the
+#: blocks; what a pass has shuffled is gone before the next one.  Text of a pass, at least; and blocks of one, where they can be smaller.
+PASSES, SCORE_PASSES, PASS_BYTES, PASS_BLOCKS = 4, 6, 1 << 20, 12
 #: The bounds of ``sample``: so many trusted documents of a language, the first by a hash of doc_id.  Every other one sets the threshold;
 SAMPLE_DOCS = 3000
 #: the others train the model, as many of them as hold so many words,
@@ -139,34 +142,41 @@ def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
         .select("doc_id", "lang", cut.alias("text"), held_out.alias("held_out"))
 
 
-def _trained_grams(train: DataFrame) -> DataFrame:
-    """``(lang, g, context, suffix, n)``: the n-grams of the highest order, the start of a text being padded."""
-    names = ["lang", "g", "context", "suffix", "middle", "last", "before"]
+def _trained_grams(train: DataFrame, by: str, part: int = 0, parts: int = 1) -> DataFrame:
+    """The n-grams of the highest order with how often they occur, ``n``, the start of a text being padded.
+
+    With ``by`` "context" ``(lang, g, context, n)``, with "suffix" ``(lang, g, suffix, middle, last, n)``; of ``parts`` parts of
+    the hash space of that column, those in the given one."""
+    columns = {"context": ["g", "context"], "suffix": ["g", "suffix", "middle", "last"]}[by]
 
     def run(batches):
         for batch in batches:
             langs = batch.column("lang").to_pylist()
-            for part in slices(batch.column("text"), lower=False):
-                cols: list[list[np.ndarray]] = [[] for _ in names[1:]]
+            for slice_ in slices(batch.column("text"), lower=False):
+                cols: list[list[np.ndarray]] = [[] for _ in columns]
                 of = []
-                for i in range(len(part)):
-                    lang = langs[part.first + i]
-                    words = _salted(part.words[part.bounds[i]:part.bounds[i + 1]], lang)
+                for i in range(len(slice_)):
+                    lang = langs[slice_.first + i]
+                    words = _salted(slice_.words[slice_.bounds[i]:slice_.bounds[i + 1]], lang)
                     if not len(words):
                         continue
                     words = np.concatenate((np.full(ORDER - 1, _BEFORE ^ _salt(lang), U64), words))
                     two, one = gram_hashes(words, 2), gram_hashes(words, 1)
-                    for c, v in zip(cols, (gram_hashes(words, 3), two[:-1], two[1:], one[1:-1], one[2:], words[:-2]), strict=True):
-                        c.append(v.view(np.int64))
-                    of += [lang] * (len(words) - 2)
+                    found = {"g": gram_hashes(words, 3), "context": two[:-1], "suffix": two[1:], "middle": one[1:-1], "last": one[2:]}
+                    own = np.flatnonzero((found[by] >> U64(40)) % U64(parts) == part)
+                    for c, name in zip(cols, columns, strict=True):
+                        c.append(found[name][own].view(np.int64))
+                    of += [lang] * len(own)
                 if of:
-                    yield pa.RecordBatch.from_arrays([pa.array(of, pa.string()), *(pa.array(np.concatenate(c), pa.int64()) for c in cols)], names=names)
-    return train.select("lang", "text").mapInArrow(run, "lang string, " + ", ".join(f"{n} long" for n in names[1:])) \
-        .groupBy("lang", "g", "context", "suffix", "middle", "last").agg(F.count(F.lit(1)).alias("n"))
+                    yield pa.RecordBatch.from_arrays([pa.array(of, pa.string()), *(pa.array(np.concatenate(c), pa.int64()) for c in cols)], names=["lang", *columns])
+    return train.select("lang", "text").mapInArrow(run, "lang string, " + ", ".join(f"{n} long" for n in columns)) \
+        .groupBy("lang", *columns).agg(F.count(F.lit(1)).alias("n"))
+
 
+def _weights(grams: DataFrame, order: int, part: int = 0, parts: int = 1) -> DataFrame:
+    """``grams(lang, g, context, n)`` of an order -> ``(kind, h, value)``: discounted shares by ``g``, and weights of the order below by ``context``.
 
-def _weights(grams: DataFrame, order: int) -> DataFrame:
-    """``grams(lang, g, context, n)`` of an order -> ``(kind, h, value)``: discounted shares by ``g``, and weights of the order below by ``context``."""
+    Of ``parts`` parts of the contexts, those in the given one."""
     is_n = [F.sum((F.col("n") == k).cast("long")).alias(f"n{k}") for k in (1, 2, 3, 4)]
     y = F.col("n1") / F.greatest(F.col("n1") + 2 * F.col("n2"), F.lit(1))
     step = [F.when(F.col(f"n{k}") > 0, k - (k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}")).otherwise(F.lit(0.5 * k)) for k in (1, 2, 3)]
@@ -175,6 +185,8 @@ def _weights(grams: DataFrame, order: int) -> DataFrame:
     cut = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
     # A row for each language.
     rows = grams.alias("g").join(F.broadcast(cuts).alias("c"), F.col("g.lang").eqNullSafe(F.col("c.lang"))).select("g.g", "g.context", "g.n", cut.alias("cut"))
+    if parts > 1:
+        rows = rows.where(F.pmod("context", F.lit(parts)) == part)
     if order == 1:
         # One context for each language.
         totals = F.broadcast(rows.groupBy("context").agg(F.sum("n").alias("total"), F.sum("cut").alias("freed"), F.min("g").alias("first")))
@@ -188,28 +200,68 @@ def _weights(grams: DataFrame, order: int) -> DataFrame:
     return rows.select(F.explode(F.when(F.col("g") == F.col("first"), F.array(share, weight)).otherwise(F.array(share))).alias("s")).select("s.*")
 
 
-def train(chosen: DataFrame) -> DataFrame:
-    """The model of all languages: ``(kind, h, value)`` with kind 1 to 3 the shares of an order, 11 and 12 the weights of
+def _packed(rows: DataFrame, shards: int) -> DataFrame:
+    """``(kind, h, value)`` -> ``(shard, kind, grams, numbers)``: the hashes of a kind in a shard, rising, and their numbers."""
+    def pack(table: pa.Table) -> pa.Table:
+        kinds, hashes, values = (table.column(c).to_numpy() for c in ("kind", "h", "value"))
+        found = np.unique(kinds).tolist()
+        own = [np.flatnonzero(kinds == kind) for kind in found]
+        own = [x[np.argsort(hashes[x])] for x in own]
+        return pa.table([pa.array([table.column("shard")[0].as_py()] * len(found), pa.int64()), pa.array(found, pa.int32()),
+                         _arrays([hashes[x] for x in own], pa.int64()), _arrays([values[x] for x in own], pa.float32())], names=["shard", "kind", "grams", "numbers"])
+    rows = rows.select("kind", "h", F.col("value").cast("float").alias("value"), F.pmod("h", F.lit(shards).cast("long")).alias("shard"))
+    return rows.groupBy("shard").applyInArrow(pack, "shard long, kind int, grams array<long>, numbers array<float>")
+
+
+@dataclass
+class Trained:
+    """A model: stored tables of ``_packed`` rows, and of how many shards."""
+
+    tables: list[DataFrame]
+    shards: int
+
+    def rows(self) -> DataFrame:
+        return _together(self.tables)
+
+
+def _together(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
+
+
+def train(chosen: DataFrame, n_bytes: int = 0) -> Trained:
+    """The model of all languages, of kinds 1 to 3 the shares of an order, 11 and 12 the weights of
     contexts of so many words, 10 the weight below single words and 20 the size of the vocabulary.  Of toxic text the lowest
-    order is all that is asked for."""
-    three = stored(_trained_grams(chosen.where("not held_out")), "trigrams")
-    two = stored(three.groupBy("lang", F.col("suffix").alias("g"), F.col("middle").alias("context"), F.col("last")).agg(
-        F.count(F.lit(1)).alias("n")), "bigrams")
-    one = two.groupBy("lang", F.col("last").alias("g")).agg(F.count(F.lit(1)).alias("n")) \
-        .withColumn("context", F.xxhash64(F.coalesce("lang", F.lit("\x00"))))
-    one = stored(one, "unigrams")
-    langs = one.groupBy("lang").agg(F.first("context").alias("context"), F.count(F.lit(1)).cast("double").alias("value"))
-    parts = []
-    for order, grams in ((3, three), (2, two), (1, one)):
-        parts.append(_weights((grams if order == 1 else grams.where(~_is_toxic())).select("lang", "g", "context", "n"), order))
-    parts.append(langs.select(F.lit(20).alias("kind"), F.col("context").alias("h"), "value"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    model = stored(out, "model")
-    for grams in (three, two, one):
+    order is all that is asked for.  ``n_bytes`` of text are going to be scored."""
+    texts = chosen.where("not held_out").select("lang", "text")
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards, parts = max(1, -(-(n_bytes + size) // 2 // SHARD_GRAMS)), max(1, min(PASSES, size // PASS_BYTES))
+    model: list[DataFrame] = []
+
+    def add(grams: list[DataFrame], order: int, parts: int = 1) -> None:
+        every = _together(grams)
+        every = every if order == 1 else every.where(~_is_toxic())
+        for i in range(parts):
+            model.append(stored(_packed(_weights(every.select("lang", "g", "context", "n"), order, i, parts), shards), "model"))
+
+    two = [stored(_trained_grams(texts, "suffix", i, parts).groupBy("lang", F.col("suffix").alias("g"), F.col("middle").alias("context"), "last").agg(
+        F.count(F.lit(1)).alias("n")), "bigrams") for i in range(parts)]
+    one = stored(_together(two).groupBy("lang", F.col("last").alias("g")).agg(F.count(F.lit(1)).alias("n"))
+                 .withColumn("context", F.xxhash64(F.coalesce("lang", F.lit("\x00")))), "unigrams")
+    sizes = one.groupBy("lang").agg(F.first("context").alias("h"), F.count(F.lit(1)).cast("double").alias("value")).select(F.lit(20).alias("kind"), "h", "value")
+    model.append(stored(_packed(sizes, shards), "model"))
+    add([one], 1)
+    add(two, 2, parts)
+    for grams in (one, *two):
+        discard(grams)
+    three = [stored(_trained_grams(texts.where(~_is_toxic()), "context", i, parts), "trigrams") for i in range(parts)]
+    discard(chosen)
+    add(three, 3, parts)
+    for grams in three:
         discard(grams)
-    return model
+    return Trained(model, shards)
 
 
 class Table:
@@ -240,20 +292,21 @@ class Table:
 
 @dataclass
 class Sent:
-    """A stored model: its rows, how many there are, and the tables of the kinds that have one row for each language."""
+    """A model: its rows, of how many shards, and the tables of the kinds that have one row for each language."""
 
     rows: DataFrame
-    count: int
+    shards: int
     small: dict[int, tuple[np.ndarray, np.ndarray]]
 
 
-def _sent(model: DataFrame) -> Sent:
+def _sent(model: Trained) -> Sent:
     """The model as ``_scored`` wants it; only the rows of whole languages, two for each, pass the driver."""
-    small = {}
+    small, rows = {}, model.rows()
+    found = rows.where(F.col("kind").isin(10, 20)).select("kind", F.explode(F.arrays_zip("grams", "numbers")).alias("x")).select("kind", "x.*").toArrow()
+    kinds, hashes, values = (found.column(c).to_numpy() for c in ("kind", "grams", "numbers"))
     for kind in (10, 20):
-        rows = model.where(F.col("kind") == kind).select("h", F.col("value").cast("float").alias("value")).toArrow()
-        small[kind] = rows.column("h").to_numpy().view(U64), rows.column("value").to_numpy()
-    return Sent(model, model.count(), small)
+        small[kind] = hashes[kinds == kind].view(U64), values[kinds == kind]
+    return Sent(rows.where(~F.col("kind").isin(10, 20)), model.shards, small)
 
 
 class Model:
@@ -328,9 +381,9 @@ def _arrays(values: list[np.ndarray], kind) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values) if values else np.zeros(0), kind))
 
 
-def _answers(dealt: DataFrame, sent: Sent, n_bytes: int) -> DataFrame:
+def _answers(dealt: DataFrame, sent: Sent) -> DataFrame:
     """``(kn_block, kind, grams, numbers)``: what the model has of the n-grams of each block."""
-    shards = max(1, -(-(n_bytes // 2 + sent.count) // SHARD_GRAMS))
+    shards = sent.shards
 
     def ask(table: pa.Table) -> pa.Table:
         langs, block, found = table.column("lang").to_pylist(), table.column("kn_block")[0].as_py(), [np.zeros(0, U64)]
@@ -345,13 +398,10 @@ def _answers(dealt: DataFrame, sent: Sent, n_bytes: int) -> DataFrame:
         return pa.table([pa.array(which, pa.int64()), pa.array([block] * len(which), pa.int64()), _arrays(parts, pa.int64())], names=["shard", "kn_block", "grams"])
 
     def answer(asked: pa.Table, model: pa.Table) -> pa.Table:
-        kinds, hashes, values = (model.column(c).to_numpy() for c in ("kind", "h", "value"))
         out: list[tuple[int, int, np.ndarray, np.ndarray]] = []
         lists = [(b, g.values.to_numpy()) for b, g in zip(asked.column("kn_block").to_pylist(), asked.column("grams"), strict=True)]
-        for kind in np.unique(kinds).tolist() if lists else []:
-            own = np.flatnonzero(kinds == kind)
-            own = own[np.argsort(hashes[own])]
-            keys, numbers = hashes[own], values[own]
+        for kind, keys, numbers in zip(model.column("kind").to_pylist(), model.column("grams"), model.column("numbers"), strict=True):
+            keys, numbers = keys.values.to_numpy(), numbers.values.to_numpy()
             for block, grams in lists:
                 at = np.minimum(np.searchsorted(keys, grams), len(keys) - 1)
                 hit = keys[at] == grams
@@ -359,13 +409,12 @@ def _answers(dealt: DataFrame, sent: Sent, n_bytes: int) -> DataFrame:
                     out.append((block, kind, grams[hit], numbers[at[hit]]))
         return pa.table([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int32()),
                          _arrays([r[2] for r in out], pa.int64()), _arrays([r[3] for r in out], pa.float32())], names=["kn_block", "kind", "grams", "numbers"])
-    rows = sent.rows.where(~F.col("kind").isin(10, 20)).select("kind", "h", F.col("value").cast("float").alias("value"), F.pmod("h", F.lit(shards).cast("long")).alias("shard"))
     asked = dealt.groupBy("kn_block").applyInArrow(ask, "shard long, kn_block long, grams array<long>")
-    return asked.groupBy("shard").cogroup(rows.groupBy("shard")).applyInArrow(answer, "kn_block long, kind int, grams array<long>, numbers array<float>")
+    return asked.groupBy("shard").cogroup(sent.rows.groupBy("shard")).applyInArrow(answer, "kn_block long, kind int, grams array<long>, numbers array<float>")
 
 
 def _scored(docs: DataFrame, sent: Sent) -> DataFrame:
-    """``docs`` with ``n_words``, ``nats``, the negative log probability of all words under the model of its language, and what a part tells.
+    """``docs``, stored, with ``n_words``, ``nats``, the negative log probability of all words under the model of its language, and what a part tells.
 
     ``high`` and ``low`` are the extreme mean surprises of a window by the
     lowest order, null in short texts; ``worst`` is by how much the worst words are likelier under the
@@ -379,7 +428,9 @@ def _scored(docs: DataFrame, sent: Sent) -> DataFrame:
     names = ["n_words", "nats", "high", "low", "worst"]
     small = sent.small
     n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-n_bytes // BLOCK_BYTES))
+    small_blocks = min(SCORE_PASSES * PASS_BLOCKS, n_bytes // PASS_BYTES)
+    blocks = max(1, -(-n_bytes // BLOCK_BYTES), small_blocks)
+    passes = min(SCORE_PASSES, max(1, small_blocks))
     dealt = docs.withColumn("kn_block", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(blocks).cast("long")))
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -404,8 +455,12 @@ def _scored(docs: DataFrame, sent: Sent) -> DataFrame:
         return pa.table([*(left.column(c) for c in keep), pa.array(out["n_words"].astype(np.int64)),
                          *(pa.array(out[c], from_pandas=True) for c in names[1:])], names=[*keep, *names])
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
-    return dealt.groupBy("kn_block").cogroup(_answers(dealt, sent, n_bytes).groupBy("kn_block")).applyInArrow(
-        score, f"{kinds}, n_words long, nats double, high double, low double, worst double")
+    done = []
+    for i in range(passes):
+        some = dealt.where(F.col("kn_block") % passes == i) if passes > 1 else dealt
+        done.append(stored(some.groupBy("kn_block").cogroup(_answers(some, sent).groupBy("kn_block")).applyInArrow(
+            score, f"{kinds}, n_words long, nats double, high double, low double, worst double"), "scored"))
+    return _together(done)
 
 
 def _levels(held: DataFrame, quantile: float, slack: float) -> DataFrame:
@@ -448,13 +503,15 @@ def perplexities(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE,
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"),
                        F.col("text").cast("string").alias("text"), *carry)
-    chosen = stored(labelled(rows, labels), "chosen")
-    trained = train(chosen)
-    model = _sent(trained)
-    scored = stored(_scored(rows, model), "scored").withColumn("named", F.coalesce("lang", F.lit("\x00")))
-    held = stored(scored.join(chosen.where("held_out").select("doc_id"), "doc_id").dropDuplicates(["doc_id"]).select("lang", "n_words", "nats", "high", "low", "worst"), "held_out")
+    chosen = stored(labelled(rows, labels).withColumn("text", F.when(~F.col("held_out"), F.col("text"))), "chosen")
+    held_ids = stored(chosen.where("held_out").select("doc_id"), "held_ids")
+    trained = train(chosen, rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    scored = _scored(rows, _sent(trained)).withColumn("named", F.coalesce("lang", F.lit("\x00")))
+    for table in trained.tables:
+        discard(table)
+    held = stored(scored.join(held_ids, "doc_id").dropDuplicates(["doc_id"]).select("lang", "n_words", "nats", "high", "low", "worst"), "held_out")
     levels = stored(_levels(held, quantile, slack), "levels")
-    for table in (trained, chosen, held):
+    for table in (held_ids, held):
         discard(table)
     out = scored.join(F.broadcast(levels) if small_enough(levels, 64) else levels, F.col("named") == F.col("of"), "left") \
         .withColumn("perplexity", F.when(F.col("mean").isNotNull(), _perplexity()))
