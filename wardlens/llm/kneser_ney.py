@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardlens.llm.storage import discard, small_enough, stored
+from wardlens.llm.storage import Buckets, discard, small_enough, stored
 from wardlens.llm.text_hash import U64, gram_hashes, mix, slices
 from wardlens.operators.order_stats import percentiles_of_counts
 from wardlens.operators.ranks import value_ranks
@@ -39,7 +39,7 @@ ORDER = 3
 BLOCK_BYTES, SHARD_GRAMS = 16 << 20, 3_000_000
 #: The n-grams are counted in so many passes, each of a part of the hash space, and the text is scored in so many, each of a part of the
 #: blocks; what a pass has shuffled is gone before the next one.  Text of a pass, at least; and blocks of one, where they can be smaller.
-PASSES, SCORE_PASSES, PASS_BYTES, PASS_BLOCKS = 4, 6, 1 << 20, 12
+PASSES, SCORE_PASSES, PASS_BYTES, PASS_BLOCKS = 6, 24, 1 << 20, 4
 #: The bounds of ``sample``: so many trusted documents of a language, the first by a hash of doc_id.  Every other one sets the threshold;
 SAMPLE_DOCS = 3000
 #: the others train the model, as many of them as hold so many words,
@@ -145,9 +145,9 @@ def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def _trained_grams(train: DataFrame, by: str, part: int = 0, parts: int = 1) -> DataFrame:
     """The n-grams of the highest order with how often they occur, ``n``, the start of a text being padded.
 
-    With ``by`` "context" ``(lang, g, context, n)``, with "suffix" ``(lang, g, suffix, middle, last, n)``; of ``parts`` parts of
+    With ``by`` "context" ``(lang, g, context, n)``, with "middle" ``(lang, g, suffix, middle, last, n)``; of ``parts`` parts of
     the hash space of that column, those in the given one."""
-    columns = {"context": ["g", "context"], "suffix": ["g", "suffix", "middle", "last"]}[by]
+    columns = {"context": ["g", "context"], "middle": ["g", "suffix", "middle", "last"]}[by]
 
     def run(batches):
         for batch in batches:
@@ -173,20 +173,20 @@ def _trained_grams(train: DataFrame, by: str, part: int = 0, parts: int = 1) ->
         .groupBy("lang", *columns).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _weights(grams: DataFrame, order: int, part: int = 0, parts: int = 1) -> DataFrame:
-    """``grams(lang, g, context, n)`` of an order -> ``(kind, h, value)``: discounted shares by ``g``, and weights of the order below by ``context``.
-
-    Of ``parts`` parts of the contexts, those in the given one."""
+def _cuts(grams: DataFrame) -> DataFrame:
+    """``(lang, d1, d2, d3)``: the discounts of the n-grams of an order, a row for each language."""
     is_n = [F.sum((F.col("n") == k).cast("long")).alias(f"n{k}") for k in (1, 2, 3, 4)]
     y = F.col("n1") / F.greatest(F.col("n1") + 2 * F.col("n2"), F.lit(1))
     step = [F.when(F.col(f"n{k}") > 0, k - (k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}")).otherwise(F.lit(0.5 * k)) for k in (1, 2, 3)]
-    cuts = grams.groupBy("lang").agg(*is_n).select(
+    return grams.groupBy("lang").agg(*is_n).select(
         "lang", *(F.greatest(F.lit(0.1), F.least(F.lit(k - 0.05), s)).alias(f"d{k}") for k, s in zip((1, 2, 3), step, strict=True)))
+
+
+def _weights(grams: DataFrame, cuts: DataFrame, order: int) -> DataFrame:
+    """``grams(lang, g, context, n)`` of an order, all of a context or none -> ``(kind, h, value)``: discounted shares by ``g``, and weights of the order below by ``context``."""
     cut = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
     # A row for each language.
     rows = grams.alias("g").join(F.broadcast(cuts).alias("c"), F.col("g.lang").eqNullSafe(F.col("c.lang"))).select("g.g", "g.context", "g.n", cut.alias("cut"))
-    if parts > 1:
-        rows = rows.where(F.pmod("context", F.lit(parts)) == part)
     if order == 1:
         # One context for each language.
         totals = F.broadcast(rows.groupBy("context").agg(F.sum("n").alias("total"), F.sum("cut").alias("freed"), F.min("g").alias("first")))
@@ -213,17 +213,6 @@ def _packed(rows: DataFrame, shards: int) -> DataFrame:
     return rows.groupBy("shard").applyInArrow(pack, "shard long, kind int, grams array<long>, numbers array<float>")
 
 
-@dataclass
-class Trained:
-    """A model: stored tables of ``_packed`` rows, and of how many shards."""
-
-    tables: list[DataFrame]
-    shards: int
-
-    def rows(self) -> DataFrame:
-        return _together(self.tables)
-
-
 def _together(tables: list[DataFrame]) -> DataFrame:
     out = tables[0]
     for t in tables[1:]:
@@ -231,37 +220,36 @@ def _together(tables: list[DataFrame]) -> DataFrame:
     return out
 
 
-def train(chosen: DataFrame, n_bytes: int = 0) -> Trained:
+def train(chosen: DataFrame, n_bytes: int = 0) -> Buckets:
     """The model of all languages, of kinds 1 to 3 the shares of an order, 11 and 12 the weights of
     contexts of so many words, 10 the weight below single words and 20 the size of the vocabulary.  Of toxic text the lowest
-    order is all that is asked for.  ``n_bytes`` of text are going to be scored."""
+    order is all that is asked for.  The rows are those of ``_packed``, a bucket a shard, so that no pass of scoring shuffles them.  ``n_bytes`` of text are going to be scored."""
     texts = chosen.where("not held_out").select("lang", "text")
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards, parts = max(1, -(-(n_bytes + size) // 2 // SHARD_GRAMS)), max(1, min(PASSES, size // PASS_BYTES))
-    model: list[DataFrame] = []
-
-    def add(grams: list[DataFrame], order: int, parts: int = 1) -> None:
-        every = _together(grams)
-        every = every if order == 1 else every.where(~_is_toxic())
-        for i in range(parts):
-            model.append(stored(_packed(_weights(every.select("lang", "g", "context", "n"), order, i, parts), shards), "model"))
-
-    two = [stored(_trained_grams(texts, "suffix", i, parts).groupBy("lang", F.col("suffix").alias("g"), F.col("middle").alias("context"), "last").agg(
+    model = Buckets(chosen.sparkSession, "model", "shard", shards)
+
+    def add(grams: list[DataFrame], order: int) -> None:
+        """The parts of an order's n-grams, each of its own contexts, go to the model and are removed one by one."""
+        cuts = stored(_cuts(_together(grams)), "cuts")
+        for part in grams:
+            rows = part if order == 1 else part.where(~_is_toxic())
+            model.add(_packed(_weights(rows.select("lang", "g", "context", "n"), cuts, order), shards))
+            discard(part)
+        discard(cuts)
+
+    two = [stored(_trained_grams(texts, "middle", i, parts).groupBy("lang", F.col("suffix").alias("g"), F.col("middle").alias("context"), "last").agg(
         F.count(F.lit(1)).alias("n")), "bigrams") for i in range(parts)]
     one = stored(_together(two).groupBy("lang", F.col("last").alias("g")).agg(F.count(F.lit(1)).alias("n"))
                  .withColumn("context", F.xxhash64(F.coalesce("lang", F.lit("\x00")))), "unigrams")
     sizes = one.groupBy("lang").agg(F.first("context").alias("h"), F.count(F.lit(1)).cast("double").alias("value")).select(F.lit(20).alias("kind"), "h", "value")
-    model.append(stored(_packed(sizes, shards), "model"))
+    model.add(_packed(sizes, shards))
     add([one], 1)
-    add(two, 2, parts)
-    for grams in (one, *two):
-        discard(grams)
+    add(two, 2)
     three = [stored(_trained_grams(texts.where(~_is_toxic()), "context", i, parts), "trigrams") for i in range(parts)]
     discard(chosen)
-    add(three, 3, parts)
-    for grams in three:
-        discard(grams)
-    return Trained(model, shards)
+    add(three, 3)
+    return model
 
 
 class Table:
@@ -299,14 +287,14 @@ class Sent:
     small: dict[int, tuple[np.ndarray, np.ndarray]]
 
 
-def _sent(model: Trained) -> Sent:
+def _sent(model: Buckets) -> Sent:
     """The model as ``_scored`` wants it; only the rows of whole languages, two for each, pass the driver."""
     small, rows = {}, model.rows()
     found = rows.where(F.col("kind").isin(10, 20)).select("kind", F.explode(F.arrays_zip("grams", "numbers")).alias("x")).select("kind", "x.*").toArrow()
     kinds, hashes, values = (found.column(c).to_numpy() for c in ("kind", "grams", "numbers"))
     for kind in (10, 20):
         small[kind] = hashes[kinds == kind].view(U64), values[kinds == kind]
-    return Sent(rows.where(~F.col("kind").isin(10, 20)), model.shards, small)
+    return Sent(rows.where(~F.col("kind").isin(10, 20)), model.n, small)
 
 
 class Model:
@@ -507,8 +495,7 @@ def perplexities(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE,
     held_ids = stored(chosen.where("held_out").select("doc_id"), "held_ids")
     trained = train(chosen, rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     scored = _scored(rows, _sent(trained)).withColumn("named", F.coalesce("lang", F.lit("\x00")))
-    for table in trained.tables:
-        discard(table)
+    trained.discard()
     held = stored(scored.join(held_ids, "doc_id").dropDuplicates(["doc_id"]).select("lang", "n_words", "nats", "high", "low", "worst"), "held_out")
     levels = stored(_levels(held, quantile, slack), "levels")
     for table in (held_ids, held):
