@@ -130,3 +130,37 @@ def test_all_trusted_and_toxic_text_counts(spark, monkeypatch):
     assert once.keys() == again.keys()
     for i, (p, t, w, k) in once.items():
         assert again[i] == (pytest.approx(p, rel=1e-6), pytest.approx(t, rel=1e-6), w if w is None else pytest.approx(w, abs=1e-5), k)
+
+
+def test_passes_do_not_change_scores(spark, monkeypatch):
+    """Counting and scoring in parts gives what one part gives, and nothing of the parts stays behind."""
+    storage.ready(spark)
+    rng = random.Random(11)
+    words = [f"w{int(rng.paretovariate(0.7))}" for _ in range(150)]
+    frame = spark.createDataFrame([(i, ("en", None)[i % 2], t) for i, t in enumerate(_texts(rng, 80, words))] + [(80, None, None), (81, "xx", "")], DOCS)
+    labels = spark.createDataFrame([(i, 1, int(i % 10 == 0)) for i in range(80)], "doc_id long, quality int, toxic int")
+    before = {t.name for t in spark.catalog.listTables()}
+    once = {r.doc_id: r for r in kneser_ney.perplexities(frame, labels).collect()}
+    for name, value in (("PASSES", 3), ("SCORE_PASSES", 3), ("PASS_BYTES", 500), ("PASS_BLOCKS", 2), ("SHARD_GRAMS", 2000)):
+        monkeypatch.setattr(kneser_ney, name, value)
+    again = {r.doc_id: r for r in kneser_ney.perplexities(frame, labels).collect()}
+    assert once.keys() == again.keys() == set(range(82))
+    for i, a in once.items():
+        b = again[i]
+        assert (a.lang, a.n_words, a.kept) == (b.lang, b.n_words, b.kept)
+        for name in ("perplexity", "threshold", "high", "low", "worst"):
+            assert b[name] is None if a[name] is None else b[name] == pytest.approx(a[name], rel=1e-6, abs=1e-6)
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
+def test_shuffle_files_of_a_stored_table_go(spark):
+    storage.ready(spark)
+
+    def files():
+        every = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ")
+        return {f for f in every.split() if "/shuffle_" in f}
+
+    before, set_to = files(), spark.conf.get(storage.RELEASE, None)
+    table = storage.stored(spark.range(0, 5000, 1, 3).groupBy((F.col("id") % 97).alias("k")).count(), "counts")
+    assert not files() - before and spark.conf.get(storage.RELEASE, None) == set_to
+    assert table.count() == 97
