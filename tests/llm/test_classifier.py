@@ -164,3 +164,27 @@ def test_shuffle_files_of_a_stored_table_go(spark):
     table = storage.stored(spark.range(0, 5000, 1, 3).groupBy((F.col("id") % 97).alias("k")).count(), "counts")
     assert not files() - before and spark.conf.get(storage.RELEASE, None) == set_to
     assert table.count() == 97
+
+
+def test_model_is_packed(spark):
+    """Less than ten bytes an n-gram on disk, of which eight are its hash: the shuffles and tables of the model are what fills the disk."""
+    storage.ready(spark)
+    rng = random.Random(12)
+    texts = [" ".join(f"w{rng.randrange(3000)}" for _ in range(400)) for _ in range(200)]
+    chosen = spark.createDataFrame([(i, "en", t, False) for i, t in enumerate(texts)], DOCS + ", held_out boolean")
+    trained = kneser_ney.train(chosen)
+    rows = trained.model.rows() if hasattr(trained, "model") else trained.rows()
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(rows.inputFiles()[0]).getParent()
+    size = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(jvm_path).getLength()
+    grams = set()
+    for t in texts:
+        w = ["<", "<", *t.split()]
+        for n in (1, 2, 3):
+            grams |= set(zip(*(w[i:] for i in range(n))))
+    contexts = {g[:-1] for g in grams if len(g) > 1}
+    assert size / (len(grams) + len(contexts)) < 10
+
+
+def test_packed_numbers_come_back():
+    for x in (np.array([], np.uint64), np.array([0, 1, 2 ** 40, 2 ** 64 - 1], np.uint64), np.array([3, 7, 2 ** 32 - 1], np.uint32)):
+        assert kneser_ney._rising(kneser_ney._steps(x), x.dtype).tolist() == x.tolist() == kneser_ney._numbers(kneser_ney._planes(x), x.dtype).tolist()

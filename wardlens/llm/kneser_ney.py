@@ -3,11 +3,12 @@
 Each language has its own model, trained on every other one of the documents
 that the labels call good, and its own threshold, a quantile of the
 perplexity of the rest of them.  The counts, the continuation counts, the
-discounts and the weights are joins and sums on n-gram hashes.  What comes
+discounts and the weights are sums on n-gram hashes.  What comes
 out, one number for each n-gram and each context, grows with the corpus and
-stays distributed: the text is dealt to blocks, each block asks the shards of
-the hash space for its distinct n-grams, and a shard answers with the numbers
-of those that the model has.
+stays distributed: n-grams go to the shard of the hash space that their context
+lies in, packed into a row for each task and shard, and are counted there; the
+text to be scored is dealt to blocks, each block asks the shards for its distinct
+n-grams, and a shard answers with the numbers of those that the model has.
 
 A sparse fault hardly moves the perplexity of a whole text, so each document
 also has the highest and the lowest mean surprise of a window of words, which
@@ -21,7 +22,7 @@ documents bound all of these.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,11 +36,11 @@ from wardlens.operators.order_stats import percentiles_of_counts
 from wardlens.operators.ranks import value_ranks
 
 ORDER = 3
-#: Text of a block, and n-grams that a shard holds, about.
-BLOCK_BYTES, SHARD_GRAMS = 16 << 20, 3_000_000
+#: Text of a block, and n-grams that a shard holds, about; n-grams that a task collects before it deals them to the shards.
+BLOCK_BYTES, SHARD_GRAMS, DEALT_GRAMS = 16 << 20, 3_000_000, 1_000_000
 #: The n-grams are counted in so many passes, each of a part of the hash space, and the text is scored in so many, each of a part of the
 #: blocks; what a pass has shuffled is gone before the next one.  Text of a pass, at least; and blocks of one, where they can be smaller.
-PASSES, SCORE_PASSES, PASS_BYTES, PASS_BLOCKS = 4, 6, 1 << 20, 12
+PASSES, SCORE_PASSES, PASS_BYTES, PASS_BLOCKS = 2, 8, 1 << 20, 12
 #: The bounds of ``sample``: so many trusted documents of a language, the first by a hash of doc_id.  Every other one sets the threshold;
 SAMPLE_DOCS = 3000
 #: the others train the model, as many of them as hold so many words,
@@ -67,6 +68,7 @@ DEVIATIONS = 4.0
 
 _BEFORE = U64(0x5851F42D4C957F2D)
 _SALT = 0xA24BAED4963EE407
+_LAST = U64(0x9E3779B97F4A7C15)
 
 
 def _salt(lang: str | None) -> np.uint64:
@@ -76,8 +78,48 @@ def _salt(lang: str | None) -> np.uint64:
     return U64((h * _SALT + 0x9FB21C651E98DF25) % (1 << 64))
 
 
-def _salted(words: np.ndarray, lang: str | None) -> np.ndarray:
-    return mix(words ^ _salt(lang))
+def _pair(contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """The hash of the n-gram of a context, by its hash, and the word after it."""
+    return mix(contexts + words * _LAST)
+
+
+def _shard(keys: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of a hash, rising with it."""
+    return ((keys >> U64(32)) * U64(shards)) >> U64(32)
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """The first bytes of all numbers, then the second ones and so on, as codecs make the most of."""
+    return x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+
+
+def _numbers(data: bytes, kind) -> np.ndarray:
+    """What ``_planes`` wrote."""
+    size = np.dtype(kind).itemsize
+    if not data:
+        return np.zeros(0, kind)
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, len(data) // size).T).view(kind).ravel()
+
+
+def _steps(rising: np.ndarray) -> bytes:
+    return _planes(np.diff(rising, prepend=rising.dtype.type(0)))
+
+
+def _rising(data: bytes, kind) -> np.ndarray:
+    """What ``_steps`` wrote."""
+    return np.cumsum(_numbers(data, kind), dtype=kind)
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
+
+
+def _heads(*columns: np.ndarray) -> np.ndarray:
+    """Where in sorted columns a row differs from the one before."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return np.flatnonzero(new)
 
 
 def _toxic_name():
@@ -142,75 +184,133 @@ def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
         .select("doc_id", "lang", cut.alias("text"), held_out.alias("held_out"))
 
 
-def _trained_grams(train: DataFrame, by: str, part: int = 0, parts: int = 1) -> DataFrame:
-    """The n-grams of the highest order with how often they occur, ``n``, the start of a text being padded.
+#: The columns of n-grams that are dealt to shards: the hashes of the context, of its last word and of the word after it, the number of
+#: the language, how often.
+_GRAM = {"context": np.uint64, "middle": np.uint64, "last": np.uint64, "code": np.uint32, "n": np.uint64}
+_COUNTED = "shard long, context binary, size binary, middle binary, code binary, last binary, n binary, " \
+    "stats array<struct<code:int,n1:long,n2:long,n3:long,n4:long,total:long,size:long>>"
+
+
+def _dealt(found: Iterable[dict[str, np.ndarray]], by: str, shards: int) -> Iterator[pa.RecordBatch]:
+    """N-grams of ``_GRAM`` -> a row for each shard by the hash in the column ``by``."""
+    held, rows = [], 0
+
+    def flush() -> pa.RecordBatch:
+        cols = {name: np.concatenate([h[name] for h in held]).astype(kind, copy=False) for name, kind in _GRAM.items()}
+        order = np.argsort(cols[by])
+        cols = {name: c[order] for name, c in cols.items()}
+        if by == "last":
+            first = _heads(cols["last"])
+            cols = {name: np.add.reduceat(c, first) if name == "n" else c[first] for name, c in cols.items()}
+        shard = _shard(cols[by], shards).astype(np.int64)
+        first = _heads(shard)
+        bounds = list(zip(first.tolist(), [*first[1:].tolist(), len(shard)], strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(shard[first]), *(pa.array([_planes(c[i:j]) for i, j in bounds], pa.binary()) for c in cols.values())],
+                                          names=["shard", *cols])
+    for grams in found:
+        held.append(grams)
+        rows += len(grams["last"])
+        if rows >= DEALT_GRAMS:
+            yield flush()
+            held, rows = [], 0
+    if rows:
+        yield flush()
+
+
+def _counted(rows: DataFrame) -> DataFrame:
+    """Dealt n-grams -> a row for each shard: its contexts, rising, with the last word of each and how many words follow it, these words, how often, and sums for each language."""
+    def count(table: pa.Table) -> pa.Table:
+        cols = {name: np.concatenate([_numbers(x, kind) for x in table.column(name).to_pylist()]) for name, kind in _GRAM.items()}
+        order = np.lexsort((cols["last"], cols["context"]))
+        cols = {name: c[order] for name, c in cols.items()}
+        first = _heads(cols["context"], cols["last"])
+        n = np.add.reduceat(cols["n"], first)
+        cols = {name: c[first] for name, c in cols.items()}
+        head = _heads(cols["context"])
+        codes, of = np.unique(cols["code"], return_inverse=True)
+        sums = {"code": codes.astype(np.int32), **{f"n{k}": np.bincount(of, n == k).astype(np.int64) for k in (1, 2, 3, 4)},
+                "total": np.bincount(of, n).astype(np.int64), "size": np.bincount(of)}
+        stats = pa.StructArray.from_arrays([pa.array(x) for x in sums.values()], list(sums))
+        out = {"context": _steps(cols["context"][head]), "size": _planes(np.diff(head, append=len(n)).astype(np.uint32)), "middle": _planes(cols["middle"][head]),
+               "code": _planes(cols["code"][head]), "last": _planes(cols["last"]), "n": _planes(n)}
+        return pa.table([table.column("shard").slice(0, 1), *(pa.array([v], pa.binary()) for v in out.values()),
+                         pa.ListArray.from_arrays(pa.array([0, len(stats)], pa.int32()), stats)], names=["shard", *out, "stats"])
+    return rows.groupBy("shard").applyInArrow(count, _COUNTED)
+
+
+_DEALT = "shard long, " + ", ".join(f"{name} binary" for name in _GRAM)
+
+
+def _trigrams(texts: DataFrame, codes: dict[str | None, int], shards: int, part: int, parts: int) -> DataFrame:
+    """The n-grams of the highest order, counted, the start of a text being padded; of ``parts`` parts of the words in the middle, those of the given one."""
+    def found(batches):
+        for batch in batches:
+            langs = batch.column("lang").to_pylist()
+            for slice_ in slices(batch.column("text"), lower=False):
+                own, n = langs[slice_.first:slice_.first + len(slice_)], np.diff(slice_.bounds)
+                padded, places = Model.padded(slice_.words, np.array([_salt(x) for x in own], U64), n)
+                one = gram_hashes(padded, 1)
+                middle = one[places - 1]
+                at = np.flatnonzero((middle >> U64(20)) % U64(parts) == part)
+                yield {"context": gram_hashes(padded, 2)[places - 2][at], "middle": middle[at], "last": one[places][at],
+                       "code": np.repeat(np.array([codes[x] for x in own], np.uint32), n)[at], "n": np.ones(len(at), np.uint64)}
+    return _counted(texts.select("lang", "text").mapInArrow(lambda batches: _dealt(found(batches), "context", shards), _DEALT))
+
+
+def _shorter(counted: DataFrame, shards: int, order: int) -> DataFrame:
+    """Counted n-grams of the order above -> those without the first word, by how many words it is; all of a context, or none, are in ``counted``."""
+    def found(batches):
+        for batch in batches:
+            for size, middle, code, last in zip(*(batch.column(c).to_pylist() for c in ("size", "middle", "code", "last")), strict=True):
+                size, last = _numbers(size, np.uint32), _numbers(last, np.uint64)
+                code = np.repeat(_numbers(code, np.uint32), size)
+                # The context of single words is that of their language.
+                context = np.repeat(_numbers(middle, np.uint64), size) if order == 2 else code.astype(np.uint64)
+                yield {"context": context, "middle": np.zeros(len(last), np.uint64), "last": last, "code": code, "n": np.ones(len(last), np.uint64)}
+    by = "context" if order == 2 else "last"
+    return _counted(counted.select("size", "middle", "code", "last").mapInArrow(lambda batches: _dealt(found(batches), by, shards), _DEALT))
 
-    With ``by`` "context" ``(lang, g, context, n)``, with "middle" ``(lang, g, suffix, middle, last, n)``; of ``parts`` parts of
-    the hash space of that column, those in the given one."""
-    columns = {"context": ["g", "context"], "middle": ["g", "suffix", "middle", "last"]}[by]
+
+def _sums(counted: DataFrame) -> dict[int, dict[str, int]]:
+    """For each language, by its number, how many n-grams occur 1 to 4 times, how many there are and how often all occur."""
+    rows = counted.select(F.explode("stats").alias("s")).select("s.*")
+    return {r["code"]: r.asDict() for r in rows.groupBy("code").agg(*[F.sum(c).alias(c) for c in rows.columns if c != "code"]).collect()}
+
+
+def _cuts(sums: dict[str, int]) -> list[float]:
+    """The discounts of the n-grams of an order in a language that occur once, twice and more often."""
+    y = sums["n1"] / max(sums["n1"] + 2 * sums["n2"], 1)
+    steps = [k - (k + 1) * y * sums[f"n{k + 1}"] / sums[f"n{k}"] if sums[f"n{k}"] else 0.5 * k for k in (1, 2, 3)]
+    return [max(0.1, min(k - 0.05, step)) for k, step in zip((1, 2, 3), steps, strict=True)]
+
+
+def _weights(counted: DataFrame, order: int, sums: dict[int, dict[str, int]], toxic: np.ndarray) -> DataFrame:
+    """Counted n-grams of an order -> ``(shard, kind, grams, numbers)``: hashes, rising, with the discounted shares of n-grams and the weights of the order below by contexts."""
+    cuts, totals = np.zeros((len(toxic), 3)), np.ones(len(toxic))
+    for code, own in sums.items():
+        cuts[code], totals[code] = _cuts(own), own["total"]
 
     def run(batches):
         for batch in batches:
-            langs = batch.column("lang").to_pylist()
-            for slice_ in slices(batch.column("text"), lower=False):
-                cols: list[list[np.ndarray]] = [[] for _ in columns]
-                of = []
-                for i in range(len(slice_)):
-                    lang = langs[slice_.first + i]
-                    words = _salted(slice_.words[slice_.bounds[i]:slice_.bounds[i + 1]], lang)
-                    if not len(words):
-                        continue
-                    words = np.concatenate((np.full(ORDER - 1, _BEFORE ^ _salt(lang), U64), words))
-                    two, one = gram_hashes(words, 2), gram_hashes(words, 1)
-                    found = {"g": gram_hashes(words, 3), "context": two[:-1], "suffix": two[1:], "middle": one[1:-1], "last": one[2:]}
-                    own = np.flatnonzero((found[by] >> U64(40)) % U64(parts) == part)
-                    for c, name in zip(cols, columns, strict=True):
-                        c.append(found[name][own].view(np.int64))
-                    of += [lang] * len(own)
-                if of:
-                    yield pa.RecordBatch.from_arrays([pa.array(of, pa.string()), *(pa.array(np.concatenate(c), pa.int64()) for c in cols)], names=["lang", *columns])
-    return train.select("lang", "text").mapInArrow(run, "lang string, " + ", ".join(f"{n} long" for n in columns)) \
-        .groupBy("lang", *columns).agg(F.count(F.lit(1)).alias("n"))
-
-
-def _cuts(grams: DataFrame) -> DataFrame:
-    """``(lang, d1, d2, d3)``: the discounts of the n-grams of an order, a row for each language."""
-    is_n = [F.sum((F.col("n") == k).cast("long")).alias(f"n{k}") for k in (1, 2, 3, 4)]
-    y = F.col("n1") / F.greatest(F.col("n1") + 2 * F.col("n2"), F.lit(1))
-    step = [F.when(F.col(f"n{k}") > 0, k - (k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}")).otherwise(F.lit(0.5 * k)) for k in (1, 2, 3)]
-    return grams.groupBy("lang").agg(*is_n).select(
-        "lang", *(F.greatest(F.lit(0.1), F.least(F.lit(k - 0.05), s)).alias(f"d{k}") for k, s in zip((1, 2, 3), step, strict=True)))
-
-
-def _weights(grams: DataFrame, cuts: DataFrame, order: int) -> DataFrame:
-    """``grams(lang, g, context, n)`` of an order, all of a context or none -> ``(kind, h, value)``: discounted shares by ``g``, and weights of the order below by ``context``."""
-    cut = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-    # A row for each language.
-    rows = grams.alias("g").join(F.broadcast(cuts).alias("c"), F.col("g.lang").eqNullSafe(F.col("c.lang"))).select("g.g", "g.context", "g.n", cut.alias("cut"))
-    if order == 1:
-        # One context for each language.
-        totals = F.broadcast(rows.groupBy("context").agg(F.sum("n").alias("total"), F.sum("cut").alias("freed"), F.min("g").alias("first")))
-        rows = rows.join(totals, "context")
-    else:
-        own = Window.partitionBy("context")
-        rows = rows.withColumns({"total": F.sum("n").over(own), "freed": F.sum("cut").over(own), "first": F.min("g").over(own)})
-    share = F.struct(F.lit(order).alias("kind"), F.col("g").alias("h"), ((F.col("n") - F.col("cut")) / F.col("total")).alias("value"))
-    weight = F.struct(F.lit(9 + order).alias("kind"), F.col("context").alias("h"), (F.col("freed") / F.col("total")).alias("value"))
-    # The first n-gram of a context brings the weight along.
-    return rows.select(F.explode(F.when(F.col("g") == F.col("first"), F.array(share, weight)).otherwise(F.array(share))).alias("s")).select("s.*")
-
-
-def _packed(rows: DataFrame, shards: int) -> DataFrame:
-    """``(kind, h, value)`` -> ``(shard, kind, grams, numbers)``: the hashes of a kind in a shard, rising, and their numbers."""
-    def pack(table: pa.Table) -> pa.Table:
-        kinds, hashes, values = (table.column(c).to_numpy() for c in ("kind", "h", "value"))
-        found = np.unique(kinds).tolist()
-        own = [np.flatnonzero(kinds == kind) for kind in found]
-        own = [x[np.argsort(hashes[x])] for x in own]
-        return pa.table([pa.array([table.column("shard")[0].as_py()] * len(found), pa.int64()), pa.array(found, pa.int32()),
-                         _arrays([hashes[x] for x in own], pa.int64()), _arrays([values[x] for x in own], pa.float32())], names=["shard", "kind", "grams", "numbers"])
-    rows = rows.select("kind", "h", F.col("value").cast("float").alias("value"), F.pmod("h", F.lit(shards).cast("long")).alias("shard"))
-    return rows.groupBy("shard").applyInArrow(pack, "shard long, kind int, grams array<long>, numbers array<float>")
+            rows = []
+            for shard, *data in zip(*(batch.column(c).to_pylist() for c in ("shard", "context", "size", "code", "last", "n")), strict=True):
+                context, size, code, last, n = _rising(data[0], np.uint64), *(_numbers(x, k) for x, k in zip(data[1:], (np.uint32, np.uint32, np.uint64, np.uint64), strict=True))
+                each = np.repeat(code, size)
+                cut = cuts[each, np.minimum(n, 3).astype(np.int64) - 1]
+                if order == 1:
+                    found = [(1, last, (n - cut) / totals[each])]
+                else:
+                    heads = np.cumsum(size, dtype=np.int64) - size
+                    total, freed = np.add.reduceat(n, heads), np.add.reduceat(cut, heads)
+                    # Of toxic text the lowest order is all that is asked for.
+                    clean, own = ~toxic[each], ~toxic[code]
+                    found = [(order, _pair(np.repeat(context, size), last)[clean], ((n - cut) / np.repeat(total, size))[clean]), (9 + order, context[own], (freed / total)[own])]
+                for kind, grams, numbers in found:
+                    by = np.argsort(grams)
+                    rows.append((shard, kind, _steps(grams[by]), _planes(numbers[by].astype(np.float32))))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.binary(), pa.binary()))],
+                                             names=["shard", "kind", "grams", "numbers"])
+    return counted.select("shard", "context", "size", "code", "last", "n").mapInArrow(run, "shard long, kind int, grams binary, numbers binary")
 
 
 def _together(tables: list[DataFrame]) -> DataFrame:
@@ -220,36 +320,43 @@ def _together(tables: list[DataFrame]) -> DataFrame:
     return out
 
 
-def train(chosen: DataFrame, n_bytes: int = 0) -> Buckets:
-    """The model of all languages, of kinds 1 to 3 the shares of an order, 11 and 12 the weights of
-    contexts of so many words, 10 the weight below single words and 20 the size of the vocabulary.  Of toxic text the lowest
-    order is all that is asked for.  The rows are those of ``_packed``, a bucket a shard, so that no pass of scoring shuffles them.  ``n_bytes`` of text are going to be scored."""
+def train(chosen: DataFrame, n_bytes: int = 0) -> Trained:
+    """The model of all languages, of kinds 1 to 3 the shares of an order, 11 and 12 the weights of contexts of so many words.
+    Of toxic text the lowest order is all that is asked for.  The rows are those of ``_weights``, a bucket a shard, so that no pass of
+    scoring shuffles them.  ``n_bytes`` of text are going to be scored."""
     texts = chosen.where("not held_out").select("lang", "text")
+    langs = [r["lang"] for r in texts.select("lang").distinct().collect()]
+    codes, toxic = {x: i for i, x in enumerate(langs)}, np.array([x is not None and x.endswith(_TOXIC) for x in langs], bool)
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards, parts = max(1, -(-(n_bytes + size) // 2 // SHARD_GRAMS)), max(1, min(PASSES, size // PASS_BYTES))
+    shards, parts = max(1, -(-(n_bytes + 4 * size) // 8 // SHARD_GRAMS)), max(1, min(PASSES, size // PASS_BYTES))
     model = Buckets(chosen.sparkSession, "model", "shard", shards)
-
-    def add(grams: list[DataFrame], order: int) -> None:
-        """The parts of an order's n-grams, each of its own contexts, go to the model and are removed one by one."""
-        cuts = stored(_cuts(_together(grams)), "cuts")
-        for part in grams:
-            rows = part if order == 1 else part.where(~_is_toxic())
-            model.add(_packed(_weights(rows.select("lang", "g", "context", "n"), cuts, order), shards))
-            discard(part)
-        discard(cuts)
-
-    two = [stored(_trained_grams(texts, "middle", i, parts).groupBy("lang", F.col("suffix").alias("g"), F.col("middle").alias("context"), "last").agg(
-        F.count(F.lit(1)).alias("n")), "bigrams") for i in range(parts)]
-    one = stored(_together(two).groupBy("lang", F.col("last").alias("g")).agg(F.count(F.lit(1)).alias("n"))
-                 .withColumn("context", F.xxhash64(F.coalesce("lang", F.lit("\x00")))), "unigrams")
-    sizes = one.groupBy("lang").agg(F.first("context").alias("h"), F.count(F.lit(1)).cast("double").alias("value")).select(F.lit(20).alias("kind"), "h", "value")
-    model.add(_packed(sizes, shards))
-    add([one], 1)
-    add(two, 2)
-    three = [stored(_trained_grams(texts.where(~_is_toxic()), "context", i, parts), "trigrams") for i in range(parts)]
+    three, two = [], []
+    for part in range(parts):
+        three.append(stored(_trigrams(texts, codes, shards, part, parts), "trigrams"))
+        two.append(stored(_shorter(three[-1], shards, 2), "bigrams"))
     discard(chosen)
-    add(three, 3)
-    return model
+    one = stored(_shorter(_together(two), shards, 1), "unigrams")
+    for order, counted in ((1, [one]), (2, two), (3, three)):
+        sums = _sums(_together(counted))
+        if order == 1:
+            sizes = {langs[code]: (x["size"], sum(n * d for n, d in zip((x["n1"], x["n2"], x["size"] - x["n1"] - x["n2"]), _cuts(x), strict=True)) / x["total"])
+                     for code, x in sums.items()}
+        # The parts of an order go to the model and are removed one by one.
+        for rows in counted:
+            model.add(_weights(rows, order, sums, toxic))
+            discard(rows)
+    return Trained(model, sizes)
+
+
+@dataclass
+class Trained:
+    """A model: its rows, and for each language the size of the vocabulary and the weight below single words."""
+
+    model: Buckets
+    sizes: dict[str | None, tuple[int, float]]
+
+    def discard(self) -> None:
+        self.model.discard()
 
 
 class Table:
@@ -280,30 +387,24 @@ class Table:
 
 @dataclass
 class Sent:
-    """A model: its rows, of how many shards, and the tables of the kinds that have one row for each language."""
+    """A model as ``_scored`` wants it: its rows, of how many shards, and the numbers of whole languages."""
 
     rows: DataFrame
     shards: int
-    small: dict[int, tuple[np.ndarray, np.ndarray]]
+    sizes: dict[str | None, tuple[int, float]]
 
 
-def _sent(model: Buckets) -> Sent:
-    """The model as ``_scored`` wants it; only the rows of whole languages, two for each, pass the driver."""
-    small, rows = {}, model.rows()
-    found = rows.where(F.col("kind").isin(10, 20)).select("kind", F.explode(F.arrays_zip("grams", "numbers")).alias("x")).select("kind", "x.*").toArrow()
-    kinds, hashes, values = (found.column(c).to_numpy() for c in ("kind", "grams", "numbers"))
-    for kind in (10, 20):
-        small[kind] = hashes[kinds == kind].view(U64), values[kinds == kind]
-    return Sent(rows.where(~F.col("kind").isin(10, 20)), model.n, small)
+def _sent(trained: Trained) -> Sent:
+    return Sent(trained.model.rows(), trained.model.n, trained.sizes)
 
 
 class Model:
     """The tables of the n-grams of a block of text, in all its languages and their toxic text."""
 
-    def __init__(self, tables: dict[int, tuple[np.ndarray, np.ndarray]], contexts: dict[str | None, int]):
+    def __init__(self, tables: dict[int, tuple[np.ndarray, np.ndarray]], sizes: dict[str | None, tuple[int, float]]):
         none = Table(np.zeros(0, U64), np.zeros(0, np.float32))
-        self.tables = {k: none for k in (1, 2, 3, 10, 11, 12, 20)} | {k: Table(*v) for k, v in tables.items()}
-        self.contexts = contexts
+        self.tables = {k: none for k in (1, 2, 3, 11, 12)} | {k: Table(*v) for k, v in tables.items()}
+        self.sizes = sizes
 
     @staticmethod
     def padded(words: np.ndarray, salts: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -314,14 +415,14 @@ class Model:
         return padded, places
 
     @classmethod
-    def asked(cls, words: np.ndarray, langs: list[str | None], n: np.ndarray, lowest: bool = False) -> np.ndarray:
-        """The distinct hashes that ``surprise`` looks up."""
+    def asked(cls, words: np.ndarray, langs: list[str | None], n: np.ndarray, lowest: bool = False) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """By kind the hashes that ``surprise`` looks up, after those that their shards follow from; single words stand for kind 11 too."""
         padded, places = cls.padded(words, np.array([_salt(x) for x in langs], U64), n)
         one = gram_hashes(padded, 1)
         if lowest:
-            return np.unique(one[places])
-        two, three = gram_hashes(padded, 2), gram_hashes(padded, 3)
-        return np.concatenate([np.unique(x) for x in (one, two, three[places - 2])])
+            return {1: (one[places], one[places])}
+        context, before, last = gram_hashes(padded, 2)[places - 2], one[places - 1], one[places]
+        return {1: (one, one), 2: (before, _pair(before, last)), 12: (context, context), 3: (context, _pair(context, last))}
 
     def surprise(self, words: np.ndarray, langs: list[str | None], n: np.ndarray, lowest: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The negative log probability of each word of documents of ``n`` words, the same by the lowest order only, and which documents have a model.
@@ -329,16 +430,16 @@ class Model:
         With ``lowest`` the first is the second."""
         t = self.tables
         salts = np.array([_salt(x) for x in langs], U64)
-        key = np.array([self.contexts[x] for x in langs], np.int64).view(U64)
-        size = t[20].get(key, 0.0)
-        below = t[10].get(key, 1.0) / (size + 1)
+        size, weight = np.array([self.sizes.get(x, (0, 1.0)) for x in langs], np.float32).reshape(-1, 2).T
+        below = weight / (size + 1)
         padded, places = self.padded(words, salts, n)
         one = gram_hashes(padded, 1)
-        p = single = np.repeat(below, n) + t[1].get(one[places], 0.0)
+        last = one[places]
+        p = single = np.repeat(below, n) + t[1].get(last, 0.0)
         if not lowest:
-            two, three = gram_hashes(padded, 2), gram_hashes(padded, 3)
-            p = t[11].get(one[places - 1], 1.0) * p + t[2].get(two[places - 1], 0.0)
-            p = t[12].get(two[places - 2], 1.0) * p + t[3].get(three[places - 2], 0.0)
+            before, context = one[places - 1], gram_hashes(padded, 2)[places - 2]
+            p = t[11].get(before, 1.0) * p + t[2].get(_pair(before, last), 0.0)
+            p = t[12].get(context, 1.0) * p + t[3].get(_pair(context, last), 0.0)
         return *(-np.log(np.maximum(x.astype(np.float64), 1e-30)) for x in (p, single)), size > 0
 
 
@@ -364,41 +465,55 @@ def _toxic_names(langs: list[str | None]) -> list[str]:
     return [("\x00" if x is None else x) + _TOXIC for x in langs]
 
 
-def _arrays(values: list[np.ndarray], kind) -> pa.Array:
-    offsets = np.concatenate(([0], np.cumsum([len(v) for v in values]))).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values) if values else np.zeros(0), kind))
-
-
 def _answers(dealt: DataFrame, sent: Sent) -> DataFrame:
-    """``(kn_block, kind, grams, numbers)``: what the model has of the n-grams of each block."""
+    """``(kn_block, kind, grams, numbers)``: what the model has of the n-grams of each block.
+
+    A block asks by the upper halves of the hashes, which lie close and pack well;
+    the answer has whole hashes, so those that share a half only are told apart.
+    """
     shards = sent.shards
 
     def ask(table: pa.Table) -> pa.Table:
-        langs, block, found = table.column("lang").to_pylist(), table.column("kn_block")[0].as_py(), [np.zeros(0, U64)]
+        langs, block, found = table.column("lang").to_pylist(), table.column("kn_block")[0].as_py(), {k: [np.zeros(0, U64)] for k in (1, 2, 3, 12)}
         for part in slices(table.column("text"), lower=False):
             n, own = np.diff(part.bounds), langs[part.first:part.first + len(part)]
-            found += [Model.asked(part.words, own, n), Model.asked(part.words, _toxic_names(own), n, lowest=True)]
-        keys = np.unique(np.concatenate(found)).view(np.int64)
-        shard = keys % shards
-        order = np.argsort(shard, kind="stable")
-        which, first = np.unique(shard[order], return_index=True)
-        parts = np.split(keys[order], first[1:]) if len(keys) else []
-        return pa.table([pa.array(which, pa.int64()), pa.array([block] * len(which), pa.int64()), _arrays(parts, pa.int64())], names=["shard", "kn_block", "grams"])
+            for asked in (Model.asked(part.words, own, n), Model.asked(part.words, _toxic_names(own), n, lowest=True)):
+                for kind, (by, keys) in asked.items():
+                    found[kind].append(_distinct((_shard(by, shards) << U64(32)) | (keys >> U64(32))))
+        rows = []
+        for kind, parts in found.items():
+            keys = _distinct(np.concatenate(parts))
+            shard, halves = (keys >> U64(32)).astype(np.int64), keys.astype(np.uint32)
+            first = _heads(shard).tolist() if len(keys) else []
+            rows += [(int(shard[i]), block, kind, _steps(halves[i:j])) for i, j in zip(first, [*first[1:], len(keys)], strict=bool(first))]
+        return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.binary()))],
+                        names=["shard", "kn_block", "kind", "halves"])
 
     def answer(asked: pa.Table, model: pa.Table) -> pa.Table:
-        out: list[tuple[int, int, np.ndarray, np.ndarray]] = []
-        lists = [(b, g.values.to_numpy()) for b, g in zip(asked.column("kn_block").to_pylist(), asked.column("grams"), strict=True)]
-        for kind, keys, numbers in zip(model.column("kind").to_pylist(), model.column("grams"), model.column("numbers"), strict=True):
-            keys, numbers = keys.values.to_numpy(), numbers.values.to_numpy()
-            for block, grams in lists:
-                at = np.minimum(np.searchsorted(keys, grams), len(keys) - 1)
-                hit = keys[at] == grams
-                if hit.any():
-                    out.append((block, kind, grams[hit], numbers[at[hit]]))
-        return pa.table([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int32()),
-                         _arrays([r[2] for r in out], pa.int64()), _arrays([r[3] for r in out], pa.float32())], names=["kn_block", "kind", "grams", "numbers"])
-    asked = dealt.groupBy("kn_block").applyInArrow(ask, "shard long, kn_block long, grams array<long>")
-    return asked.groupBy("shard").cogroup(sent.rows.groupBy("shard")).applyInArrow(answer, "kn_block long, kind int, grams array<long>, numbers array<float>")
+        tables: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+        for kind, grams, numbers in zip(*(model.column(c).to_pylist() for c in ("kind", "grams", "numbers")), strict=True):
+            grams = _rising(grams, np.uint64)
+            tables.setdefault(kind, []).append((grams, (grams >> U64(32)).astype(np.uint32), _numbers(numbers, np.float32)))
+        out = []
+        for block, asks, halves in zip(*(asked.column(c).to_pylist() for c in ("kn_block", "kind", "halves")), strict=True):
+            halves = _rising(halves, np.uint32)
+            for kind in (1, 11) if asks == 1 else (asks,):
+                for grams, upper, numbers in tables.get(kind, []):
+                    hits, at, want = [], np.searchsorted(upper, halves), halves
+                    while len(at):
+                        within = at < len(upper)
+                        at, want = at[within], want[within]
+                        same = upper[at] == want
+                        at, want = at[same], want[same]
+                        hits.append(at)
+                        at = at + 1
+                    hit = np.sort(np.concatenate(hits)) if hits else []
+                    if len(hit):
+                        out.append((block, kind, _steps(grams[hit]), _planes(numbers[hit])))
+        return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.binary(), pa.binary()))],
+                        names=["kn_block", "kind", "grams", "numbers"])
+    asked = dealt.groupBy("kn_block").applyInArrow(ask, "shard long, kn_block long, kind int, halves binary")
+    return asked.groupBy("shard").cogroup(sent.rows.groupBy("shard")).applyInArrow(answer, "kn_block long, kind int, grams binary, numbers binary")
 
 
 def _scored(docs: DataFrame, sent: Sent) -> DataFrame:
@@ -409,12 +524,9 @@ def _scored(docs: DataFrame, sent: Sent) -> DataFrame:
     model of toxic text, null without words or without such a model.  ``sent`` is from
     ``_sent``; ``docs(doc_id, lang, text)``, other columns are passed through by name.
     """
-    langs = docs.select("lang").distinct()
-    contexts = {r["lang"]: r["c"] for r in langs.union(langs.select(_toxic_name())).select(
-        "lang", F.xxhash64(F.coalesce("lang", F.lit("\x00"))).alias("c")).collect()}
     keep = [c for c in docs.columns if c != "text"]
     names = ["n_words", "nats", "high", "low", "worst"]
-    small = sent.small
+    sizes = sent.sizes
     n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     small_blocks = min(SCORE_PASSES * PASS_BLOCKS, n_bytes // PASS_BYTES)
     blocks = max(1, -(-n_bytes // BLOCK_BYTES), small_blocks)
@@ -423,9 +535,9 @@ def _scored(docs: DataFrame, sent: Sent) -> DataFrame:
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-        for kind, grams, numbers in zip(right.column("kind").to_pylist(), right.column("grams"), right.column("numbers"), strict=True):
-            found.setdefault(kind, []).append((grams.values.to_numpy().view(U64), numbers.values.to_numpy()))
-        model = Model(small | {k: tuple(np.concatenate(x) for x in zip(*v, strict=True)) for k, v in found.items()}, contexts)
+        for kind, grams, numbers in zip(*(right.column(c).to_pylist() for c in ("kind", "grams", "numbers")), strict=True):
+            found.setdefault(kind, []).append((_rising(grams, np.uint64), _numbers(numbers, np.float32)))
+        model = Model({k: tuple(np.concatenate(x) for x in zip(*v, strict=True)) for k, v in found.items()}, sizes)
         langs = left.column("lang").to_pylist()
         out = {name: np.full(len(left), np.nan) for name in names}
         for part in slices(left.column("text"), lower=False):
