@@ -40,7 +40,7 @@ ORDER = 3
 BLOCK_BYTES, SHARD_GRAMS, DEALT_GRAMS = 16 << 20, 3_000_000, 1_000_000
 #: The n-grams are counted in so many passes, each of a part of the hash space, and the text is scored in so many, each of a part of the
 #: blocks; what a pass has shuffled is gone before the next one.  Text of a pass, at least; and blocks of one, where they can be smaller.
-PASSES, SCORE_PASSES, PASS_BYTES, PASS_BLOCKS = 2, 8, 1 << 20, 12
+PASSES, SCORE_PASSES, PASS_BYTES, PASS_BLOCKS = 2, 10, 1 << 20, 12
 #: The bounds of ``sample``: so many trusted documents of a language, the first by a hash of doc_id.  Every other one sets the threshold;
 SAMPLE_DOCS = 3000
 #: the others train the model, as many of them as hold so many words,
@@ -490,26 +490,33 @@ def _answers(dealt: DataFrame, sent: Sent) -> DataFrame:
                         names=["shard", "kn_block", "kind", "halves"])
 
     def answer(asked: pa.Table, model: pa.Table) -> pa.Table:
-        tables: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+        found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         for kind, grams, numbers in zip(*(model.column(c).to_pylist() for c in ("kind", "grams", "numbers")), strict=True):
-            grams = _rising(grams, np.uint64)
-            tables.setdefault(kind, []).append((grams, (grams >> U64(32)).astype(np.uint32), _numbers(numbers, np.float32)))
+            found.setdefault(kind, []).append((_rising(grams, np.uint64), _numbers(numbers, np.float32)))
+        tables = {}
+        for kind, parts in found.items():
+            grams, numbers = (np.concatenate(x) for x in zip(*parts, strict=True))
+            if len(parts) > 1:  # sorted runs, which a stable sort merges
+                order = np.argsort(grams, kind="stable")
+                grams, numbers = grams[order], numbers[order]
+            tables[kind] = grams, (grams >> U64(32)).astype(np.uint32), numbers
         out = []
         for block, asks, halves in zip(*(asked.column(c).to_pylist() for c in ("kn_block", "kind", "halves")), strict=True):
             halves = _rising(halves, np.uint32)
-            for kind in (1, 11) if asks == 1 else (asks,):
-                for grams, upper, numbers in tables.get(kind, []):
-                    hits, at, want = [], np.searchsorted(upper, halves), halves
-                    while len(at):
-                        within = at < len(upper)
-                        at, want = at[within], want[within]
-                        same = upper[at] == want
-                        at, want = at[same], want[same]
+            for kind in {1, 11} & tables.keys() if asks == 1 else {asks} & tables.keys():
+                grams, upper, numbers = tables[kind]
+                hits, at, want = [], np.searchsorted(upper, halves), halves
+                while len(at):
+                    within = at < len(upper)
+                    at, want = at[within], want[within]
+                    same = upper[at] == want
+                    at, want = at[same], want[same]
+                    if len(at):
                         hits.append(at)
-                        at = at + 1
-                    hit = np.sort(np.concatenate(hits)) if hits else []
-                    if len(hit):
-                        out.append((block, kind, _steps(grams[hit]), _planes(numbers[hit])))
+                    at = at + 1
+                if hits:
+                    hit = np.sort(np.concatenate(hits)) if len(hits) > 1 else hits[0]
+                    out.append((block, kind, _steps(grams[hit]), _planes(numbers[hit])))
         return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.binary(), pa.binary()))],
                         names=["kn_block", "kind", "grams", "numbers"])
     asked = dealt.groupBy("kn_block").applyInArrow(ask, "shard long, kn_block long, kind int, halves binary")
