@@ -188,3 +188,26 @@ def test_model_is_packed(spark):
 def test_packed_numbers_come_back():
     for x in (np.array([], np.uint64), np.array([0, 1, 2 ** 40, 2 ** 64 - 1], np.uint64), np.array([3, 7, 2 ** 32 - 1], np.uint32)):
         assert kneser_ney._rising(kneser_ney._steps(x), x.dtype).tolist() == x.tolist() == kneser_ney._numbers(kneser_ney._planes(x), x.dtype).tolist()
+
+
+def test_training_texts_are_gone_before_bigrams(spark, monkeypatch):
+    """No n-grams of a lower order are shuffled or stored beside the texts, and four passes each shuffle a part of the trigrams."""
+    storage.ready(spark)
+    rng, did = random.Random(5), []
+    frame = spark.createDataFrame([(i, "en", t) for i, t in enumerate(_texts(rng, 60, [f"w{i}" for i in range(90)]))], DOCS)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    chosen = storage.stored(kneser_ney.labelled(frame, labels), "chosen")
+
+    def store(df, name):
+        did.append(name)
+        return storage.stored(df, name)
+
+    def remove(df):
+        did.append("discard chosen" if df is chosen else "discard")
+        storage.discard(df)
+    monkeypatch.setattr(kneser_ney, "stored", store)
+    monkeypatch.setattr(kneser_ney, "discard", remove)
+    monkeypatch.setattr(kneser_ney, "PASS_BYTES", 500)
+    trained = kneser_ney.train(chosen, 10_000)
+    trained.discard()
+    assert did[:9] == ["trigrams"] * 4 + ["discard chosen"] + ["bigrams"] * 4

@@ -40,7 +40,7 @@ ORDER = 3
 BLOCK_BYTES, SHARD_GRAMS, DEALT_GRAMS = 16 << 20, 3_000_000, 1_000_000
 #: The n-grams are counted in so many passes, each of a part of the hash space, and the text is scored in so many, each of a part of the
 #: blocks; what a pass has shuffled is gone before the next one.  Text of a pass, at least; and blocks of one, where they can be smaller.
-PASSES, SCORE_PASSES, PASS_BYTES, PASS_BLOCKS = 2, 10, 1 << 20, 12
+PASSES, SCORE_PASSES, PASS_BYTES, PASS_BLOCKS = 4, 12, 1 << 20, 12
 #: The bounds of ``sample``: so many trusted documents of a language, the first by a hash of doc_id.  Every other one sets the threshold;
 SAMPLE_DOCS = 3000
 #: the others train the model, as many of them as hold so many words,
@@ -330,11 +330,10 @@ def train(chosen: DataFrame, n_bytes: int = 0) -> Trained:
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards, parts = max(1, -(-(n_bytes + 4 * size) // 8 // SHARD_GRAMS)), max(1, min(PASSES, size // PASS_BYTES))
     model = Buckets(chosen.sparkSession, "model", "shard", shards)
-    three, two = [], []
-    for part in range(parts):
-        three.append(stored(_trigrams(texts, codes, shards, part, parts), "trigrams"))
-        two.append(stored(_shorter(three[-1], shards, 2), "bigrams"))
+    # The texts are gone before the n-grams of the lower orders come.
+    three = [stored(_trigrams(texts, codes, shards, part, parts), "trigrams") for part in range(parts)]
     discard(chosen)
+    two = [stored(_shorter(rows, shards, 2), "bigrams") for rows in three]
     one = stored(_shorter(_together(two), shards, 1), "unigrams")
     for order, counted in ((1, [one]), (2, two), (3, three)):
         sums = _sums(_together(counted))
