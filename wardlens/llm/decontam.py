@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from wardlens.llm.bitmap import Bitmap, bitmap
 from wardlens.llm.keys import row_key
-from wardlens.llm.storage import stored
+from wardlens.llm.storage import give_back, stored
 from wardlens.llm.text_hash import U64, mix, slices
 
 
@@ -128,6 +128,7 @@ def _regions(docs: DataFrame, found: Bitmap, masks: list[tuple[int, str]]) -> Da
                     yield pa.RecordBatch.from_arrays(
                         [batch.column("key").take(of), batch.column("doc_id").take(of),
                          *(pa.array([r[k] for r in rows], t) for k, t in zip((1, 2, 3, 4), kinds[2:], strict=True))], names=names)
+        give_back()
     return docs.select("key", "doc_id", "text").mapInArrow(
         run, "key long, doc_id long, start long, words array<long>, seeds array<long>, places array<long>")
 
@@ -162,6 +163,7 @@ def _verified(near: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c).take(at) for c in names[:3]), pa.array(batch.column("place").take(at).to_numpy() + first.to_numpy()),
                  span, same, batch.column("item_words").take(at)], names=names)
+        give_back()
     return near.mapInArrow(run, "key long, doc_id long, item_id long, place long, span long, n_equal long, item_words long")
 
 

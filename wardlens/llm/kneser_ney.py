@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardlens.llm.storage import Buckets, discard, small_enough, stored
+from wardlens.llm.storage import Buckets, discard, give_back, small_enough, stored
 from wardlens.llm.text_hash import U64, gram_hashes, mix, slices
 from wardlens.operators.order_stats import percentiles_of_counts
 from wardlens.operators.ranks import value_ranks
@@ -215,6 +215,8 @@ def _dealt(found: Iterable[dict[str, np.ndarray]], by: str, shards: int) -> Iter
             held, rows = [], 0
     if rows:
         yield flush()
+    held = []
+    give_back()
 
 
 def _counted(rows: DataFrame) -> DataFrame:
@@ -558,6 +560,8 @@ def _scored(docs: DataFrame, sent: Sent) -> DataFrame:
             more = single - toxic
             for i in np.flatnonzero(able & (n > 0)).tolist():
                 out["worst"][part.first + i] = _worst(more[part.bounds[i]:part.bounds[i + 1]])
+        del model, found
+        give_back()
         return pa.table([*(left.column(c) for c in keep), pa.array(out["n_words"].astype(np.int64)),
                          *(pa.array(out[c], from_pandas=True) for c in names[1:])], names=[*keep, *names])
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardlens.llm.components import components
-from wardlens.llm.storage import discard, small_enough, stored
+from wardlens.llm.storage import discard, give_back, small_enough, stored
 from wardlens.llm.text_hash import U64, mix, slices, string_buffers
 
 SHINGLE = 5
@@ -126,6 +126,7 @@ def signatures(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
                 [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()),
                  pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))],
                 names=["doc_id", "n_shingles", "set_a", "set_b", "bands", "sketch"])
+        give_back()
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")) \
         .mapInArrow(run, _SIGNED)
 
@@ -145,6 +146,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
                     held, at, size = [], [], 0
             if at:
                 yield _set_batch(ids, at, held)
+        give_back()
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")) \
         .mapInArrow(run, _SETS)
 
@@ -166,6 +168,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column("a"), batch.column("b"), pa.array(common, pa.int64()), pa.array(np.diff(oa), pa.int64()),
                  pa.array(np.diff(ob), pa.int64())], names=["a", "b", "common", "n_a", "n_b"])
+        give_back()
     return pairs.join(left, "a").join(right, "b").select("a", "b", "set_of_a", "set_of_b") \
         .mapInArrow(run, "a long, b long, common long, n_a long, n_b long")
 

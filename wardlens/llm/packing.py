@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardlens.llm.storage import stored
+from wardlens.llm.storage import give_back, stored
 from wardlens.llm.text_hash import string_buffers
 
 WINDOW = 1024
@@ -187,6 +187,9 @@ def pieces(docs: DataFrame, vocabulary: str, window: int = WINDOW, with_ids: boo
                 b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + TOGETHER, "right")))
                 yield cut(encode, batch.column("doc_id").slice(a, b - a).to_pylist(), pc.fill_null(batch.column("text").slice(a, b - a), ""))
                 a = b
+            give_back()
+        del encode
+        give_back()
 
     def cut(encode, doc_ids, texts):
         rows = []
